@@ -61,6 +61,10 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_S}+|{_S}+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    return js_trim(text) == ""
+
+
 def populated_text(value: Column) -> Column:
     """A value that is present and not a reference or placeholder."""
     return F.coalesce((value != "") & ~js_trim(value).rlike(REFERENCE), F.lit(False))

@@ -49,7 +49,9 @@ def merge_tool_observations(obs: DataFrame, key: Sequence[str] = ("session_id",
         *key, "entry_index", "n_observations",
         *[F.col("_best")[c].alias(c) for c in ("name", "input", "status", "output", "error")], *times)
     conflicts = merged.filter("_conflict").select(
-        *key, "n_observations", F.lit("TOOL_CONFLICT").alias("code"), F.lit("error").alias("severity"))
+        *key, "n_observations",
+        F.when(F.col("_invalid"), "TOOL_PAYLOAD_INVALID").otherwise("TOOL_CONFLICT").alias("code"),
+        F.lit("error").alias("severity"))
     return calls, conflicts
 
 
