@@ -1,7 +1,7 @@
 """Raw message records to typed rows; every record that is refused leaves an issue row.
 
-Input: ``recs(session_id, entry_index, rec VARIANT)``. All checks of a record are one projection;
-rows and issues are two reads of it.
+Input: ``recs(session_id, entry_index, rec VARIANT)``. The typed fields of all records are written
+once; rows and issues are cheap reads of that table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from palaver.functions import variant as V
 from palaver.functions.credentials import is_blank
 from palaver.functions.identity import digest
 from palaver.functions.values import MAX_SAFE_INTEGER, MESSAGE_STATUS, normalize_status
+from palaver.session import durable
 
 # Id patterns and record locator.
 MESSAGE_ID = r"^[A-Za-z0-9._:-]{1,256}$"
@@ -120,7 +121,7 @@ def parse_user_messages(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
         message_text(V.field(rec, "$.content"), query).alias("t"), locator.alias("query_locator"),
         digest(F.to_json(V.field(rec, "$.content"))).alias("content_digest"),
         digest(F.to_json(query)).alias("query_digest"), digest(F.to_json(rec)).alias("digest"))
-    base = base.filter(F.col("not_object") | ~F.coalesce(F.col("role") == "assistant", F.lit(False)))
+    base = durable(base.filter(F.col("not_object") | ~F.coalesce(F.col("role") == "assistant", F.lit(False))))
     identified = (~F.col("not_object") & F.coalesce(F.col("role") == "user", F.lit(False))
                   & F.col("message_id").isNotNull() & F.col("claimed_session_id").isNotNull()
                   & F.col("ord").isNotNull() & F.col("created_at").isNotNull())
@@ -133,7 +134,7 @@ def parse_user_messages(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(~F.col("t.query_ok"), _issue("USER_QUERY_INVALID", field="query")),
         F.when(F.col("from_query").isNotNull(), _issue("USER_TEXT_FROM_QUERY", "warning", "query")),
         F.when(F.col("from_content").isNull() & F.col("from_query").isNull(), _issue("USER_TEXT_MISSING"))))
-    checked = checked.withColumn("issues", issues)
+    checked = durable(checked.withColumn("issues", issues))
     messages = checked.filter("identified AND coalesce(from_content, from_query) IS NOT NULL").select(
         "session_id", "claimed_session_id", "message_id", "entry_index", "ord", "created_at",
         F.coalesce("from_content", "from_query").alias("text"),
@@ -179,13 +180,17 @@ def _texts(entries: Column, thought_path: str, name: str) -> Column:
 def assistant_text_blocks(content: Column, message_type: Column, agent_type: Column) -> Column:
     """struct(valid, texts array<struct<entry_index, rank, text, locator>>) of an assistant record."""
     envelope = _envelope(content)
-    body = V.field(envelope, "$.content")
+    return _text_blocks(envelope.isNotNull(), V.field(envelope, "$.content"),
+                        V.array(V.field(envelope, "$.messages")), message_type, agent_type)
+
+
+def _text_blocks(has_envelope: Column, body: Column, entries: Column, message_type: Column,
+                 agent_type: Column) -> Column:
     general = F.struct(
-        (envelope.isNotNull() & _text_or_absent(body)).alias("valid"),
+        (has_envelope & _text_or_absent(body)).alias("valid"),
         F.when(_solid(body).isNotNull(), F.array(F.struct(
             F.lit(-1).alias("entry_index"), F.lit(0).alias("rank"), _solid(body).alias("text"),
             F.lit("content.content").alias("locator")))).otherwise(F.array().cast(_TEXTS)).alias("texts"))
-    entries = V.array(V.field(envelope, "$.messages"))
 
     def proposal_ok(e: Column) -> Column:
         inside = V.obj(V.field(V.obj(V.field(e, "$.proposal")), "$.content"))
@@ -241,9 +246,13 @@ def parse_assistant_messages(recs: DataFrame) -> dict[str, DataFrame]:
         normalize_status(V.text(get("status")), MESSAGE_STATUS).alias("status"),
         _given(get("chat_start_time")).alias("has_start"), _milliseconds(get("chat_start_time")).alias("started_at"),
         _given(get("chat_end_time")).alias("has_end"), _milliseconds(get("chat_end_time")).alias("ended_at"),
-        get("content").alias("content"), V.text(get("agent_type")).alias("agent_type"),
+        _envelope(get("content")).alias("envelope"), V.text(get("agent_type")).alias("agent_type"),
         digest(F.to_json(rec)).alias("digest"))
-    base = base.filter(F.col("not_object") | ~F.coalesce(F.col("role") == "user", F.lit(False)))
+    base = durable(base.filter(F.col("not_object") | ~F.coalesce(F.col("role") == "user", F.lit(False)))
+                   .select("*", V.field(F.col("envelope"), "$.content").alias("body"),
+                           V.field(F.col("envelope"), "$.reasoning_content").alias("reason"),
+                           V.array(V.field(F.col("envelope"), "$.messages")).alias("entries"),
+                           F.col("envelope").isNotNull().alias("has_envelope")).drop("envelope"))
     identified = ~F.col("not_object") & F.coalesce(F.col("role") == "assistant", F.lit(False))
     for name in ("message_id", "claimed_session_id", "turn_id", "reply_to", "ord", "created_at", "message_type"):
         identified = identified & F.col(name).isNotNull()
@@ -253,7 +262,8 @@ def parse_assistant_messages(recs: DataFrame) -> dict[str, DataFrame]:
                .withColumn("started_at", F.when(F.col("has_start"), F.col("started_at")))
                .withColumn("reversed", reversed_time)
                .withColumn("completed_at", F.when(F.col("has_end") & ~F.col("reversed"), F.col("ended_at")))
-               .withColumn("t", assistant_text_blocks(F.col("content"), F.col("message_type"), F.col("agent_type"))))
+               .withColumn("t", _text_blocks(F.col("has_envelope"), F.col("body"), F.col("entries"),
+                                             F.col("message_type"), F.col("agent_type"))))
     issues = F.when(~F.col("identified"), F.array(_issue("ASSISTANT_RECORD_INVALID"))).otherwise(_present(
         F.when(F.col("status") == "unknown", _issue("ASSISTANT_STATUS_INVALID", "warning", "status")),
         F.when(F.col("has_start") & F.col("started_at").isNull(),
@@ -265,7 +275,7 @@ def parse_assistant_messages(recs: DataFrame) -> dict[str, DataFrame]:
                _issue("ASSISTANT_COMPLETION_TIME_MISSING", "warning", "chat_end_time")),
         F.when(~F.col("t.valid"), _issue("ASSISTANT_CONTENT_INVALID", field="content")),
         F.when(F.size("t.texts") == 0, _issue("ASSISTANT_TEXT_MISSING", "warning", "content"))))
-    checked = checked.withColumn("issues", issues)
+    checked = durable(checked.withColumn("issues", issues))
     good = checked.filter("identified")
     messages = good.select(
         "session_id", "claimed_session_id", "message_id", "entry_index", "ord", "created_at", "started_at",
@@ -288,21 +298,19 @@ def _entries(good: DataFrame) -> DataFrame:
     """One row per entry of the task messages, with its envelope index."""
     return (good.filter("message_type = 'task'")
             .select("session_id", "message_id", F.col("entry_index").alias("rec_index"), "digest",
-                    F.posexplode(V.array(V.field(_envelope(F.col("content")), "$.messages"))).alias("i", "e"))
+                    F.posexplode("entries").alias("i", "e"))
             .withColumn("kind", V.text(V.field(F.col("e"), "$.type"))))
 
 
 def reasoning_blocks(good: DataFrame) -> dict[str, DataFrame]:
     """Reasoning of the envelope, of proposals and of plan items, with plan items deduplicated.
 
-    ``good``: identified assistant rows with content and message_type.
+    ``good``: identified assistant rows with message_type, has_envelope, reason and entries.
     """
     from palaver.operators.dedup import dedup_quarantine
     ident = ["session_id", "message_id", "entry_index", "digest"]
-    envelope = _envelope(F.col("content"))
-    reason = V.field(envelope, "$.reasoning_content")
     general = good.filter("message_type = 'general'").select(
-        *ident, F.lit(-1).alias("block_index"), reason.alias("v"), F.lit("content.reasoning_content").alias("locator"))
+        *ident, F.lit(-1).alias("block_index"), F.col("reason").alias("v"), F.lit("content.reasoning_content").alias("locator"))
     entries = _entries(good)
     place = F.concat(F.lit("content.messages["), F.col("i"), F.lit("]"))
     proposal = V.obj(_parsed(V.field(V.obj(_parsed(V.field(F.col("e"), "$.proposal"))), "$.content")))
@@ -336,11 +344,10 @@ def reasoning_blocks(good: DataFrame) -> dict[str, DataFrame]:
     issues = bad(fields.filter(_given(F.col("v")) & ~V.is_text(F.col("v"))), "REASONING_INVALID",
                  index="entry_index")
     for rows, code, severity in (
-            (good.filter(envelope.isNull()).select(*ident, F.lit("content").alias("locator"),
+            (good.filter("NOT has_envelope").select(*ident, F.lit("content").alias("locator"),
                                                    F.col("entry_index").alias("rec_index")),
              "REASONING_INVALID", "error"),
-            (good.filter((F.col("message_type") == "task") & envelope.isNotNull()
-                         & V.array(V.field(envelope, "$.messages")).isNull())
+            (good.filter("message_type = 'task' AND has_envelope AND entries IS NULL")
              .select(*ident, F.lit("content.messages").alias("locator"), F.col("entry_index").alias("rec_index")),
              "PLAN_ITEM_INVALID", "error"),
             (located.filter(not_object), "PLAN_ITEM_INVALID", "error"),
@@ -408,12 +415,11 @@ def tool_observations(good: DataFrame) -> dict[str, DataFrame]:
         F.when(F.col("bad_timing") | early_end, _issue("TOOL_TIMING_INVALID", locator=at(".timing"))),
         *[F.when(F.col(f"bad_{n}"), _issue("TOOL_TIMING_INVALID", locator=at(f".timing.{raw}")))
           for n, raw in fields.items()]))
-    typed = typed.withColumn("invalid", invalid).withColumn("issues", issues)
+    typed = durable(typed.withColumn("invalid", invalid).withColumn("issues", issues))
     obs = typed.filter(known).select(
         "session_id", "message_id", "rec_index", "call_id", "entry_index", "name", "input", "status", "output",
         "error", *fields, "invalid", "locator", "digest")
-    bad_envelope = good.filter((F.col("message_type") == "task") & V.array(
-        V.field(_envelope(F.col("content")), "$.messages")).isNull()).select(
+    bad_envelope = good.filter("message_type = 'task' AND entries IS NULL").select(
         "session_id", "message_id", "entry_index", F.lit("TOOL_CONTAINER_INVALID").alias("code"),
         F.lit("error").alias("severity"), F.lit("content.messages").alias("locator"))
     found = typed.select("session_id", "message_id", F.col("rec_index").alias("entry_index"),

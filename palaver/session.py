@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,26 @@ def build_session(app: str = "palaver", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may fall back to its own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names; only a local session may fall back to one of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+             or context.getCheckpointDir())
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="palaver-checkpoint-")
-    context.setCheckpointDir(named)
+        context.setCheckpointDir(named)
+    return named
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def durable(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder once and read it back.
+
+    This cuts the lineage, so a lost executor costs no recomputation, and unlike a row checkpoint
+    the readers still prune columns and push filters down.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/palaver/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
