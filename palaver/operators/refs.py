@@ -140,10 +140,11 @@ def authorize_replacement(new: DataFrame, prior: DataFrame, prior_run: str) -> t
            & F.col("_parent_id").eqNullSafe(F.col("parent_id")))
     pairs = (new.filter("state = 'pending'").join(before, "target_id")
              .withColumn("_fit", F.coalesce(fit, F.lit(False))))
-    good = pairs.filter("_fit").select(*new.columns, F.struct(
+    plain = [column for column in new.columns if column != "replacement"]
+    good = pairs.filter("_fit").select(*plain, F.struct(
         F.lit(prior_run).alias("run_id"), F.col("_deletion_hash").alias("deletion_hash"),
         F.lit("pending").alias("state")).alias("replacement"))
-    return good, pairs.filter("NOT _fit").select(*new.columns)
+    return good, pairs.filter("NOT _fit").select(*plain)
 
 
 def key_union(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
