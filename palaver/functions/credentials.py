@@ -46,8 +46,9 @@ _KEY = r"([A-Za-z_][A-Za-z0-9_.-]{0,127})"
 # The value is only looked at, so that "https:" cannot swallow a later "?token=".
 ASSIGNMENT = rf"""(?:^|[{_NS}"'?&,{{]){_KEY}(?=["']?{_S}*[:=]{_S}*{_VALUE})"""
 ASSIGNMENT_WHOLE = rf"""(?m)(^|[{_NS}"'?&,{{]){_KEY}(["']?{_S}*[:=]{_S}*){_VALUE}"""
-# Every sensitive key contains one of these words.
-KEY_WORDS = r"(?i)key|secret|token|passw|authorization|cookie|credential"
+# Every sensitive key contains one of these words, and ends in one form of them before the sign.
+KEY_WORDS = ("key", "secret", "token", "passw", "authorization", "cookie", "credential")
+KEY_BEFORE_SIGN = (rf"""(?i)(?:key(?:[_-]?id)?|secret|token|password|passwd|authorization|cookie|credentials?)["']?{_S}*[:=]""")
 
 
 def credential_key(key: Column) -> Column:
@@ -70,10 +71,29 @@ def populated_text(value: Column) -> Column:
     return F.coalesce((value != "") & ~js_trim(value).rlike(REFERENCE), F.lit(False))
 
 
+# Literals without which a pattern cannot match; finding them is far cheaper than the pattern.
+_LITERALS = (
+    ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "npm_"), ("sk-",), ("xox",),
+    ("glpat-", "hf_", "AIza"), ("AKIA", "ASIA"), ("eyJ",),
+)
+_LOWER_LITERALS = (("://",), ("bearer", "basic"), ("signature=", "sig="))
+
+
+def _has_any(text: Column, literals: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
+        found = found | F.contains(text, F.lit(literal))
+    return found
+
+
 def known_token(text: Column) -> Column:
-    known = text.rlike(PRIVATE_KEY) | text.rlike(CLI_SECRET)
-    for pattern in TOKEN_PATTERNS + PREFIX_PATTERNS:
-        known = known | text.rlike(pattern)
+    lower = F.lower(text)
+    known = ((F.contains(text, F.lit("PRIVATE KEY-----")) & text.rlike(PRIVATE_KEY))
+             | (F.contains(text, F.lit("--")) & text.rlike(CLI_SECRET)))
+    for pattern, literals in zip(TOKEN_PATTERNS, _LITERALS):
+        known = known | (_has_any(text, literals) & text.rlike(pattern))
+    for pattern, literals in zip(PREFIX_PATTERNS, _LOWER_LITERALS):
+        known = known | (_has_any(lower, literals) & text.rlike(pattern))
     return known
 
 
@@ -90,8 +110,8 @@ def assigned_keys(text: Column) -> Column:
 
 def has_credentials(text: Column) -> Column:
     """Plain-text check: token families, command-line secrets, sensitive assignments."""
-    candidate = text.rlike(KEY_WORDS) & text.rlike("[:=]")
-    assigned = F.when(candidate, F.size(assigned_keys(text)) > 0).otherwise(False)
+    words = _has_any(F.lower(text), KEY_WORDS) & text.rlike(KEY_BEFORE_SIGN)
+    assigned = F.when(words, F.size(assigned_keys(text)) > 0).otherwise(False)
     return F.coalesce(known_token(text) | assigned, F.lit(False))
 
 
@@ -101,6 +121,12 @@ def redact_text(text: Column) -> Column:
     A private key or command-line secret replaces everything, and so does a text that still has a
     hit after the replacements.
     """
+    same = F.struct(text.alias("value"), F.lit(0).cast("bigint").alias("count"))
+    return F.when(~has_credentials(text), same).otherwise(redact_hit(text))
+
+
+def redact_hit(text: Column) -> Column:
+    """``redact_text`` for a text that is known to hold a credential."""
     value, count = text, F.lit(0)
     for pattern in TOKEN_PATTERNS:
         count = count + F.regexp_count(value, F.lit(pattern))
@@ -114,9 +140,7 @@ def redact_text(text: Column) -> Column:
     partly = F.struct(swapped["text"].alias("value"), count.cast("bigint").alias("count"))
     whole = F.struct(F.lit(MARKER).alias("value"), F.greatest(count, F.lit(1)).cast("bigint").alias("count"))
     only = F.struct(F.lit(MARKER).alias("value"), F.lit(1).cast("bigint").alias("count"))
-    same = F.struct(text.alias("value"), F.lit(0).cast("bigint").alias("count"))
-    return (F.when(~has_credentials(text), same)
-            .when(text.rlike(PRIVATE_KEY) | text.rlike(CLI_SECRET), only)
+    return (F.when(text.rlike(PRIVATE_KEY) | text.rlike(CLI_SECRET), only)
             .when(clean, partly).otherwise(whole))
 
 

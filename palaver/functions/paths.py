@@ -24,7 +24,7 @@ def normalize_posix(path: Column) -> Column:
 
 def normalize_windows(path: Column) -> Column:
     r"""``C:\...`` with an upper-case drive, or ``\\host\share\...``; device paths are NULL."""
-    flat = F.regexp_replace(path, "/", r"\\\\")
+    flat = F.translate(path, "/", "\\")
     drive = F.upper(F.regexp_extract(flat, r"^([A-Za-z]:)\\", 1))
     share = F.regexp_extract(flat, r"^\\\\((?![?.]\\)[^\\]+\\[^\\]+)", 1)
     rest = F.when(drive != "", F.substring(flat, F.lit(3), F.length(flat))).otherwise(

@@ -11,6 +11,9 @@ from palaver.operators.payload import payload_nodes
 # Keywords without effect on data.
 ANNOTATIONS = ("title", "description", "examples", "example", "default", "deprecated", "$comment", "readOnly", "writeOnly")
 
+# A schema has at most 100,000 nodes, and each gives few rows.
+MAX_BASELINE_ROWS = 400_000
+
 
 def flatten_schemas(schemas: DataFrame, id_col: str = "schema_id", column: str = "schema") -> DataFrame:
     """(schema_id, path, attr, value): one row per keyword of every node of a JSON schema.
@@ -45,12 +48,23 @@ def schema_drift(baseline: DataFrame, observed: DataFrame, limit: int = 100) ->
     """
     c = F.col
     ids = observed.select("schema_id").distinct()
-    # Every schema meets every baseline row once: the baseline is one reviewed document.
-    expected = ids.withColumn("_k", F.lit(1)).join(F.broadcast(baseline.distinct().withColumn("_k", F.lit(1))), "_k").drop("_k") \
-        .withColumn("_in_base", F.lit(True))
+    # The baseline is one reviewed document; only schemas that miss a part of it are spelled out.
+    base = baseline.distinct()
+    parts = base.count()
+    if parts > MAX_BASELINE_ROWS:
+        raise ValueError("SCHEMA_TOO_LARGE")
+    held = observed.distinct().join(base, ["path", "attr", "value"], "left_semi").groupBy("schema_id").agg(
+        F.count(F.lit(1)).alias("_held"))
+    lacking = ids.join(held, "schema_id", "left").filter(F.coalesce("_held", F.lit(0)) < parts).select("schema_id")
+    wanted = base.agg(F.collect_list(F.struct("path", "attr", "value")).alias("_rows")).withColumn("_one", F.lit(1))
+    expected = (lacking.withColumn("_one", F.lit(1)).join(F.broadcast(wanted), "_one")
+                .select("schema_id", F.explode("_rows").alias("r")).select("schema_id", "r.*")
+                .withColumn("_in_base", F.lit(True)))
     seen = observed.distinct().withColumn("_in_new", F.lit(True))
-    pairs = expected.join(seen, ["schema_id", "path", "attr", "value"], "full").filter(
-        c("_in_base").isNull() | c("_in_new").isNull())
+    extra = seen.join(base, ["path", "attr", "value"], "left_anti").withColumn("_in_base", F.lit(None).cast("boolean"))
+    missing = expected.join(seen, ["schema_id", "path", "attr", "value"], "left_anti").withColumn(
+        "_in_new", F.lit(None).cast("boolean"))
+    pairs = missing.unionByName(extra)
     closed = baseline.filter("attr = 'additionalProperties' AND value = 'false'").select("path", F.lit(True).alias("_closed"))
     still_closed = observed.filter("attr = 'additionalProperties' AND value = 'false'").select(
         "schema_id", "path", F.lit(True).alias("_still"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import variant as V
 from palaver.functions.credentials import (
-    MARKER, credential_key, has_credentials, js_trim, populated_text, redact_text,
+    MARKER, credential_key, has_credentials, js_trim, populated_text, redact_hit, redact_text,
 )
 from palaver.functions.paths import percent_decode
 from palaver.session import durable
@@ -142,11 +142,14 @@ def redact_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Plain-text columns with credentials replaced and ``redacted_count`` summed over them."""
     total = F.lit(0).cast("bigint")
     for column in columns:
-        df = df.withColumn(f"_r_{column}", redact_text(F.col(column)))
+        # The cheap test decides per row; only rows with a hit pay for the replacements.
+        df = df.withColumn(f"_h_{column}", has_credentials(F.col(column)))
+        df = df.withColumn(f"_r_{column}", F.when(F.col(f"_h_{column}"), redact_hit(F.col(column))))
         total = total + F.coalesce(F.col(f"_r_{column}")["count"], F.lit(0))
     df = df.withColumn("redacted_count", total)
     for column in columns:
-        df = df.withColumn(column, F.col(f"_r_{column}")["value"]).drop(f"_r_{column}")
+        df = df.withColumn(column, F.coalesce(F.col(f"_r_{column}")["value"], F.col(column))).drop(
+            f"_r_{column}", f"_h_{column}")
     return df
 
 

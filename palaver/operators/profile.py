@@ -122,21 +122,24 @@ def key_presence(df: DataFrame, column: str) -> DataFrame:
 def assert_coverage(profile: DataFrame, relation: DataFrame, texts: Sequence[str]) -> DataFrame:
     """(expectation, ok) over an evidence profile.
 
-    ``relation``: one row with samples and matches of assistant replies. The profile has a fixed,
-    small number of rows, so it is pivoted into one row here.
+    ``relation``: one row with samples and matches of assistant replies. All facts are summed into
+    one row, and the expectations are columns of it.
     """
+    replies = relation.select(F.explode(F.array(*[F.struct(
+        F.lit("relation").alias("metric"), F.lit(name).alias("value"), F.col(name).cast("bigint").alias("n"))
+        for name in ("samples", "matches")])).alias("r")).select("r.*")
     def total(metric: str, value: str | None = None) -> Column:
         hit = F.col("metric") == metric
         if value is not None:
             hit = hit & (F.col("value") == value)
         return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
-    row = profile.agg(
+    row = profile.unionByName(replies).agg(
         total("messages").alias("messages"), total("role", "user").alias("users"),
         total("role", "assistant").alias("assistants"), total("status").alias("statuses"),
         total("type").alias("types"), total("timing", "created_at").alias("created"),
         total("timing", "completed_at").alias("completed"),
-        *[total(f"text.{t}", "nonEmpty").alias(f"text_{t}") for t in texts]).join(
-        relation.select("samples", "matches").limit(1), how="cross")
+        total("relation", "samples").alias("samples"), total("relation", "matches").alias("matches"),
+        *[total(f"text.{t}", "nonEmpty").alias(f"text_{t}") for t in texts])
     c = F.col
     checks = {
         "roles sum to messages": (c("users") > 0) & (c("assistants") > 0) & (c("users") + c("assistants") == c("messages")),
