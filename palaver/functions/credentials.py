@@ -125,23 +125,28 @@ def redact_text(text: Column) -> Column:
     return F.when(~has_credentials(text), same).otherwise(redact_hit(text))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def redact_hit(text: Column) -> Column:
     """``redact_text`` for a text that is known to hold a credential."""
-    value, count = text, F.lit(0)
+    def replaced(state: Column, pattern: str, marker: str) -> Column:
+        return let(state, lambda s: F.struct(
+            F.regexp_replace(s["value"], pattern, marker).alias("value"),
+            (s["count"] + F.regexp_count(s["value"], F.lit(pattern))).cast("bigint").alias("count")))
+    state = F.struct(text.alias("value"), F.lit(0).cast("bigint").alias("count"))
     for pattern in TOKEN_PATTERNS:
-        count = count + F.regexp_count(value, F.lit(pattern))
-        value = F.regexp_replace(value, pattern, MARKER)
+        state = replaced(state, pattern, MARKER)
     for pattern in PREFIX_PATTERNS:
-        count = count + F.regexp_count(value, F.lit(pattern))
-        value = F.regexp_replace(value, pattern, f"$1{MARKER}")
-    swapped = _redact_assignments(value)
-    count = count + swapped["n"]
-    clean = (count > 0) & ~has_credentials(swapped["text"])
-    partly = F.struct(swapped["text"].alias("value"), count.cast("bigint").alias("count"))
-    whole = F.struct(F.lit(MARKER).alias("value"), F.greatest(count, F.lit(1)).cast("bigint").alias("count"))
-    only = F.struct(F.lit(MARKER).alias("value"), F.lit(1).cast("bigint").alias("count"))
-    return (F.when(text.rlike(PRIVATE_KEY) | text.rlike(CLI_SECRET), only)
-            .when(clean, partly).otherwise(whole))
+        state = replaced(state, pattern, f"$1{MARKER}")
+    state = let(state, lambda s: let(_redact_assignments(s["value"]), lambda a: F.struct(
+        a["text"].alias("value"), (s["count"] + a["n"]).cast("bigint").alias("count"))))
+    whole = lambda n: F.struct(F.lit(MARKER).alias("value"), n.cast("bigint").alias("count"))
+    result = let(state, lambda s: F.when((s["count"] > 0) & ~has_credentials(s["value"]), s).otherwise(
+        whole(F.greatest(s["count"], F.lit(1).cast("bigint")))))
+    return F.when(text.rlike(PRIVATE_KEY) | text.rlike(CLI_SECRET), whole(F.lit(1))).otherwise(result)
 
 
 def _redact_assignments(text: Column) -> Column:
