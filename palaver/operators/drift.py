@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.operators.ordered import top_per_key
 from palaver.operators.payload import payload_nodes
+from palaver.session import durable
 
 # Keywords without effect on data.
 ANNOTATIONS = ("title", "description", "examples", "example", "default", "deprecated", "$comment", "readOnly", "writeOnly")
@@ -21,7 +22,7 @@ def flatten_schemas(schemas: DataFrame, id_col: str = "schema_id", column: str =
     Set-like keywords (required, enum, type lists) give one row per member, and alternatives
     (anyOf, oneOf, allOf) one row per alternative by its hash, so all comparisons are row joins.
     """
-    nodes = payload_nodes(schemas, [id_col], column, reparse=False)
+    nodes = durable(payload_nodes(schemas, [id_col], column, reparse=False))
     c = F.col
     parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
     item_of = F.regexp_extract("path", r"^(.*)\.(required|enum|type|anyOf|oneOf|allOf)\[[0-9]+\]$", 1)
@@ -96,7 +97,7 @@ def schema_drift(baseline: DataFrame, observed: DataFrame, limit: int = 100) ->
 
 def compare_to(schemas: DataFrame, baseline_id: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """Drift of all ``schemas(schema_id, schema)`` against the one named ``baseline_id``."""
-    rows = flatten_schemas(schemas)
+    rows = durable(flatten_schemas(schemas))
     base = rows.filter(F.col("schema_id") == baseline_id).drop("schema_id")
     return schema_drift(base, rows.filter(F.col("schema_id") != baseline_id), limit)
 

@@ -29,8 +29,9 @@ class Inputs:
 
     records: DataFrame          # session_id, title, created_at, updated_at, parent_id, status
     sources: DataFrame          # session_id, workspace_id, kind, locator, digest
-    responses: DataFrame        # session_id, status, expected, response (JSON text)
+    responses: DataFrame        # session_id, status, expected, and response (JSON text) unless recs is given
     workspace_projects: DataFrame   # workspace_id, path, source
+    recs: DataFrame | None = None   # session_id, entry_index, rec VARIANT: records instead of whole responses
     issues: list[DataFrame] = field(default_factory=list)   # session_id?, code, severity
     resources: DataFrame | None = None      # resource_id, type, availability, relative_path, ...
     resource_refs: DataFrame | None = None  # resource_id, session_id
@@ -84,8 +85,14 @@ def assemble(inputs: Inputs) -> dict[str, DataFrame]:
     home = places.groupBy("session_id").agg(F.min("workspace_id").alias("workspace_id"))
 
     # Messages.
-    available = inputs.responses.filter("status = 'available'").select("session_id", "response").distinct()
-    recs, container_issues = unwrap(available, ["session_id"], "response")
+    if inputs.recs is None:
+        available = inputs.responses.filter("status = 'available'").select("session_id", "response").distinct()
+        recs, container_issues = unwrap(available, ["session_id"], "response")
+        raw_hashes = available.select("session_id", F.concat(F.lit("sha256:"), F.sha2("response", 256)).alias("raw"))
+    else:
+        recs, container_issues = inputs.recs, None
+        raw_hashes = set_hash(recs.select("session_id", F.sha2(F.concat_ws("|", "entry_index", F.to_json("rec")), 256)
+                                          .alias("h")), ["session_id"], "h", "raw")
     recs = durable(recs)
     users, user_issues = parse_user_messages(recs)
     parsed = parse_assistant_messages(recs)
@@ -143,9 +150,8 @@ def assemble(inputs: Inputs) -> dict[str, DataFrame]:
     meta_refs = inputs.sources.groupBy("session_id", "kind").agg(F.min(meta_ref).alias("r")).groupBy("session_id").agg(
         F.array_sort(F.collect_list("r")).alias("meta_refs"))
     event_refs = events.groupBy("session_id").agg(F.min_by("refs", "pos").alias("event_refs"))
-    raw_refs = available.join(home, "session_id", "left").select("session_id", F.array(runtime_ref(
-        c("session_id"), c("workspace_id"), F.lit("runtime:getMessages#response"),
-        F.concat(F.lit("sha256:"), F.sha2("response", 256)))).alias("raw_refs"))
+    raw_refs = durable(raw_hashes.join(home, "session_id", "left").select("session_id", F.array(runtime_ref(
+        c("session_id"), c("workspace_id"), F.lit("runtime:getMessages#response"), c("raw"))).alias("raw_refs")))
     proof = (ids.join(meta_refs, "session_id", "left").join(event_refs, "session_id", "left")
              .join(raw_refs, "session_id", "left"))
     none = F.array().cast(f"array<{REF}>")
@@ -159,7 +165,7 @@ def assemble(inputs: Inputs) -> dict[str, DataFrame]:
                   user_conflicts.select(*key, F.lit("USER_DUPLICATE_CONFLICT").alias("code"), "severity"),
                   assistant_conflicts.select(*key, F.lit("ASSISTANT_DUPLICATE_CONFLICT").alias("code"), "severity"),
                   tool_conflicts.filter("code = 'TOOL_CONFLICT'").select(*key, "code", "severity"),
-                  container_issues):
+                  *([container_issues] if container_issues is not None else [])):
         parse_issues = parse_issues.unionByName(extra, allowMissingColumns=True)
     located = issues_to_events(parse_issues, events, raw_refs).withColumn("subject_type", F.lit("session")).withColumn(
         "subject_id", c("session_id"))

@@ -60,9 +60,10 @@ def resume(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id: str)
         F.col("_hash") == F.col("deletion_hash"), F.lit(True))
     if not seen.filter(verified & F.col("present") & ~F.coalesce(intact, F.lit(False))).isEmpty():
         raise ValueError("TARGET_CHANGED")
-    gone = verified & ~F.col("present")
     none = F.lit(None).cast("string")
-    return _plain(seen.withColumn("state", F.when(gone, "pending").otherwise(F.col("state")))
+    gone = F.col("_gone")
+    return _plain(seen.withColumn("_gone", verified & ~F.col("present"))
+                  .withColumn("state", F.when(gone, "pending").otherwise(F.col("state")))
                   .withColumn("created", F.when(gone, False).otherwise(F.col("created")))
                   .withColumn("codes", F.when(gone, _codes()).otherwise(F.col("codes")))
                   .withColumn("actual", F.when(gone, none).otherwise(F.col("actual")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import variant as V
+from palaver.functions.credentials import let
 
 # The markers in front of the JSON of each event kind, and the stamp width.
 MARKERS = {
@@ -17,10 +18,16 @@ MARKERS = {
 STAMP_CHARS = 29
 
 
-def _after(line: Column, marker: str) -> Column:
+def _after(line: Column, kind: str, marker: str) -> Column:
+    """struct(kind, v) of the JSON object behind the marker, NULL without one."""
     place = F.instr(line, F.lit(marker))
-    return F.when(place > 0, F.try_parse_json(
-        F.substring(line, place + len(marker), F.length(line))))
+    parsed = F.when(place > 0, F.try_parse_json(F.substring(line, place + len(marker), F.length(line))))
+    return let(parsed, lambda v: F.when(V.obj(v).isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("v"))))
+
+
+def _any_marker(line: Column) -> Column:
+    marks = [F.contains(line, F.lit(m)) for m in MARKERS.values()]
+    return marks[0] | marks[1] | marks[2] | marks[3]
 
 
 def _number(v: Column) -> Column:
@@ -37,30 +44,31 @@ def parse_log_lines(lines: DataFrame, column: str = "value", session: str | None
     if session is not None:
         lines = lines.filter(F.contains(F.col(column), F.lit(session)))
     extra = [c for c in lines.columns if c != column]
-    found = lines.select(
-        *extra, F.substring(line, 1, STAMP_CHARS).alias("observed_at"),
-        *[V.obj(_after(line, marker)).alias(kind) for kind, marker in MARKERS.items()])
-    kind = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in MARKERS])
-    body = F.coalesce(*[F.col(k) for k in MARKERS])
-    rows = found.select(*extra, "observed_at", kind.alias("kind"), body.alias("b")).filter("kind IS NOT NULL")
-    b = F.col("b")
-    text = lambda path: F.nullif(V.text(V.field(b, path)), F.lit(""))
-    only = lambda name, column: F.when(F.col("kind") == name, column)
-    typed = rows.select(
-        *extra, "observed_at", "kind", F.coalesce(text("$.session_id"), text("$.sessionId")).alias("session_id"),
-        *[only("history", _number(V.field(b, f"$.{raw}"))).alias(n) for n, raw in (
-            ("loaded", "loadedMessageCount"), ("stored", "storeMessageCount"),
-            ("pending", "pendingMessageCount"), ("plan_items", "planItemCount"))],
-        only("history", V.boolean(V.field(b, "$.hasMore"))).alias("has_more"),
-        F.coalesce(only("metadata", text("$.message_id")), only("applied", text("$.agentMessageId"))).alias("message_id"),
-        F.coalesce(only("metadata", text("$.reply_to_message_id")), only("applied", text("$.userMessageId")))
-        .alias("reply_to"),
-        only("metadata", text("$.turn_id")).alias("turn_id"),
-        only("metadata", _number(V.field(b, "$.message_index"))).alias("message_index"),
-        only("metadata", text("$.message_type")).alias("message_type"),
-        only("tool", text("$.tool_call_id")).alias("call_id"),
-        F.coalesce(only("metadata", text("$.status")), only("tool", text("$.result.status"))).alias("status"),
-        only("tool", _number(V.field(b, "$.result.exit_code"))).alias("exit_code"))
+    # Each line is parsed once; all fields are read from that value.
+    found = F.coalesce(*[_after(line, kind, marker) for kind, marker in MARKERS.items()])
+
+    def fields(p: Column) -> Column:
+        kind, b = p["kind"], p["v"]
+        text = lambda path: F.nullif(V.text(V.field(b, path)), F.lit(""))
+        only = lambda name, value: F.when(kind == name, value)
+        return F.struct(
+            kind.alias("kind"), F.coalesce(text("$.session_id"), text("$.sessionId")).alias("session_id"),
+            *[only("history", _number(V.field(b, f"$.{raw}"))).alias(n) for n, raw in (
+                ("loaded", "loadedMessageCount"), ("stored", "storeMessageCount"),
+                ("pending", "pendingMessageCount"), ("plan_items", "planItemCount"))],
+            only("history", V.boolean(V.field(b, "$.hasMore"))).alias("has_more"),
+            F.coalesce(only("metadata", text("$.message_id")), only("applied", text("$.agentMessageId"))).alias("message_id"),
+            F.coalesce(only("metadata", text("$.reply_to_message_id")), only("applied", text("$.userMessageId"))).alias("reply_to"),
+            only("metadata", text("$.turn_id")).alias("turn_id"),
+            only("metadata", _number(V.field(b, "$.message_index"))).alias("message_index"),
+            only("metadata", text("$.message_type")).alias("message_type"),
+            only("tool", text("$.tool_call_id")).alias("call_id"),
+            F.coalesce(only("metadata", text("$.status")), only("tool", text("$.result.status"))).alias("status"),
+            only("tool", _number(V.field(b, "$.result.exit_code"))).alias("exit_code"))
+    marked = lines.filter(_any_marker(F.col(column)))
+    opened = marked.select(*extra, F.substring(line, 1, STAMP_CHARS).alias("observed_at"),
+                           F.explode(F.array_compact(F.array(let(found, fields)))).alias("f"))
+    typed = opened.select(*extra, "observed_at", "f.*").filter("kind IS NOT NULL")
     complete = (F.when(F.col("kind") == "history", F.col("loaded").isNotNull() & F.col("stored").isNotNull()
                        & F.col("pending").isNotNull() & F.col("plan_items").isNotNull() & F.col("has_more").isNotNull())
                 .when(F.col("kind") == "metadata", F.col("message_id").isNotNull() & F.col("turn_id").isNotNull()

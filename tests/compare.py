@@ -47,8 +47,9 @@ def compare(spark, con, name: str, folder: str) -> str:
     left, right = _rows(df.columns, got), _rows(columns, wanted)
     if left == right:
         return "" if left else "equal but empty"
-    only_left = [r for r in left if r not in set(map(tuple, right))][:3] if len(left) < 20000 else left[:2]
-    only_right = [r for r in right if r not in set(map(tuple, left))][:3] if len(right) < 20000 else right[:2]
+    in_left, in_right = set(left), set(right)
+    only_left = [r for r in left if r not in in_right][:3]
+    only_right = [r for r in right if r not in in_left][:3]
     return f"{len(left)} vs {len(right)} rows; only spark {only_left}; only sql {only_right}"
 
 
