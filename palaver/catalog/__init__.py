@@ -1,6 +1,6 @@
 """All named queries."""
 
-from palaver.catalog import columns, joins, lifecycle, profiles, quality  # noqa: F401
+from palaver.catalog import columns, joins, lifecycle, mapping, profiles, quality  # noqa: F401
 from palaver.catalog.base import CATALOG, Source
 
 __all__ = ["CATALOG", "Source"]

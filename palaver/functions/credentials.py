@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.common import let
+
 MARKER = "[REDACTED_SECRET]"
 _B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 # Fixed value: white space as ECMAScript counts it.
@@ -125,11 +127,6 @@ def redact_text(text: Column) -> Column:
     return F.when(~has_credentials(text), same).otherwise(redact_hit(text))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def redact_hit(text: Column) -> Column:
     """``redact_text`` for a text that is known to hold a credential."""
     def replaced(state: Column, pattern: str, marker: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.common import let
+
 
 def _resolve_dots(parts: Column) -> Column:
     """Drop empty and ``.`` parts, let ``..`` remove its predecessor (never above the root)."""
@@ -24,15 +26,21 @@ def normalize_posix(path: Column) -> Column:
 
 def normalize_windows(path: Column) -> Column:
     r"""``C:\...`` with an upper-case drive, or ``\\host\share\...``; device paths are NULL."""
-    flat = F.translate(path, "/", "\\")
-    drive = F.upper(F.regexp_extract(flat, r"^([A-Za-z]:)\\", 1))
-    share = F.regexp_extract(flat, r"^\\\\((?![?.]\\)[^\\]+\\[^\\]+)", 1)
-    rest = F.when(drive != "", F.substring(flat, F.lit(3), F.length(flat))).otherwise(
-        F.substring(flat, F.length(share) + 3, F.length(flat)))
-    tail = F.array_join(_resolve_dots(F.split(rest, r"\\")), "\\")
-    valid = ~F.contains(path, F.lit("\0")) & ((drive != "") | (share != ""))
-    on_share = F.concat(F.lit("\\\\"), share, F.when(tail == "", F.lit("")).otherwise(F.lit("\\")), tail)
-    return F.when(valid, F.when(drive != "", F.concat(drive, F.lit("\\"), tail)).otherwise(on_share))
+    def of_flat(flat: Column) -> Column:
+        parts = F.struct(F.upper(F.regexp_extract(flat, r"^([A-Za-z]:)\\", 1)).alias("drive"),
+                         F.regexp_extract(flat, r"^\\\\((?![?.]\\)[^\\]+\\[^\\]+)", 1).alias("share"))
+        return let(parts, lambda p: of_root(flat, p["drive"], p["share"]))
+
+    def of_root(flat: Column, drive: Column, share: Column) -> Column:
+        used = F.when(drive != "", F.lit(2)).otherwise(F.length(share) + 2)
+        rest = F.substring(flat, used + 1, F.length(flat))
+
+        def joined(tail: Column) -> Column:
+            gap = F.when(tail == "", F.lit("")).otherwise(F.lit("\\"))
+            return F.when(drive != "", F.concat(drive, F.lit("\\"), tail)).when(
+                share != "", F.concat(F.lit("\\\\"), share, gap, tail))
+        return let(F.array_join(_resolve_dots(F.split(rest, r"\\")), "\\"), joined)
+    return F.when(~F.contains(path, F.lit("\0")), let(F.translate(path, "/", "\\"), of_flat))
 
 
 def normalize_path(path: Column, platform: Column | str) -> Column:
@@ -61,16 +69,20 @@ def percent_decode(text: Column) -> Column:
 def file_uri_to_path(uri: Column, platform: Column | str) -> Column:
     """Local path of a plain ``file:`` URI; credentials, query, fragment or %2F/%5C give NULL."""
     platform = F.lit(platform) if isinstance(platform, str) else platform
-    host = F.lower(F.regexp_extract(uri, _FILE_URI, 1))
     raw = F.regexp_extract(uri, _FILE_URI, 2)
     usable = uri.rlike(_FILE_URI) & ~raw.rlike("(?i)%(?:2f|5c)")
-    decoded = F.when(usable, percent_decode(raw))
-    local = (host == "") | (host == "localhost")
-    windows = (F.when(~local, normalize_windows(F.concat(F.lit("//"), host, decoded)))
-               .when(decoded.rlike(r"^/[A-Za-z]:(?:/|$)"),
-                     F.coalesce(normalize_windows(F.substring(decoded, F.lit(2), F.length(decoded))),
-                                F.concat(F.upper(F.substring(decoded, 2, 2)), F.lit(".")))))
-    return F.when(platform == "win32", windows).otherwise(F.when(local, normalize_posix(decoded)))
+    parts = F.struct(F.lower(F.regexp_extract(uri, _FILE_URI, 1)).alias("host"), percent_decode(raw).alias("path"))
+
+    def local_path(p: Column) -> Column:
+        local = (p["host"] == "") | (p["host"] == "localhost")
+        # A bare "C:" keeps its current directory, as a relative drive path.
+        drive = F.when(p["path"].rlike(r"^/[A-Za-z]:(?:/|$)"), F.coalesce(
+            normalize_windows(F.substring(p["path"], F.lit(2), F.length(p["path"]))),
+            F.concat(F.upper(F.substring(p["path"], 2, 2)), F.lit("."))))
+        share = normalize_windows(F.concat(F.lit("//"), p["host"], p["path"]))
+        windows = F.when(local, drive).otherwise(share)
+        return F.when(platform == "win32", windows).when(local, normalize_posix(p["path"]))
+    return F.when(usable, let(parts, local_path))
 
 
 def ancestors(path: Column, separator: str = "/") -> Column:

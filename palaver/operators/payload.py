@@ -45,8 +45,9 @@ def payload_nodes(df: DataFrame, keys: Sequence[str], column: str, reparse: bool
     also shown decoded. Text that is not JSON is one string node. Too deep or too large payloads
     are an error, never cut.
     """
-    keys = list(keys)
+    names, keys = list(keys), [f"_k{i}" for i in range(len(keys))]
     raw = F.col(column)
+    df = df.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], raw.alias(column))
     level = df.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"),
                       F.try_parse_json(raw).alias("v"), raw.alias("_raw"), F.lit(0).alias("depth"))
     # A plain text has no variant; it is kept as the text of a string node.
@@ -75,7 +76,8 @@ def payload_nodes(df: DataFrame, keys: Sequence[str], column: str, reparse: bool
     totals = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_NODES)
     if not totals.isEmpty():
         raise ValueError("SENSITIVE_SCAN_LIMIT: nodes")
-    return found
+    rest = [c for c in found.columns if c not in keys]
+    return found.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], *rest)
 
 
 def _next_level(level: DataFrame, keys: list[str], decode: bool) -> DataFrame:
@@ -190,10 +192,11 @@ def redact_payloads(df: DataFrame, keys: Sequence[str], column: str, max_nesting
         F.concat(F.lit('"[REDACTED_KEY_'), F.substring(F.sha2("key", 256), 1, 8), F.lit(']":')).alias("new"),
         F.lit(1).cast("bigint").alias("n"))
     changes = masked.unionByName(replaced).unionByName(renamed)
+    place = f"_place{max_nesting}"
     inner = texts.filter(looks_json & suspicious(F.col("text"))).select(
-        *keys, "path", F.col("text").alias("_old"), F.col("text").alias("_inner"))
+        *keys, F.col("path").alias(place), F.col("text").alias("_old"), F.col("text").alias("_inner"))
     if max_nesting and not inner.isEmpty():
-        opened = redact_payloads(inner, keys + ["path"], "_inner", max_nesting - 1)
+        opened = redact_payloads(inner, keys + [place], "_inner", max_nesting - 1)
         changes = changes.unionByName(opened.filter("redacted_count > 0").select(
             *keys, F.lit(1).alias("step"), _quoted(F.col("_old")).alias("old"),
             _quoted(F.col("_inner")).alias("new"), F.col("redacted_count").alias("n")))

@@ -9,6 +9,17 @@ from palaver.functions.mime import is_plain_utf8, sniff_mime
 from palaver.functions.paths import basename_extension, percent_decode
 
 
+def inventory(files: DataFrame) -> DataFrame:
+    """The inventory of ``files(path, size_bytes, content)``; contents stay on the executors."""
+    utf8 = is_plain_utf8(F.col("content"))
+    return files.select(
+        "path", F.col("size_bytes").cast("bigint").alias("size_bytes"),
+        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"),
+        sniff_mime(F.col("content"), utf8).alias("mime"), utf8.alias("valid_utf8"),
+        basename_extension(F.col("path")).alias("ext"), F.size(F.split("path", "/")).alias("depth"),
+        F.sha2("path", 256).alias("path_hash"))
+
+
 def read_file_inventory(spark: SparkSession, root: str, workspace_depth: int = 0) -> DataFrame:
     """Every file below ``root``: size, SHA-256, type, strict UTF-8 flag, extension, depth, path hash.
 
@@ -19,14 +30,7 @@ def read_file_inventory(spark: SparkSession, root: str, workspace_depth: int = 0
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base))
     shown = percent_decode(F.col("path"))
     relative = F.regexp_replace(shown, F.lit(r"^.*?\Q" + base + r"\E/"), F.lit(""))
-    utf8 = is_plain_utf8(F.col("content"))
-    typed = files.select(
-        relative.alias("path"), F.col("length").cast("bigint").alias("size_bytes"),
-        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"),
-        sniff_mime(F.col("content"), utf8).alias("mime"), utf8.alias("valid_utf8"))
-    result = typed.select(
-        "*", basename_extension(F.col("path")).alias("ext"), F.size(F.split("path", "/")).alias("depth"),
-        F.sha2("path", 256).alias("path_hash"))
+    result = inventory(files.select(relative.alias("path"), F.col("length").alias("size_bytes"), "content"))
     if workspace_depth:
         result = result.withColumn("workspace_id", F.split("path", "/")[0]).withColumn(
             "relative_path", F.regexp_replace("path", r"^[^/]+/", ""))

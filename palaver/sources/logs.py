@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import variant as V
-from palaver.functions.credentials import let
+from palaver.functions.common import let
 
 # The markers in front of the JSON of each event kind, and the stamp width.
 MARKERS = {

@@ -11,6 +11,7 @@ from palaver.functions.identity import digest
 from palaver.functions.values import to_epoch_ms
 from palaver.functions.variant import MAX_SAFE_INTEGER
 from palaver.operators.parse import SESSION_ID
+from palaver.session import durable
 from palaver.sources.messages import SESSION_LISTS, unwrap
 
 # Keys of the workspace state.
@@ -56,12 +57,17 @@ def parse_session_records(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A record with only the local id is a list record: other time fields, in seconds.
     """
     rec = F.col("rec")
-    get = lambda name: V.field(rec, f"$.{name}")
-    modern, local = _session_id(get("chat_session_id")), _session_id(get("session_id"))
+    names = ("chat_session_id", "session_id", "created_at", "updated_at", "update_at", "parent_session_id", "title", "name")
+    # The members are read once; everything below works on these columns.
+    recs = recs.select("entry_index", V.obj(rec).isNull().alias("_no_object"), digest(F.to_json(rec)).alias("_digest"),
+                       *[V.field(rec, f"$.{name}").alias(name) for name in names])
+    recs = durable(recs.select("*", _session_id(F.col("chat_session_id")).alias("_modern"),
+                               _session_id(F.col("session_id")).alias("_local")))
+    get = F.col
+    modern, local = F.col("_modern"), F.col("_local")
     no_id = ((get("chat_session_id").isNotNull() & modern.isNull())
              | (get("session_id").isNotNull() & local.isNull())
-             | F.coalesce(modern != local, F.lit(False)) | F.coalesce(modern, local).isNull()
-             | V.obj(rec).isNull())
+             | F.coalesce(modern != local, F.lit(False)) | F.coalesce(modern, local).isNull() | F.col("_no_object"))
     is_list = local.isNotNull() & modern.isNull()
     created_v = get("created_at")
     updated_v = F.when(is_list, get("update_at")).otherwise(get("updated_at"))
@@ -83,7 +89,7 @@ def parse_session_records(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(parent != owner, parent).alias("parent_id"), F.lit(2).alias("priority"),
         F.lit("runtime-metadata").alias("kind"),
         F.when(is_list, "chat.getSessions").otherwise("chat.getSessionMetadata").alias("locator"),
-        digest(F.to_json(rec)).alias("digest"), issues.alias("issues"), (~no_id).alias("accepted"))
+        F.col("_digest").alias("digest"), issues.alias("issues"), (~no_id).alias("accepted"))
     return _split(rows)
 
 

@@ -57,7 +57,7 @@ def stream_dedup_quarantine(stream: DataFrame, key: str, digest: str, ts: str, d
     The last row of a key is what ``dedup_quarantine`` says about it. State is dropped
     ``expire_ms`` after the last row of a key has passed the watermark.
     """
-    rows = (stream.withWatermark(ts, delay)
+    rows = (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
             .select(F.col(key).cast("string").alias("key"), F.col(digest).alias("digest"), F.col(ts),
                     F.unix_millis(ts).alias("event_ms")))
     return rows.groupBy("key").transformWithStateInPandas(
