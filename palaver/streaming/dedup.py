@@ -20,7 +20,7 @@ class _Quarantine(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "digest string, conflict boolean, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.seen.get() if self.seen.exists() else None
         digest, conflict, n = state if state else (None, False, 0)
         before = (digest, conflict)
@@ -35,11 +35,11 @@ class _Quarantine(StatefulProcessor):
         self.seen.update((digest, conflict, n))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(latest, timer.getCurrentWatermarkInMs()) + self.expire_ms)
+        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
         if (digest, conflict) != before:
             yield pd.DataFrame({"key": [key[0]], "digest": [digest], "conflict": [conflict], "n": [n]})
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
         return iter(())
 

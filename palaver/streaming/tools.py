@@ -19,7 +19,7 @@ class _ToolState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", "rank int, turn bigint, status string, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rank, turn, status, n = self.best.get() if self.best.exists() else (-1, 0, None, 0)
         for part in rows:
             n += len(part)
