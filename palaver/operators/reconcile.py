@@ -21,7 +21,7 @@ def header_fields(headers: DataFrame, layout: str = "v2", column: str = "info")
     """(target_id, field, value_hash, allowed): header members, nested projections as own rows."""
     spark = headers.sparkSession
     top = headers.select("target_id", F.try_parse_json(column).alias("_v")).lateralJoin(
-        spark.tvf.variant_explode(F.col("_v"))).select("target_id", F.col("key").alias("field"), "value")
+        spark.tvf.variant_explode(F.col("_v").outer())).select("target_id", F.col("key").alias("field"), "value")
     nested = [f for f in ALLOWED[layout] if "." in f]
     owners = {f.split(".")[0] for f in nested}
     plain = [f for f in ALLOWED[layout] if "." not in f]
