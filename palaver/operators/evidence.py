@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.credentials import is_blank
 from palaver.functions.values import GRADES
-from palaver.operators.refs import link_replies
+from palaver.operators.refs import with_reply_state
 
 
 def _blank(text: Column) -> Column:
@@ -24,9 +24,7 @@ def session_evidence(events: DataFrame, blocks: DataFrame, invalid: DataFrame |
     """
     with_content = (blocks.select("session_id", "event_id").distinct()
                     .withColumn("_content", F.lit(True)))
-    linked = link_replies(events).select("session_id", "pos", "reply_ok")
-    rows = (events.join(linked, ["session_id", "pos"], "left")
-            .join(with_content, ["session_id", "event_id"], "left"))
+    rows = with_reply_state(events).join(with_content, ["session_id", "event_id"], "left")
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     counts = rows.groupBy("session_id").agg(
         F.count_if(user).alias("user_messages"),

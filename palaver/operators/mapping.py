@@ -15,7 +15,7 @@ from palaver.functions import variant as V
 from palaver.functions.identity import digest, stable_message_id, stable_session_id
 from palaver.functions.values import verified_refs_only
 from palaver.operators.ordered import previous_value, running_sum, set_hash
-from palaver.operators.refs import diagnostics_by_session, link_replies
+from palaver.operators.refs import diagnostics_by_session, with_reply_state
 from palaver.operators.segments import (
     CONTEXT_BYTES, RECENT_BYTES, labelled_texts, recent_tail, segment_history, tail_bytes,
     text_context_bytes, tool_context_bytes,
@@ -42,6 +42,8 @@ class Mapped:
     blocks: DataFrame
     diagnostics: DataFrame
     rejects: DataFrame
+    # Tool blocks without a start time: kept beside the transcript, not shown in it.
+    deferred: DataFrame
 
 
 def _has_error(error: Column) -> Column:
@@ -239,9 +241,8 @@ def map_sessions_v2(tables: dict[str, DataFrame], namespace: str, directory: str
     verified = lambda: verified_refs_only(c("refs"), c("session_id"), *profile)
     head = sessions.select("session_id", "title", "parent_id", "created_at", "updated_at", "recovery")
     # Events with ids, reply state and their session's grade.
-    replies = link_replies(events).select("session_id", "pos", "reply_ok")
     grade = sessions.select("session_id", "recovery")
-    rows = (events.join(replies, ["session_id", "pos"], "left").join(grade, "session_id")
+    rows = (with_reply_state(events).join(grade, "session_id")
             .withColumn("target_id", stable_session_id(c("session_id"), namespace))
             .withColumn("id", stable_message_id(c("session_id"), c("event_id"), c("ord"), namespace)))
     rows = previous_value(rows, ["session_id"], "pos", "id", "_previous")
@@ -294,6 +295,9 @@ def map_sessions_v2(tables: dict[str, DataFrame], namespace: str, directory: str
                            ["session_id", "event_id"], "pos", "_one", "_k")
     numbered = durable(numbered.withColumn("content_pos", F.when(c("body").isNotNull(), c("_k") - 1)))
     ids = rows.select("session_id", "event_id", "target_id", "id")
+    deferred = numbered.filter("deferred").select("session_id", "event_id", "event_pos", "pos").join(
+        blocks.select("session_id", "event_id", "pos", "call_id", "name", "input", "output", "error", "status",
+                      "completed_at"), ["session_id", "event_id", "pos"])
     out_blocks = numbered.filter("body IS NOT NULL").join(ids, ["session_id", "event_id"]).select(
         "session_id", "target_id", "event_pos", "event_id", c("id").alias("message_id"), "content_pos",
         c("out_type").alias("type"), "body")
@@ -376,7 +380,7 @@ def map_sessions_v2(tables: dict[str, DataFrame], namespace: str, directory: str
         "recovery", "source_hash", "codes", "projected", "resource_count",
         F.lit(MAPPING_VERSION).alias("mapping_version"), F.to_json(F.parse_json(info)).alias("info"))
     notes = _notes(out_sessions, rows, mapped_blocks, placeholder, compaction, projects_unknown)
-    return Mapped(out_sessions, messages, out_blocks, notes, rejects)
+    return Mapped(out_sessions, messages, out_blocks, notes, rejects, deferred)
 
 
 def continuation_boundaries(sized: DataFrame, texts: DataFrame, cap: int, recent: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.operators.ordered import previous_value, top_per_key
 from palaver.operators.payload import payload_nodes
+from palaver.session import durable
 
 # Storage profiles and capability states.
 PROFILES = ("workspace-v3", "memento-v1", "hybrid", "unknown")
@@ -53,6 +54,7 @@ def log_evidence(events: DataFrame, turns: int = 8, calls: int = 12) -> dict[str
     turns (first 8), calls (all tool calls), call_samples (first 12).
     """
     c = F.col
+    events = durable(events)
     history = events.filter("kind = 'history'").groupBy("session_id").agg(
         F.count(F.lit(1)).alias("histories"), F.bool_or("has_more").alias("pagination_observed"),
         F.bool_or(c("plan_items") > 0).alias("plan_items_observed"))

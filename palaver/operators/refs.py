@@ -15,9 +15,17 @@ def link_replies(events: DataFrame) -> DataFrame:
     """
     targets = (events.groupBy("session_id", F.col("event_id").alias("reply_to"))
                .agg(F.max_by(F.struct("type", "ord"), "pos").alias("_t")))
-    linked = events.filter("type = 'assistant'").join(targets, ["session_id", "reply_to"], "left")
+    assistants = events.filter("type = 'assistant'")
+    linked = assistants.filter("reply_to IS NOT NULL").join(targets, ["session_id", "reply_to"], "left")
     good = (F.col("_t.type") == "user") & (F.col("_t.ord") < F.col("ord"))
-    return linked.withColumn("reply_ok", F.coalesce(good, F.lit(False))).select(*events.columns, "reply_ok")
+    linked = linked.withColumn("reply_ok", F.coalesce(good, F.lit(False))).select(*events.columns, "reply_ok")
+    return linked.unionByName(assistants.filter("reply_to IS NULL").withColumn("reply_ok", F.lit(False)))
+
+
+def with_reply_state(events: DataFrame) -> DataFrame:
+    """All events with ``reply_ok``, which is NULL for users."""
+    return link_replies(events).unionByName(
+        events.filter("type <> 'assistant'").withColumn("reply_ok", F.lit(None).cast("boolean")))
 
 
 def missing_refs(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -103,8 +111,9 @@ def issues_to_events(issues: DataFrame, events: DataFrame, raw_refs: DataFrame)
     """
     targets = events.groupBy("session_id", F.col("event_id").alias("message_id")).agg(
         F.max_by("refs", "pos").alias("_event_refs"))
-    return (issues.join(targets, ["session_id", "message_id"], "left")
-            .join(raw_refs.select("session_id", "raw_refs"), "session_id", "left")
+    named = issues.filter("message_id IS NOT NULL").join(targets, ["session_id", "message_id"], "left")
+    both = named.unionByName(issues.filter("message_id IS NULL"), allowMissingColumns=True)
+    return (both.join(raw_refs.select("session_id", "raw_refs"), "session_id", "left")
             .withColumn("refs", F.coalesce("_event_refs", "raw_refs"))
             .drop("_event_refs", "raw_refs"))
 

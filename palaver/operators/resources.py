@@ -36,7 +36,9 @@ def resolve_file_refs(refs: DataFrame, inventory: DataFrame) -> tuple[DataFrame,
     """
     held = inventory.select("workspace_id", "relative_path", F.col("size_bytes").alias("_size"),
                             F.col("mime").alias("_mime"), F.col("readable").alias("_readable"))
-    joined = refs.join(held, ["workspace_id", "relative_path"], "left")
+    # References without a local path skip the join: they would all meet in one task.
+    local = refs.filter("relative_path IS NOT NULL").join(held, ["workspace_id", "relative_path"], "left")
+    joined = local.unionByName(refs.filter("relative_path IS NULL"), allowMissingColumns=True)
     looks_local = F.coalesce(F.col("path").rlike(RESOURCE_PATH) | F.col("path").rlike("^(?:file:|/)"), F.lit(False))
     bad = F.col("relative_path").isNull() & (looks_local | F.col("explicit"))
     availability = (F.when(bad, F.lit(None).cast("string")).when(F.col("relative_path").isNull(), "deferred")
