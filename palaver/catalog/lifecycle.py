@@ -268,11 +268,11 @@ def _(t):
 @query("st03_apply_batches", None)
 def _(t):
     """The plan arrives as two overlapping batches through the streaming sink; each row is imported once."""
-    import tempfile
+    import uuid
 
     from palaver.session import checkpoint_dir
     from palaver.streaming.apply import read_applied, stream_apply
-    base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{tempfile.mktemp(dir='', prefix='')}"
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{uuid.uuid4().hex}"
     plan = plan_of(t)
     plan.filter("status = 'ready'").write.parquet(f"{base}/in/a")
     plan.write.parquet(f"{base}/in/b")

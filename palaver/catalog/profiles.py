@@ -158,7 +158,7 @@ def _(t):
     text = F.concat(F.lit(head), F.when(F.col("p_size") % 5 == 0, '"number"').otherwise('"string"'), F.lit('},"b":{"enum":["x","y"'),
                     F.when(F.col("p_size") % 3 == 0, ',"z"').otherwise(""), F.lit("]}"),
                     F.when(F.col("p_size") % 7 == 0, ',"c":{"type":"string"}').otherwise(""), F.lit(tail))
-    base = t.part.limit(1).select(F.lit("base").alias("schema_id"), F.lit(head + '"string"},"b":{"enum":["x","y"]}' + tail).alias("schema"))
+    base = t.spark.createDataFrame([("base", head + '"string"},"b":{"enum":["x","y"]}' + tail)], "schema_id string, schema string")
     fleet = t.part.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("schema_id"), text.alias("schema"))
     return compare_to(base.unionByName(fleet), "base")[0]
 

@@ -38,6 +38,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written; results built on them must be stored first."""
+    count = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += int(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder once and read it back.
 
@@ -47,4 +59,5 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/palaver/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

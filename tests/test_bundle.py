@@ -169,3 +169,31 @@ def test_files_and_bundle_reader(spark, tmp_path):
         path.write_text(json.dumps({**good, **change}))
         with pytest.raises(ValueError, match=code):
             read_bundle(spark, str(path))
+
+
+def test_long_histories_are_segmented(bundle):
+    from palaver.operators.mapping import map_sessions_v2
+    mapped = map_sessions_v2(bundle, "ns", cap=200, recent=40)
+    rows = mapped.messages.filter(F.col("session_id") == S).orderBy("pos", "sub").collect()
+    assert [r.type for r in rows] == ["user", "assistant", "compaction"]
+    body = json.loads(rows[2].body)
+    joined = "[User]: Read this.\n\n\n[Assistant]: Opening.\n\n\n[Assistant]: Final.\n"
+    assert body["recent"] == joined[-40:] and body["id"] == rows[1].id + "_compact"
+    assert body["metadata"]["provenance"]["activeContextBytes"] > 200
+    assert "CONTINUATION_BOUNDARY" in {r.code for r in mapped.diagnostics.collect()}
+
+
+def test_redaction_of_a_bundle(bundle):
+    from palaver.operators.payload import assert_no_credentials
+    from palaver.plans.redact import redact_bundle
+    dirty = dict(bundle)
+    mine = F.col("session_id") == S
+    dirty["events"] = bundle["events"].withColumn("text", F.when(mine & (F.col("type") == "user"), F.lit('use password="pq rs" now')).otherwise(F.col("text")))
+    dirty["blocks"] = bundle["blocks"].withColumn("input", F.when(mine & F.col("input").isNotNull(), F.lit('{"env":{"apiKey":"k-1"}}')).otherwise(F.col("input")))
+    clean, counts = redact_bundle(dirty)
+    assert [(r.session_id, r.redacted_count) for r in counts.collect()] == [(S, 2)]
+    assert {r.session_id: r.recovery for r in clean["sessions"].collect()} == {S: "partial", "session-child": "complete"}
+    assert clean["events"].filter(mine & (F.col("type") == "user")).first().text == 'use password="[REDACTED_SECRET]" now'
+    assert clean["blocks"].filter(mine & F.col("input").isNotNull()).first().input == '{"env":{"apiKey":"[REDACTED_SECRET]"}}'
+    assert_no_credentials(clean["blocks"], ["session_id", "event_id", "pos"], ["input", "output", "text"])
+    assert "CREDENTIALS_REDACTED" in {r.code for r in clean["diagnostics"].collect()}
