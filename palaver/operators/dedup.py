@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.session import durable
+
 
 def dedup_quarantine(df: DataFrame, key: Sequence[str], digest: str, order: Sequence[str],
                      ) -> tuple[DataFrame, DataFrame]:
@@ -17,10 +19,11 @@ def dedup_quarantine(df: DataFrame, key: Sequence[str], digest: str, order: Sequ
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key]
-    grouped = df.groupBy(*key).agg(
+    # Both results come from one aggregation, which is written once.
+    grouped = durable(df.groupBy(*key).agg(
         F.min(digest).alias("_low"), F.max(digest).alias("_high"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")))
     same = F.col("_low") == F.col("_high")
     kept = grouped.filter(same).select(*key, *[F.col("_row")[c].alias(c) for c in rest])
     conflicts = grouped.filter(~same).select(

@@ -13,11 +13,13 @@ def link_replies(events: DataFrame) -> DataFrame:
 
     When an id occurs twice in a session the last array element counts.
     """
+    # Order and role share one number, so the aggregation keeps two numbers per id and can hash.
+    packed = F.col("ord") * 2 + (F.col("type") == "user").cast("bigint")
     targets = (events.groupBy("session_id", F.col("event_id").alias("reply_to"))
-               .agg(F.max_by(F.struct("type", "ord"), "pos").alias("_t")))
+               .agg(F.max_by(packed, "pos").alias("_t")))
     assistants = events.filter("type = 'assistant'")
     linked = assistants.filter("reply_to IS NOT NULL").join(targets, ["session_id", "reply_to"], "left")
-    good = (F.col("_t.type") == "user") & (F.col("_t.ord") < F.col("ord"))
+    good = (F.pmod("_t", F.lit(2)) == 1) & (F.shiftright("_t", 1) < F.col("ord"))
     linked = linked.withColumn("reply_ok", F.coalesce(good, F.lit(False))).select(*events.columns, "reply_ok")
     return linked.unionByName(assistants.filter("reply_to IS NULL").withColumn("reply_ok", F.lit(False)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.paths import file_uri_to_path, normalize_posix
 from palaver.operators.payload import RESOURCE_PATH, resource_paths
+from palaver.session import durable
 
 WORKSPACE_ID = r"^[A-Za-z0-9_-][A-Za-z0-9._-]{0,255}$"
 
@@ -49,7 +50,8 @@ def resolve_file_refs(refs: DataFrame, inventory: DataFrame) -> tuple[DataFrame,
     code = (F.when(bad, "RESOURCE_REFERENCE_INVALID").when(F.col("availability") == "deferred", "RESOURCE_DEFERRED")
             .when(F.col("availability") == "missing", "RESOURCE_MISSING")
             .when(differs, "RESOURCE_METADATA_MISMATCH"))
-    rows = joined.withColumn("availability", availability).withColumn("code", code)
+    # Two result tables come from one join, so it is written once.
+    rows = durable(joined.withColumn("availability", availability).withColumn("code", code))
     severity = F.when(F.col("code").isin("RESOURCE_REFERENCE_INVALID", "RESOURCE_METADATA_MISMATCH"), "error") \
         .otherwise("warning")
     resolved = rows.filter("availability IS NOT NULL").select(*refs.columns, "availability")
