@@ -173,7 +173,7 @@ def records(t):
     stamp = 1700000000000 + c("conv_id") * 100000 + c("turn") * 1000
     call = F.struct(F.concat(F.lit("c"), c("turn").cast("string")).alias("id"), F.lit("exec_command").alias("name"),
                     F.struct(F.lit("ls").alias("cmd")).alias("params"),
-                    F.struct(F.lit("success").alias("status"), F.struct(F.substring("text", 1, 20).alias("stdout")).alias("data")).alias("result"))
+                    F.struct(F.lit("success").alias("status"), F.struct(c("text").alias("stdout")).alias("data")).alias("result"))
     entry = F.struct(F.lit("plan_item").alias("type"), F.struct(
         F.concat(F.lit("p"), c("turn").cast("string")).alias("id"), F.lit("because").alias("reasoning_content"), call.alias("tool_call_info"),
         F.struct(stamp.alias("tool_call_started_at_ms"), (stamp + 10).alias("tool_call_finished_at_ms")).alias("timing")).alias("plan_item"))

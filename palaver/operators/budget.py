@@ -65,7 +65,8 @@ def byte_budget(plan: DataFrame, cap: int, window: int = _FOLD) -> DataFrame:
     # Below a refused item everything is blocked, whatever its own size.
     parents = durable(result.select(F.col("target_id").alias("parent_id"), F.col("status").alias("_parent")))
     lost = F.col("_parent").isNotNull() & (F.col("_parent") != "ready")
-    return result.join(parents, "parent_id", "left").withColumn(
+    roots = result.filter("parent_id IS NULL").withColumn("_parent", F.lit(None).cast("string"))
+    return result.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left").unionByName(roots).withColumn(
         "status", F.when(lost, "blocked").otherwise(F.col("status"))).select(*plan.columns, "status")
 
 

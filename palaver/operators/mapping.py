@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palaver.functions import variant as V
 from palaver.functions.identity import digest, stable_message_id, stable_session_id
 from palaver.functions.values import verified_refs_only
-from palaver.operators.ordered import previous_value, running_sum, set_hash
+from palaver.operators.ordered import previous_value, running_sum, same_keys, set_hash
 from palaver.operators.refs import diagnostics_by_session, with_reply_state
 from palaver.operators.segments import (
     CONTEXT_BYTES, RECENT_BYTES, labelled_texts, recent_tail, segment_history, tail_bytes,
@@ -411,7 +411,7 @@ def _last_known(rows: DataFrame, chunk: int = 65_536) -> DataFrame:
     ends = parts.groupBy("session_id", "_chunk").agg(
         F.max_by("_tb", F.when(F.col("_tb").isNotNull(), F.col("pos"))).alias("_end"))
     carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(across)).drop("_end")
-    return local.join(carry, ["session_id", "_chunk"]).withColumn(
+    return same_keys(local, carry, ["session_id", "_chunk"]).withColumn(
         "tail_bytes", F.coalesce("_here", "_carry")["tail_bytes"]).drop("_tb", "_here", "_carry", "_chunk")
 
 

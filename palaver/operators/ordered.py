@@ -23,36 +23,52 @@ def _chunked(df: DataFrame, pos: str, chunk: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(pos) / F.lit(chunk)))
 
 
+def same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal names where NULL equals NULL; the names of the left side stay."""
+    other = right.withColumnsRenamed({name: f"_right_{name}" for name in names})
+    on = F.lit(True)
+    for name in names:
+        on = on & F.col(name).eqNullSafe(F.col(f"_right_{name}"))
+    return left.join(other, on, how).drop(*[f"_right_{name}" for name in names])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str,
                 chunk: int = CHUNK) -> DataFrame:
-    """Inclusive running total of ``value`` by ``pos`` within ``keys``."""
+    """Inclusive running total of ``value`` by ``pos`` within ``keys``.
+
+    A NULL key is a key. A row without a position has no total and counts in nobody's.
+    """
     keys = list(keys)
     parts = _chunked(df, pos, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     local = parts.withColumn(
         "_local", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (parts.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
+    offsets = (parts.filter(F.col(pos).isNotNull()).groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
                .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
                .drop("_total"))
-    return (local.join(offsets, keys + ["_chunk"])
+    return (same_keys(local, offsets, keys + ["_chunk"], "left")
             .withColumn(out, F.coalesce(F.col("_local"), F.lit(0)) + F.col("_offset"))
             .drop("_chunk", "_local", "_offset"))
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], pos: str, value: str | Column, out: str,
                    chunk: int = CHUNK) -> DataFrame:
-    """The value of the preceding row by ``pos`` within ``keys``; NULL on the first row."""
+    """The value of the preceding row by ``pos`` within ``keys``; NULL on the first row.
+
+    A NULL key is a key. A row without a position neither has nor is a predecessor.
+    """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
     parts = _chunked(df.withColumn("_value", F.struct(value.alias("v"))), pos, chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     local = parts.withColumn("_prev", F.lag("_value").over(inside))
     between = Window.partitionBy(*keys).orderBy("_chunk")
-    tails = (parts.groupBy(*keys, "_chunk").agg(F.max_by("_value", pos).alias("_last"))
+    tails = (parts.filter(F.col(pos).isNotNull()).groupBy(*keys, "_chunk").agg(F.max_by("_value", pos).alias("_last"))
              .withColumn("_carry", F.lag("_last").over(between)).drop("_last"))
-    return (local.join(tails, keys + ["_chunk"])
-            .withColumn(out, F.coalesce(F.col("_prev"), F.col("_carry"))["v"])
+    known = F.when(F.col(pos).isNotNull(), F.coalesce(F.col("_prev"), F.col("_carry")))
+    return (same_keys(local, tails, keys + ["_chunk"], "left")
+            .withColumn(out, known["v"])
             .drop("_chunk", "_value", "_prev", "_carry"))
 
 
@@ -62,7 +78,7 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
 
     While no key has more than ``small`` rows this is a plain window. Beyond that the rows are
     range-partitioned on (keys, order), which splits a hot key over many tasks, and numbered by
-    partition offset.
+    partition offset. Both give the same numbers, also to rows with a NULL key.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -83,7 +99,7 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_global").alias("_first"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
               .drop("_n"))
-    return (numbered.join(blocks, keys + ["_part"])
+    return (same_keys(numbered, blocks, keys + ["_part"])
             .withColumn(out, F.col("_global") - F.col("_first") + F.col("_before"))
             .drop("_global", "_part", "_first", "_before"))
 

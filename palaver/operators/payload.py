@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,6 @@ from palaver.functions.credentials import (
 from palaver.functions.paths import percent_decode
 from palaver.session import durable
 
-MAX_DEPTH = 256
-MAX_NODES = 2_000_000
 # A text without any of these cannot hold a credential, not even an encoded one.
 _SUSPICIOUS = (
     r"(?i)key|secret|token|passw|authorization|cookie|credential|\\|%[0-9a-f]{2}|gh[pousr]_|github_pat_|npm_"
@@ -37,13 +36,13 @@ def _kind(v: Column, text: Column) -> Column:
 
 
 def payload_nodes(df: DataFrame, keys: Sequence[str], column: str, reparse: bool = True,
-                  decode: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+                  decode: bool = False, max_depth: int | None = None) -> DataFrame:
     """Every node of the JSON text ``column``, one level of nesting per round.
 
     Columns: keys, path, key, kind, text (strings), size (containers), json, depth. With
     ``reparse`` a string that holds JSON is opened too; with ``decode`` a percent-encoded string is
-    also shown decoded. Text that is not JSON is one string node. Too deep or too large payloads
-    are an error, never cut.
+    also shown decoded. Text that is not JSON is one string node. The walk goes on until a level is
+    empty, whatever its depth and size; only a ``max_depth`` that a caller asks for is an error.
     """
     names, keys = list(keys), [f"_k{i}" for i in range(len(keys))]
     raw = F.col(column)
@@ -54,14 +53,14 @@ def payload_nodes(df: DataFrame, keys: Sequence[str], column: str, reparse: bool
     level = level.filter(F.col("_raw").isNotNull()).withColumn(
         "text", F.when(F.col("v").isNull(), F.col("_raw")).otherwise(V.text(F.col("v")))).drop("_raw")
     found: DataFrame | None = None
-    for depth in range(max_depth + 2):
+    for depth in itertools.count():
         level = level.withColumn("kind", _kind(F.col("v"), F.col("text")))
         trimmed = js_trim(F.col("text"))
         inner = F.when((F.col("kind") == "string") & trimmed.rlike(r'^[{\["]'), F.try_parse_json(trimmed))
         level = durable(level.withColumn("_inner", inner if reparse else F.lit(None).cast("variant")))
         if depth and level.isEmpty():
             break
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             raise ValueError("SENSITIVE_SCAN_LIMIT: depth")
         size = F.coalesce(F.size(F.try_variant_get("v", "$", "map<string,variant>")),
                           F.size(F.try_variant_get("v", "$", "array<variant>")))
@@ -73,9 +72,6 @@ def payload_nodes(df: DataFrame, keys: Sequence[str], column: str, reparse: bool
             F.col("depth").cast("bigint").alias("depth"))
         found = shown if found is None else found.unionByName(shown)
         level = _next_level(level, keys, decode)
-    totals = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_NODES)
-    if not totals.isEmpty():
-        raise ValueError("SENSITIVE_SCAN_LIMIT: nodes")
     rest = [c for c in found.columns if c not in keys]
     return found.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], *rest)
 
@@ -160,12 +156,13 @@ def _quoted(text: Column) -> Column:
     return F.substring(whole, F.lit(2), F.length(whole) - 2)
 
 
-def redact_payloads(df: DataFrame, keys: Sequence[str], column: str, max_nesting: int = 16) -> DataFrame:
+def redact_payloads(df: DataFrame, keys: Sequence[str], column: str, level: int = 0) -> DataFrame:
     """JSON-text ``column`` with credential values replaced, and ``redacted_count``.
 
     A value under a sensitive key becomes the marker; a string is redacted as text, or opened and
-    redacted inside when it holds JSON; a key that is a token is renamed. The result is scanned
-    again and masked as a whole when anything is left.
+    redacted inside when it holds JSON, however deep; a key that is a token is renamed before any value
+    is touched, so an equal value elsewhere cannot turn into its name. The result is scanned again
+    and masked as a whole when anything is left.
     """
     keys = list(keys)
     checked = durable(has_credentials_nested(df, keys, column, "_hit"))
@@ -185,20 +182,20 @@ def redact_payloads(df: DataFrame, keys: Sequence[str], column: str, max_nesting
     plain = texts.withColumn("_r", redact_text(F.col("text"))).filter("_r.count > 0")
     looks_json = js_trim(F.col("text")).rlike(r'^[{\["]') & F.try_parse_json(js_trim(F.col("text"))).isNotNull()
     replaced = plain.filter(~looks_json).select(
-        *keys, F.lit(1).alias("step"), _quoted(F.col("text")).alias("old"),
+        *keys, F.lit(2).alias("step"), _quoted(F.col("text")).alias("old"),
         _quoted(F.col("_r")["value"]).alias("new"), F.col("_r")["count"].alias("n"))
     renamed = nodes.filter(F.coalesce(has_credentials(F.col("key")), F.lit(False))).select(
-        *keys, F.lit(2).alias("step"), F.concat(name, F.lit(":")).alias("old"),
+        *keys, F.lit(1).alias("step"), F.concat(name, F.lit(":")).alias("old"),
         F.concat(F.lit('"[REDACTED_KEY_'), F.substring(F.sha2("key", 256), 1, 8), F.lit(']":')).alias("new"),
         F.lit(1).cast("bigint").alias("n"))
     changes = masked.unionByName(replaced).unionByName(renamed)
-    place = f"_place{max_nesting}"
+    place = f"_place{level}"
     inner = texts.filter(looks_json & suspicious(F.col("text"))).select(
         *keys, F.col("path").alias(place), F.col("text").alias("_old"), F.col("text").alias("_inner"))
-    if max_nesting and not inner.isEmpty():
-        opened = redact_payloads(inner, keys + [place], "_inner", max_nesting - 1)
+    if not inner.isEmpty():
+        opened = redact_payloads(inner, keys + [place], "_inner", level + 1)
         changes = changes.unionByName(opened.filter("redacted_count > 0").select(
-            *keys, F.lit(1).alias("step"), _quoted(F.col("_old")).alias("old"),
+            *keys, F.lit(2).alias("step"), _quoted(F.col("_old")).alias("old"),
             _quoted(F.col("_inner")).alias("new"), F.col("redacted_count").alias("n")))
     edits = changes.groupBy(*keys).agg(
         F.array_sort(F.collect_set(F.struct("step", (-F.length("old")).alias("l"), "old", "new"))).alias("_edits"),

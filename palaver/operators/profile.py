@@ -154,10 +154,10 @@ def assert_coverage(profile: DataFrame, relation: DataFrame, texts: Sequence[str
     return row.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def profile_json_keys(df: DataFrame, keys: Sequence[str], column: str, max_depth: int = 10) -> DataFrame:
+def profile_json_keys(df: DataFrame, keys: Sequence[str], column: str, max_depth: int | None = None) -> DataFrame:
     """(path, key, kind, n): structure of a JSON text column over all rows; array items share ``[*]``.
 
-    Deeper levels than ``max_depth`` are an error of the walk, not silently dropped.
+    All levels are profiled; a ``max_depth``, if given, is an error of the walk beyond it.
     """
     nodes = payload_nodes(df, keys, column, reparse=False, max_depth=max_depth)
     shape = F.regexp_replace("path", r"\[[0-9]+\]", "[*]")

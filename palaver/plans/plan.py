@@ -18,9 +18,10 @@ from palaver.operators.ordered import row_position
 from palaver.operators.reconcile import snapshot
 from palaver.session import durable
 
-# Largest transfer of one session and of one plan, in bytes.
+# Largest transfer of one session, and of one plan for one bundle, in bytes. A plan for a fleet has no such limit.
 MAX_TRANSFER_BYTES = 384 * 1024 ** 2
 MAX_PLAN_BYTES = 1024 ** 3
+NO_LIMIT = (1 << 63) - 1
 
 
 @dataclass
@@ -33,7 +34,7 @@ class PlanOptions:
     target_platform: str = "linux"
     fallback: str | None = None
     max_transfer: int = MAX_TRANSFER_BYTES
-    max_plan: int = MAX_PLAN_BYTES
+    max_plan: int = NO_LIMIT
 
 
 def order_sessions(sessions: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
@@ -61,7 +62,9 @@ def decide_status(rows: DataFrame, max_transfer: int, max_plan: int) -> DataFram
         "target_id", c("status").alias("_budget"))
     joined = durable(rows.join(decided, "target_id"))
     parents = joined.select(c("target_id").alias("parent_id"), (c("_budget") == "ready").alias("_parent_ready"))
-    full = joined.join(parents, "parent_id", "left")
+    # Roots have no parent and do not meet in the join.
+    roots = joined.filter("parent_id IS NULL").withColumn("_parent_ready", F.lit(None).cast("boolean"))
+    full = joined.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left").unionByName(roots)
     orphan = c("parent_id").isNotNull() & ~F.coalesce("_parent_ready", F.lit(False))
     reason = (F.when(~c("wanted"), "RECOVERY_EXCLUDED").when(orphan, "PARENT_MISSING")
               .when(c("_own").isNotNull(), c("_own")).when(c("_budget") != "ready", "TRANSFER_TOO_LARGE"))

@@ -159,3 +159,20 @@ def test_byte_budget_matches_the_greedy_pass(spark):
     df = spark.createDataFrame(rows, "target_id string, parent_id string, pos bigint, bytes bigint, ready boolean")
     for window in (100_000, 7):
         assert {r.target_id: r.status for r in byte_budget(df, 900, window=window).collect()} == state
+
+
+def test_null_keys_and_null_positions_stay(spark):
+    rows = [(None, 0, 5), (None, 1, 7), ("a", 0, 1), ("a", None, 5), ("a", 1, 2), (None, None, 9)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, v bigint")
+    sums = {(r.k, r.pos): r.s for r in ordered.running_sum(df, ["k"], "pos", "v", "s", chunk=1).collect()}
+    assert sums == {(None, 0): 5, (None, 1): 12, ("a", 0): 1, ("a", 1): 3, ("a", None): None, (None, None): None}
+    before = {(r.k, r.pos): r.p for r in ordered.previous_value(df, ["k"], "pos", "v", "p", chunk=1).collect()}
+    assert before == {(None, 0): None, (None, 1): 5, ("a", 0): None, ("a", 1): 1, ("a", None): None, (None, None): None}
+    small = {(r.k, r.v): r.n for r in ordered.row_position(df, ["k"], ["v"], "n").collect()}
+    large = {(r.k, r.v): r.n for r in ordered.row_position(df, ["k"], ["v"], "n", small=1).collect()}
+    assert small == large and len(small) == 6
+
+
+def test_annotations_are_the_five_fixed_ones():
+    from palaver.operators.drift import ANNOTATIONS
+    assert set(ANNOTATIONS) == {"title", "description", "default", "examples", "deprecated"}

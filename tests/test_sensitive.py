@@ -55,3 +55,9 @@ def test_a_deep_payload_is_an_error(spark):
     deep = "[" * 12 + "]" * 12
     with pytest.raises(ValueError, match="SCAN_LIMIT"):
         payload.payload_nodes(_texts(spark, [deep]), ["id"], "t", max_depth=5).count()
+
+
+def test_equal_text_as_value_and_as_key(spark):
+    text = '{"a":"password=hunter22x","b":{"password=hunter22x":1}}'
+    row = payload.redact_payloads(_texts(spark, [text]), ["id"], "t").first()
+    assert "hunter22x" not in row["t"] and "[REDACTED_KEY_" in row["t"] and '"a":"password=' in row["t"]
