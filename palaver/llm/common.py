@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from palaver.session import ship
 
 #: Text bytes handled at once inside a task. A longer single text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def held_out(modulus: int, rest: int) -> Column:
@@ -23,18 +23,19 @@ def held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about SLICE_BYTES of text each, never an empty one."""
+def slices(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes of text each, never an empty one."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     if not len(sizes):
         return
-    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(start, end - start)
 
 
-def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], dict]], keep: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], dict]], keep: list[str] | None = None,
+              slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add columns computed from the column ``text``, in Arrow batches.
 
     ``make`` runs once in every task and gives a function from a list of texts (null is the empty text) to a
@@ -51,10 +52,10 @@ def map_texts(df: DataFrame, added: str, make: Callable[[], Callable[[list], dic
     def run(batches):
         fn = make()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, slice_bytes):
                 new = fn([t or "" for t in batch.column("text").to_pylist()])
                 columns = [batch.column(name).cast(arrow.field(name).type) for name in order]
-                columns += [pa.array(new[f.name], type=arrow.field(f.name).type) for f in extra]
+                columns += [new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=arrow.field(f.name).type) for f in extra]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     ship(df.sparkSession)

@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palaver.llm.common import map_texts
 
 #: Entries a task remembers before it starts anew.
-MEMO = 500_000
+MEMO = 300_000
 _SPACE = "▁"
 _RUNS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 
@@ -74,8 +78,8 @@ class PieceModel:
                 offer(left[a], a)
         return [s for s in symbols if s is not None]
 
-    def spell(self, run: str) -> tuple[str, int, str]:
-        """(ids as text, their number, the text they decode to) of a run."""
+    def spell(self, run: str) -> tuple[str, int, str, bytes]:
+        """(ids as text, their number, the text they decode to, ids as 32-bit numbers) of a run."""
         ids: list[int] = []
         for symbol in self.merge(run):
             found = self.ids.get(symbol)
@@ -83,7 +87,7 @@ class PieceModel:
                 ids.append(found[0])
             else:
                 ids += [self.bytes[b] for b in symbol.encode()]
-        return ",".join(map(str, ids)), len(ids), self.decode(ids)
+        return ",".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the blank put before the text not yet taken off."""
@@ -101,15 +105,15 @@ class PieceModel:
 
 
 class PieceMemo(dict):
-    """What each word gives: (ids as text, their number, decoded text). New words are checked against the library."""
+    """What each word gives: (ids as text, their number, decoded text, ids as numbers). New words are checked against the library."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[str, int, str, bytes]] = {}
         self.fresh: list[str] = []
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
+    def __missing__(self, word: str) -> tuple[str, int, str, bytes]:
         parts = []
         for run in self.model.runs(word):
             part = self.known.get(run)
@@ -117,7 +121,7 @@ class PieceMemo(dict):
                 self.known[run] = part = self.model.spell(run)
             parts.append(part)
         made = parts[0] if len(parts) == 1 else (
-            ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts]))
+            ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts]), b"".join([p[3] for p in parts]))
         self.fresh.append(word)
         self[word] = made
         return made
@@ -141,8 +145,8 @@ class PieceMemo(dict):
             self.known.clear()
 
 
-def encode_pieces(documents: DataFrame, path: str, keep: list[str] | None = None, ids: bool = False, checked: bool = True) -> DataFrame:
-    """Every document with n_tokens, ids_sha256, decoded_sha256 (and ``ids``, ``decoded`` if asked for).
+def encode_pieces(documents: DataFrame, path: str, keep: list[str] | None = None, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """Every document with n_tokens, ids_sha256, decoded_sha256 (and ``ids`` or ``decoded`` if asked for).
 
     A null text is the empty text, which has no ids and decodes to itself. ``path`` must exist on every executor.
     The words new to a task are encoded and decoded with the library too, batch by batch. Columns of the added
@@ -152,7 +156,7 @@ def encode_pieces(documents: DataFrame, path: str, keep: list[str] | None = None
         memo = PieceMemo(PieceModel(path))
 
         def run(texts: list) -> dict:
-            count, sha, back, all_ids, decoded = [], [], [], [], []
+            count, sha, back, numbers, plain_texts = [], [], [], [], []
             for text in texts:
                 words = PieceModel.words(text) if text else []
                 made = list(map(memo.__getitem__, words))
@@ -162,12 +166,16 @@ def encode_pieces(documents: DataFrame, path: str, keep: list[str] | None = None
                 sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(plain.encode()).hexdigest())
                 if ids:
-                    all_ids.append([int(x) for x in joined.split(",")] if joined else [])
-                    decoded.append(plain)
-            if checked:
-                memo.check()
-            return {"n_tokens": count, "ids_sha256": sha, "decoded_sha256": back, "ids": all_ids, "decoded": decoded}
+                    numbers += [m[3] for m in made]
+                if decoded:
+                    plain_texts.append(plain)
+            memo.check()
+            out = {"n_tokens": count, "ids_sha256": sha, "decoded_sha256": back, "decoded": plain_texts}
+            if ids:
+                ends = pa.array([0, *accumulate(count)], pa.int32())
+                out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(numbers), np.int32)))
+            return out
         return run
 
-    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
     return map_texts(documents, added, make, keep)
