@@ -185,9 +185,14 @@ def near_vectors(vectors: DataFrame, how: CrossPolytope = CrossPolytope()) -> Da
             cut = np.flatnonzero(np.diff(bucket[at]) | np.diff(i[at]) | np.diff(j[at])) + 1
             runs = [(a, b) for a, b in zip([0, *cut], [*cut, len(at)]) if b - a > 1]
             close = [(a, b) for a, b in runs if (np.triu(unit[a:b] @ unit[a:b].T, 1) >= how.threshold).any()]
+            if not close:
+                continue
+            chosen = np.concatenate([np.arange(a, b) for a, b in close])
+            every = buckets(unit[chosen], _salt(label[at[chosen]], int(width)), how).view(np.int64)  # once for all runs of the group
+            done = 0
             for a, b in close:
-                rows = at[a:b]
-                keys = buckets(unit[a:b], _salt(label[rows], int(width)), how).view(np.int64)
+                rows, keys = at[a:b], every[done:done + b - a]
+                done += b - a
                 _run_links(int(bucket[rows[0]]), ids[rows], copies[rows], unit[a:b], side[rows], keys, how, counts, edges)
         return pa.table({"a": pa.array([*counts, *(e[0] for e in edges)], pa.int64()), "b": pa.array([None] * len(counts) + [e[1] for e in edges], pa.int64()),
                          "n": pa.array([*counts.values(), *([0] * len(edges))], pa.int64())})
