@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from palaver.functions import variant as V
 from palaver.functions.identity import stable_part_id
 from palaver.operators.mapping import MAPPING_VERSION, PROJECT_ID, UNKNOWN_AGENT, Mapped
+from palaver.operators.segments import normalize_message_order
+from palaver.session import durable
 
 
 @dataclass
@@ -141,11 +143,14 @@ def map_sessions_v1(mapped: Mapped, version: str, namespace: str, directory: str
         F.lit(UNKNOWN_AGENT).alias("providerID"), F.lit("assistant").alias("role"), c("target_id").alias("sessionID"),
         F.struct(c("created_at").alias("created"), c("completed_at").alias("completed")).alias("time"),
         zero.alias("tokens")))
-    out_messages = keep(linked).select(
-        "session_id", "target_id", "pos", "event_id", "id", c("type").alias("role"), "created_at",
+    # This layout orders messages by creation time and id; parts and provenance follow their message.
+    placed, moved = normalize_message_order(keep(linked))
+    placed = durable(placed)
+    out_messages = placed.select(
+        "session_id", "target_id", c("new_pos").alias("pos"), "event_id", "id", c("type").alias("role"), "created_at",
         F.when(c("type") == "user", user_info).otherwise(assistant_info).alias("body"))
-    provenance = keep(messages).select(
-        "session_id", "pos", F.to_json(V.field(F.try_parse_json(c("body")), "$.metadata.provenance")).alias("event"))
+    provenance = placed.select(
+        "session_id", c("new_pos").alias("pos"), F.to_json(V.field(F.try_parse_json(c("body")), "$.metadata.provenance")).alias("event"))
     counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
     heads = keep(mapped.sessions).join(counts, "session_id", "left").join(boundaries, "session_id", "left")
     info = F.to_json(F.struct(
@@ -168,9 +173,9 @@ def map_sessions_v1(mapped: Mapped, version: str, namespace: str, directory: str
                             F.to_json(F.parse_json(info)).alias("info"))
     out_parts = keep(parts).select("session_id", "target_id", "event_pos", "message_id", "content_pos", "id", "type",
                                    "body").unionByName(keep(user_parts))
-    from palaver.operators.ordered import previous_value
-    stepped = previous_value(out_messages, ["session_id"], "pos", F.struct("created_at", "id"), "_previous")
-    reordered = stepped.filter(F.struct("created_at", "id") < F.col("_previous")).select("session_id").distinct()
+    steps = placed.select("session_id", c("pos").alias("event_pos"), "new_pos")
+    out_parts = out_parts.join(steps, ["session_id", "event_pos"]).withColumn("event_pos", c("new_pos")).drop("new_pos")
+    reordered = moved.filter("reordered")
     note = lambda rows, code, field: rows.select("session_id").distinct().select(
         "session_id", F.lit(code).alias("code"), F.lit(field).alias("field"))
     diagnostics = (keep(mapped.diagnostics).filter("code <> 'CONTINUATION_BOUNDARY'")
