@@ -265,20 +265,50 @@ def _(t):
     return mf.retention(t.sql(ARTIFACTS), current)
 
 
-@query("st03_apply_batches", None)
+@query("m04_apply_plan_readback", f"""
+WITH RECURSIVE p AS (SELECT *, CASE WHEN pos % 31 = 3 THEN 'READBACK_INVALID' WHEN pos % 37 = 5 THEN 'PARTIAL_WRITE' WHEN pos % 41 = 7 THEN 'TARGET_CHANGED' ELSE '' END AS fault FROM ({PLAN}) q),
+e AS (SELECT target_id, fault FROM p WHERE status = 'ready' AND parent_id IS NULL
+  UNION ALL SELECT p.target_id, p.fault FROM e JOIN p ON p.parent_id = e.target_id WHERE p.status = 'ready' AND e.fault = '')
+SELECT p.target_id, CASE WHEN status <> 'ready' THEN status WHEN e.fault = '' THEN 'verified' ELSE 'failed' END AS state,
+  CASE WHEN status <> 'ready' THEN '' ELSE coalesce(e.fault, 'PARENT_MISSING') END AS codes, CASE WHEN e.target_id IS NULL THEN 0 ELSE 1 END AS attempts,
+  coalesce(e.fault IN ('', 'PARTIAL_WRITE'), false) AS created, coalesce(e.fault <> 'READBACK_INVALID', false) AS stored
+FROM p LEFT JOIN e USING (target_id)""")
 def _(t):
-    """The plan arrives as two overlapping batches through the streaming sink; each row is imported once."""
+    """Storage loses some sessions, cuts some short and gives some to another run; what came back decides."""
+    plan = plan_of(t)
+    pos = F.regexp_extract("target_id", "([0-9]+)$", 1).cast("long")
+
+    def write(rows):
+        kept = rows.filter(pos % 31 != 3)
+        cut, foreign = (pos % 37 == 5), (pos % 37 != 5) & (pos % 41 == 7)
+        return kept.withColumn("snapshot", F.when(cut, F.lit("cut")).otherwise(F.col("snapshot"))).withColumn(
+            "run_id", F.when(foreign, F.lit("other")).otherwise(F.col("run_id")))
+    empty = life.planned_rows(plan, RUN).where("false")
+    after, target = life.apply_plan(mf.init_manifest(plan, RUN), plan, empty, RUN, write)
+    there = target.select("target_id", F.lit(True).alias("_there"))
+    return after.join(there, "target_id", "left").select(
+        "target_id", "state", F.array_join("codes", ",").alias("codes"), "attempts", "created", F.coalesce("_there", F.lit(False)).alias("stored"))
+
+
+@query("st03_apply_batches", f"""
+WITH RECURSIVE p AS ({PLAN}), e AS (SELECT target_id FROM p WHERE status = 'ready' AND parent_id IS NULL
+  UNION ALL SELECT p.target_id FROM e JOIN p ON p.parent_id = e.target_id WHERE p.status = 'ready')
+SELECT p.target_id, CASE WHEN status <> 'ready' THEN status WHEN e.target_id IS NULL THEN 'failed' ELSE 'verified' END AS state,
+  CASE WHEN status = 'ready' AND e.target_id IS NULL THEN 'PARENT_MISSING' ELSE '' END AS codes, CASE WHEN e.target_id IS NULL THEN 0 ELSE 1 END AS times_imported
+FROM p LEFT JOIN e USING (target_id)""")
+def _(t):
+    """The plan arrives in four batches, children before parents too, and one part twice; the end is that of one batch."""
     import uuid
 
     from palaver.session import checkpoint_dir
-    from palaver.streaming.apply import read_applied, stream_apply
+    from palaver.streaming.apply import read_applied, read_states, stream_apply
     base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{uuid.uuid4().hex}"
     plan = plan_of(t)
-    plan.filter("status = 'ready'").write.parquet(f"{base}/in/a")
-    plan.write.parquet(f"{base}/in/b")
+    part = F.pmod(F.xxhash64("target_id"), F.lit(3))
+    for i, rows in enumerate((plan.filter(part == 2), plan.filter(part == 0), plan.filter(part == 2), plan.filter(part == 1))):
+        rows.coalesce(1).write.parquet(f"{base}/in/{i}")  # one file is one micro-batch
     stream = t.spark.readStream.schema(plan.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    stream_apply(stream, f"{base}/target", RUN, f"{base}/checkpoint").awaitTermination()
-    applied = read_applied(t.spark, f"{base}/target")
-    return applied.groupBy("target_id").agg(F.count(F.lit(1)).alias("times_imported"))
-
-
+    stream_apply(stream, f"{base}/out", RUN, f"{base}/checkpoint").awaitTermination()
+    applied = read_applied(t.spark, f"{base}/out").groupBy("target_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return read_states(t.spark, f"{base}/out").join(applied, "target_id", "left").select(
+        "target_id", "state", F.array_join("codes", ",").alias("codes"), F.coalesce("n", F.lit(0)).alias("times_imported"))

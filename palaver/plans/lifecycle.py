@@ -7,6 +7,8 @@ marker). A change of the target is a new table, never an update in place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,11 @@ def resume(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id: str)
                   .withColumn("deletion_hash", F.when(gone, none).otherwise(F.col("deletion_hash"))), manifest)
 
 
-def apply_plan(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """(manifest, target) after importing everything that may be imported, idempotently.
+def start_import(manifest: DataFrame, target: DataFrame, run_id: str) -> DataFrame:
+    """The manifest with every row settled that needs no write, and ``importing`` on the others.
 
-    A row is imported when its session is absent, was never created before, and every ancestor is
-    or becomes verified. The ancestors are followed by pointer doubling, so one pass settles the
-    whole forest; importing in parent order level by level gives the same result.
+    A row is to be imported when its session is absent, was never created before, and every ancestor is
+    verified or to be imported too. Store the result before writing: an interrupted run goes on from it.
     """
     seen = durable(_with_target(manifest, target, run_id))
     c = F.col
@@ -89,30 +90,87 @@ def apply_plan(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id:
     graph = seen.select("target_id", F.when(waits, c("parent_id")).alias("parent_id"), fine.alias("ready"))
     outcome = propagate_block(graph, ready="ready").select("target_id", c("effective").alias("_fine"))
     rows = seen.join(outcome, "target_id")
-    imported = active & ~c("present") & ~c("created") & c("_fine")
+    starts = active & ~c("present") & ~c("created") & c("_fine")
     orphan = active & ~c("present") & ~c("created") & ~c("_fine")
     lost = active & ~c("present") & c("created")
     kept = active & c("present") & c("owned")
     foreign = active & c("present") & ~c("owned")
     first = c("attempts") == 0
-    state = (F.when(imported, "verified").when(orphan | lost, "failed")
+    state = (F.when(starts, "importing").when(orphan | lost, "failed")
              .when(kept, F.when(matches & ~changed, "verified").otherwise("failed"))
              .when(foreign, F.when(first, "skipped").otherwise("failed")).otherwise(c("state")))
-    codes = (F.when(imported, _codes()).when(orphan, _codes("PARENT_MISSING")).when(lost, _codes("TARGET_CHANGED"))
+    codes = (F.when(starts, _codes()).when(orphan, _codes("PARENT_MISSING")).when(lost, _codes("TARGET_CHANGED"))
              .when(kept, F.when(changed, _codes("TARGET_CHANGED")).when(matches, _codes()).otherwise(
                  _codes("PARTIAL_WRITE")))
              .when(foreign, F.when(first, _codes("SESSION_CONFLICT")).otherwise(_codes("TARGET_CHANGED")))
              .otherwise(c("codes")))
-    actual = F.when(imported, c("expected")).when(kept | foreign, c("_snapshot")).otherwise(c("actual"))
-    deletion = (F.when(imported, c("transfer_hash")).when(kept & matches, F.coalesce("deletion_hash", "_hash"))
-                .otherwise(c("deletion_hash")))
-    new_rows = planned_rows(plan, run_id).join(rows.filter(imported).select("target_id"), "target_id", "left_semi")
+    actual = F.when(starts, F.lit(None).cast("string")).when(kept | foreign, c("_snapshot")).otherwise(c("actual"))
+    deletion = F.when(kept & matches, F.coalesce("deletion_hash", "_hash")).otherwise(c("deletion_hash"))
     result = rows.select(
-        "target_id", "source_id", "parent_id", "pos", state.alias("state"),
-        (c("created") | imported | kept).alias("created"),
-        (c("attempts") + F.when(imported, 1).otherwise(0)).alias("attempts"), codes.alias("codes"), "transfer_hash",
+        "target_id", "source_id", "parent_id", "pos", state.alias("state"), (c("created") | kept).alias("created"),
+        (c("attempts") + F.when(starts, 1).otherwise(0)).alias("attempts"), codes.alias("codes"), "transfer_hash",
         "expected", actual.alias("actual"), deletion.alias("deletion_hash"), "replacement")
-    return result.select(*manifest.columns), target.select(*TARGET).unionByName(new_rows)
+    return result.select(*manifest.columns)
+
+
+def finish_import(started: DataFrame, stored: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, rows to publish): every importing row judged by what storage holds of it now.
+
+    ``stored``: the rows read back, one per session at most. A session that came back as expected is verified, an
+    own one that differs is a partial write, a foreign one a changed target, an absent one an invalid
+    read-back. Below a session that is not verified nothing is published and no attempt counted: the outcome
+    of importing parents first, without a pass per level.
+    """
+    c = F.col
+    seen = durable(_with_target(started, stored, run_id))
+    importing = c("state") == "importing"
+    back = importing & c("present") & c("owned")
+    good = back & F.coalesce(c("_snapshot") == c("expected"), F.lit(False))
+    if seen.filter(importing & ~good).isEmpty():
+        rows = seen.withColumn("_orphan", F.lit(False))
+    else:
+        graph = seen.select("target_id", F.when(importing, c("parent_id")).alias("parent_id"),
+                            (good | (c("state") == "verified")).alias("ready"))
+        bad = propagate_block(graph, ready="ready").filter("NOT effective").select(c("target_id").alias("parent_id"))
+        below = seen.filter(importing & c("parent_id").isNotNull()).join(bad, "parent_id", "left_semi").select(
+            "target_id", F.lit(True).alias("_below"))
+        rows = seen.join(below, "target_id", "left").withColumn("_orphan", F.coalesce("_below", F.lit(False)))
+    orphan = importing & c("_orphan")
+    tried = importing & ~c("_orphan")
+    mine = tried & back
+    state = F.when(tried & good, "verified").when(importing, "failed").otherwise(c("state"))
+    codes = (F.when(orphan, _codes("PARENT_MISSING")).when(tried & good, _codes()).when(mine, _codes("PARTIAL_WRITE"))
+             .when(tried & c("present"), _codes("TARGET_CHANGED")).when(tried, _codes("READBACK_INVALID")).otherwise(c("codes")))
+    result = rows.select(
+        "target_id", "source_id", "parent_id", "pos", state.alias("state"), (c("created") | mine).alias("created"),
+        (c("attempts") - F.when(orphan, 1).otherwise(0)).alias("attempts"), codes.alias("codes"), "transfer_hash", "expected",
+        F.when(mine, c("_snapshot")).otherwise(c("actual")).alias("actual"),
+        F.when(mine, c("_hash")).otherwise(c("deletion_hash")).alias("deletion_hash"), "replacement")
+    published = stored.select(*TARGET).join(rows.filter(tried).select("target_id"), "target_id", "left_semi")
+    return result.select(*started.columns), published.select(*TARGET)
+
+
+def import_rows(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id: str,
+                write: Callable[[DataFrame], DataFrame] = durable) -> tuple[DataFrame, DataFrame]:
+    """(manifest, new target rows) after writing what may be imported and reading it back.
+
+    ``write`` stores target rows and returns what the storage holds of them afterwards.
+    """
+    started = durable(start_import(manifest, target, run_id))
+    chosen = started.filter("state = 'importing'").select("target_id")
+    stored = write(planned_rows(plan, run_id).join(chosen, "target_id", "left_semi").select(*TARGET))
+    return finish_import(started, stored, run_id)
+
+
+def apply_plan(manifest: DataFrame, plan: DataFrame, target: DataFrame, run_id: str,
+               write: Callable[[DataFrame], DataFrame] = durable) -> tuple[DataFrame, DataFrame]:
+    """(manifest, target) after importing everything that may be imported, idempotently.
+
+    Rows are marked importing, written, read back and only then verified or failed. The ancestors are
+    followed by pointer doubling, so one pass settles the whole forest.
+    """
+    after, new = import_rows(manifest, plan, target, run_id, write)
+    return after, target.select(*TARGET).unionByName(new)
 
 
 def verify(manifest: DataFrame, target: DataFrame, run_id: str) -> DataFrame:
