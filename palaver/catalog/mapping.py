@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.catalog.base import EVENTS, SESSIONS, query
-from palaver.catalog.joins import LINKED
+from palaver.catalog.base import CATALOG, EVENTS, SESSIONS, query
+from palaver.catalog.joins import LINKED, OBSERVED
 from palaver.functions.mime import is_plain_utf8, sniff_mime
 
 
@@ -315,43 +315,43 @@ def _(t):
     return m.messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")).join(parts, "session_id")
 
 
-def _replay(t, name: str, build, schema):
-    """Run a stream over the events until it is drained and return what it wrote."""
+def _replay(t, name: str, build):
+    """Run a stream over the events, in four micro-batches out of order, until it is drained; return what it wrote."""
     import uuid
 
     from palaver.session import checkpoint_dir
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{name}-{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    events = t.events
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for i in range(4):  # one file is one micro-batch
+        events.filter(part == i).coalesce(1).write.parquet(f"{base}/in/{i}")
+    stream = build(t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-    (build(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").outputMode("update")
+    (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").outputMode("update")
      .trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.schema(schema).parquet(f"{base}/out")
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 @query("st01_stream_dedup", """
 SELECT CAST(user_id AS STRING) AS key, count(DISTINCT event_type) > 1 AS conflict FROM events GROUP BY 1""")
 def _(t):
-    from palaver.streaming.dedup import OUTPUT, stream_dedup_quarantine
-    log = _replay(t, "dedup", lambda s: stream_dedup_quarantine(s, "user_id", "event_type", "ts"), OUTPUT)
+    from palaver.streaming.dedup import stream_dedup_quarantine
+    log = _replay(t, "dedup", lambda s: stream_dedup_quarantine(s, "user_id", "event_type", "ts"))
     return log.groupBy("key").agg(F.max_by("conflict", "n").alias("conflict"))
 
 
-_CALLS = """SELECT concat(CAST(user_id AS STRING), '-', CAST(event_id % 7 AS STRING)) AS call_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' ELSE event_type END AS status, event_id AS seq FROM {events}"""
-
-
-@query("st02_stream_tool_state", """
-WITH c AS (""" + _CALLS + """), r AS (SELECT *, CASE WHEN status IN ('completed', 'error') THEN 2 WHEN status = 'running' THEN 1 ELSE 0 END AS k FROM c)
-SELECT call_id, status, n FROM (SELECT call_id, status, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY k DESC, CASE WHEN k > 0 THEN -seq ELSE seq END) AS p FROM r) WHERE p = 1""")
+@query("st02_stream_tool_state", CATALOG["a03_merge_tool_observations"].sql)
 def _(t):
-    from palaver.streaming.tools import OUTPUT, stream_tool_state
-    call = F.concat(F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 7).cast("string"))
-    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "running").otherwise(F.col("event_type"))
-    log = _replay(t, "tools", lambda s: stream_tool_state(s.select(call.alias("call_id"), status.alias("status"), F.col("event_id").alias("seq"))), OUTPUT)
-    return log.groupBy("call_id").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"))
+    from palaver.streaming.tools import stream_tool_state
+    log = _replay(t, "tools", lambda s: stream_tool_state(t.spark.sql(OBSERVED, events=s)))
+    names = ["entry_index", "generated_at", "started_at", "completed_at"]
+    last = log.groupBy("session_id", "call_id").agg(F.max_by(F.struct("n_observations", "code", "status", *names), "n_observations").alias("r"))
+    return last.select("session_id", "call_id", "r.n_observations", F.when(F.col("r.code").isNull(), F.col("r.status")).otherwise("conflict").alias("outcome"),
+                       *[F.col(f"r.{c}").alias(c) for c in names])
 
 
 @query("u01_sql_functions", """

@@ -12,19 +12,48 @@ def merge_tool_observations(obs: DataFrame, key: Sequence[str] = ("session_id",
                             ) -> tuple[DataFrame, DataFrame]:
     """(calls, conflicts): the observations of every tool call merged, terminal states first.
 
+    The columns of ``obs`` are those of ``tool_states``.
+    """
+    key = list(key)
+    merged = _merged(obs, key)
+    calls = merged.filter(~F.col("_conflict")).select(
+        *key, "entry_index", "n_observations", *[F.col("_best")[c].alias(c) for c in RESULT], *TIMES)
+    conflicts = merged.filter("_conflict").select(*key, "n_observations", _code().alias("code"), F.lit("error").alias("severity"))
+    return calls, conflicts
+
+
+RESULT = ("name", "input", "status", "output", "error")
+TIMES = ("generated_at", "started_at", "completed_at")
+
+
+def tool_states(obs: DataFrame, key: Sequence[str] = ("session_id", "message_id", "call_id")) -> DataFrame:
+    """One row per tool call: the merged call, or a code and no values where observations contradict each other.
+
     Columns besides the key: entry_index, name, input, status, output, error (JSON text),
     generated_at, started_at, completed_at, and ``invalid`` for a payload that cannot be kept.
     Observations are compared in entry order without a window: each rule is a minimum or maximum,
-    so a call with very many observations still aggregates on the map side.
+    so a call with very many observations still aggregates on the map side, and a stream keeps one row of
+    state per call.
     """
     key = list(key)
+    fine = ~F.col("_conflict")
+    return _merged(obs, key).select(
+        *key, "n_observations", F.when(F.col("_conflict"), _code()).alias("code"), F.when(fine, F.col("entry_index")).alias("entry_index"),
+        *[F.when(fine, F.col("_best")[c]).alias(c) for c in RESULT], *[F.when(fine, F.col(c)).alias(c) for c in TIMES])
+
+
+def _code() -> Column:
+    return F.when(F.col("_invalid"), "TOOL_PAYLOAD_INVALID").otherwise("TOOL_CONFLICT")
+
+
+def _merged(obs: DataFrame, key: list[str]) -> DataFrame:
+    """One row per call with the merged values and ``_conflict``."""
     terminal = F.col("status").isin("completed", "error")
     running = F.col("status") == "running"
     payload = F.sha2(F.to_json(F.struct("status", "output", "error")), 256)
     rank = F.when(terminal, 2).when(running, 1).otherwise(0)
     # The last terminal wins, else the last running, else the first of the unknown ones.
     turn = F.when(terminal | running, F.col("entry_index")).otherwise(-F.col("entry_index"))
-    times = ("generated_at", "started_at", "completed_at")
     own_start = F.coalesce("started_at", "generated_at")
     rows = (obs.withColumn("completed_at", F.when(~F.coalesce(F.col("completed_at") < own_start, F.lit(False)),
                                                   F.col("completed_at")))
@@ -34,25 +63,17 @@ def merge_tool_observations(obs: DataFrame, key: Sequence[str] = ("session_id",
         F.bool_or("invalid").alias("_invalid"),
         (F.min("name") != F.max("name")).alias("_name"), (F.min("input") != F.max("input")).alias("_input"),
         F.coalesce(F.min("_terminal") != F.max("_terminal"), F.lit(False)).alias("_result"),
-        F.max_by(F.struct("name", "input", "status", "output", "error"),
+        F.max_by(F.struct(*RESULT),
                  F.struct(rank, turn)).alias("_best"),
     ]
-    for name in times:
+    for name in TIMES:
         seen = F.when(F.col(name).isNotNull(), F.col("entry_index"))
         aggregates += [F.min(name).alias(name), F.min(seen).alias(f"_at_{name}"),
                        F.coalesce(F.min(name) != F.max(name), F.lit(False)).alias(f"_differs_{name}")]
     merged = rows.groupBy(*key).agg(*aggregates)
     conflict = (F.col("_invalid") | F.col("_name") | F.col("_input") | F.col("_result")
-                | _any([F.col(f"_differs_{n}") for n in times]) | _bad_prefix())
-    merged = merged.withColumn("_conflict", F.coalesce(conflict, F.lit(False)))
-    calls = merged.filter(~F.col("_conflict")).select(
-        *key, "entry_index", "n_observations",
-        *[F.col("_best")[c].alias(c) for c in ("name", "input", "status", "output", "error")], *times)
-    conflicts = merged.filter("_conflict").select(
-        *key, "n_observations",
-        F.when(F.col("_invalid"), "TOOL_PAYLOAD_INVALID").otherwise("TOOL_CONFLICT").alias("code"),
-        F.lit("error").alias("severity"))
-    return calls, conflicts
+                | _any([F.col(f"_differs_{n}") for n in TIMES]) | _bad_prefix())
+    return merged.withColumn("_conflict", F.coalesce(conflict, F.lit(False)))
 
 
 def _any(flags: Sequence[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 class _Quarantine(StatefulProcessor):
     """Per key: its first hash and whether another one was seen. Three fields, however many rows."""
 
-    def __init__(self, expire_ms: int):
+    def __init__(self, expire_ms: int | None):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -33,9 +33,10 @@ class _Quarantine(StatefulProcessor):
                 digest = hashes.iloc[0]
             conflict = bool(conflict or (hashes != digest).any())
         self.seen.update((digest, conflict, n))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
+        if self.expire_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
         if (digest, conflict) != before:
             yield pd.DataFrame({"key": [key[0]], "digest": [digest], "conflict": [conflict], "n": [n]})
 
@@ -51,17 +52,19 @@ OUTPUT = "key string, digest string, conflict boolean, n bigint"
 
 
 def stream_dedup_quarantine(stream: DataFrame, key: str, digest: str, ts: str, delay: str = "10 minutes",
-                            expire_ms: int = 3_600_000) -> DataFrame:
+                            expire_ms: int | None = None) -> DataFrame:
     """A changelog of (key, digest, conflict, n): a row when a key appears or turns contradictory.
 
-    The last row of a key is what ``dedup_quarantine`` says about it. State is dropped
-    ``expire_ms`` after the last row of a key has passed the watermark.
+    The last row of a key is what ``dedup_quarantine`` says about it. Nothing is forgotten by default: state is
+    three fields a key, and no row is too late. With ``expire_ms`` state is dropped that long after the last row of a key has
+    passed the watermark; then a later contradiction is not seen and rows behind the watermark (``delay``) are left out.
     """
-    rows = (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-            .select(F.col(key).cast("string").alias("key"), F.col(digest).alias("digest"), F.col(ts),
-                    F.unix_millis(ts).alias("event_ms")))
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if expire_ms is not None:
+        rows = rows.withWatermark(ts, delay)
+    rows = rows.select(F.col(key).cast("string").alias("key"), F.col(digest).alias("digest"), F.col(ts), F.unix_millis(ts).alias("event_ms"))
     return rows.groupBy("key").transformWithStateInPandas(
-        _Quarantine(expire_ms), OUTPUT, "Update", "EventTime")
+        _Quarantine(expire_ms), OUTPUT, "Update", "none" if expire_ms is None else "EventTime")
 
 
 def split_late(batch: DataFrame, ts: str, watermark_ms: int) -> tuple[DataFrame, DataFrame]:

@@ -1,57 +1,20 @@
-"""The state of tool calls on a stream of log events: a terminal state wins in any order."""
+"""The state of tool calls on a stream of log events, by the rule of the batch merge."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from palaver.operators.merge import tool_states
 
-def rank_of(status):
-    """2 for a terminal state, 1 while running, 0 for anything else."""
-    return F.when(status.isin("completed", "error"), 2).when(status == "running", 1).otherwise(0)
 
+def stream_tool_state(stream: DataFrame, key: Sequence[str] = ("session_id", "message_id", "call_id")) -> DataFrame:
+    """A changelog for update mode: ``tool_states`` of every call that a micro-batch touched.
 
-class _ToolState(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "rank int, turn bigint, status string, n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rank, turn, status, n = self.best.get() if self.best.exists() else (-1, 0, None, 0)
-        for part in rows:
-            n += len(part)
-            top = part.sort_values(["rank", "turn"]).iloc[-1]
-            if (int(top["rank"]), int(top["turn"])) > (rank, turn) or status is None:
-                rank, turn, status = int(top["rank"]), int(top["turn"]), top["status"]
-        self.best.update((rank, turn, status, n))
-        yield pd.DataFrame({"call_id": [key[0]], "status": [status], "n": [n]})
-
-    def close(self) -> None:
-        pass
-
-
-OUTPUT = "call_id string, status string, n bigint"
-
-
-def stream_tool_state(stream: DataFrame, order: str = "seq") -> DataFrame:
-    """(call_id, status, n) whenever a call changes; ``stream``: call_id, status, ``order``.
-
-    The same choice as the batch merge: the last terminal, else the last running, else the first.
+    The row of a call with the greatest n_observations is what the batch merge says of all observations so far, in
+    whatever order they came. State is one row a call, however many observations it has. It is kept for good, since a
+    contradiction may come at any time; with a column of a watermarked window in ``key`` Spark drops the
+    state of windows that have passed.
     """
-    rank = rank_of(F.col("status"))
-    turn = F.when(rank > 0, F.col(order)).otherwise(-F.col(order)).cast("bigint")
-    rows = stream.select(F.col("call_id").cast("string").alias("call_id"), "status", rank.alias("rank"),
-                         turn.alias("turn"))
-    return rows.groupBy("call_id").transformWithStateInPandas(_ToolState(), OUTPUT, "Update", "none")
-
-
-def batch_tool_state(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """The same result over a finished table."""
-    rank = rank_of(F.col("status"))
-    turn = F.when(rank > 0, F.col(order)).otherwise(-F.col(order)).cast("bigint")
-    return rows.groupBy(F.col("call_id").cast("string").alias("call_id")).agg(
-        F.max_by("status", F.struct(rank.alias("r"), turn.alias("t"))).alias("status"),
-        F.count(F.lit(1)).alias("n"))
+    return tool_states(stream, key)
