@@ -333,7 +333,7 @@ def _(t):
     # Counts lowered on purpose, so that parts exceed their whole.
     rows = conversation_evidence(t).withColumn("user_messages", F.greatest(F.col("user_messages") - 3, F.lit(0))).withColumn(
         "assistant_messages", F.greatest(F.col("assistant_messages") - 3, F.lit(0)))
-    return evidence.evidence_faults(rows).filter("fault = 'COUNT_ABOVE_PARENT'")
+    return evidence.evidence_faults(rows)
 
 
 @query("a11_demote_on_diagnostics", f"""

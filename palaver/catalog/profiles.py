@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.catalog.base import EVENTS, SESSIONS, query
+from palaver.catalog.base import EVENTS, SESSIONS, TABLES, query
 from palaver.operators import profile
 from palaver.operators.ordered import set_hash
 
@@ -128,14 +128,17 @@ def _(t):
     return set_hash(t.documents.select(F.sha2("text", 256).alias("h")), [], "h", "fingerprint")
 
 
-_PROFILED = ("customer", "orders", "lineitem", "events", "documents", "conversations")
+# Names of types in DuckDB for those of Spark that occur in the given tables.
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "TINYINT": "tinyint", "VARCHAR": "string", "DOUBLE": "double", "FLOAT": "float",
+          "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>"}
+_TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " ELSE column_type END"
 
 
 @query("a23_profile_tables", " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS row_count, count(*) AS n_columns FROM (DESCRIBE {name})" for name in _PROFILED))
+    f"""SELECT '{name}' AS table_name, column_name, {_TYPE_CASE} AS type, "null" = 'YES' AS nullable, (SELECT count(*) FROM {name}) AS row_count FROM (DESCRIBE {name})"""
+    for name in TABLES))
 def _(t):
-    return profile.profile_tables({name: getattr(t, name) for name in _PROFILED}).groupBy("table_name", "row_count").agg(
-        F.count(F.lit(1)).alias("n_columns"))
+    return profile.profile_tables({name: getattr(t, name) for name in TABLES}).select("table_name", "column_name", "type", "nullable", "row_count")
 
 
 @query("a22_profile_json_keys", """
