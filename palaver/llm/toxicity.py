@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,11 @@ from palaver.llm.common import Words, flags, held_out, labelled_sample, map_text
 from palaver.session import durable
 
 _LETTERS = flags(b"abcdefghijklmnopqrstuvwxyz0123456789'") | (np.arange(256) >= 0x80)
-_BLOCK = 64
+_BLOCK = 512
 #: Lengths in bytes of the prefixes that count as terms besides whole words.
 PREFIXES = (4, 5, 6, 7)
+#: Length of the marked terms of a vector beside that of all its words, which is 1.
+MARKED = 2.0
 
 
 def _fold(texts: list[str]) -> list[bytes]:
@@ -23,10 +26,11 @@ def _fold(texts: list[str]) -> list[bytes]:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of 64 examples with the greatest weight of each block.
+    """Postings by term, cut into blocks of 512 examples with the greatest weight of each block.
 
-    ``terms`` are sorted word hashes; ``search`` returns the exact best examples: blocks are visited by falling upper
-    bound, until the bound of the next one is below the k-th best cosine.
+    ``terms`` are the sorted hashes of all whole words of the examples, ``marked`` those of the marked words and prefixes
+    (``names``); a marked term is a position of its own after the words. ``search`` returns the exact best examples:
+    the block with the greatest upper bound gives a k-th best cosine, and the blocks whose bound is below it are left out.
     """
 
     terms: np.ndarray
@@ -34,48 +38,63 @@ class BlockMaxIndex:
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior_empty: float = 0.0
     prior: float = 0.0
+    marked: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    unseen: float = 1.0
 
     def build(self, rows: list[np.ndarray], weights: list[np.ndarray]) -> None:
-        n = len(rows)
+        n, size = len(rows), len(self.terms) + len(self.marked)
         blocks = max(1, -(-n // _BLOCK))
         example = np.repeat(np.arange(n), [len(r) for r in rows])
         term = np.concatenate(rows) if n else np.zeros(0, np.int64)
         weight = np.concatenate(weights) if n else np.zeros(0)
         order = np.lexsort((example, term))
-        example, term, weight = example[order], term[order], weight[order]
-        at = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        self.top = np.zeros((len(self.terms), blocks))
-        np.maximum.at(self.top, (term, example // _BLOCK), weight)
-        self.postings = []
-        for t in range(len(self.terms)):
-            e, w = example[at[t]:at[t + 1]], weight[at[t]:at[t + 1]]
-            self.postings.append((e, w, np.searchsorted(e, np.arange(blocks + 1) * _BLOCK)))
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        self.example, term, self.weight = example[order], term[order], weight[order]
+        place = term * blocks + self.example // _BLOCK
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        top = np.zeros(size * blocks, np.float32)
+        if len(first):
+            top[place[first]] = np.maximum.reduceat(self.weight, first) * (1 + 1e-6)  # never under the weight
+        self.top = top.reshape(size, blocks)
+        start = np.searchsorted(place, np.arange(size * blocks)).reshape(size, blocks)
+        self.cut = np.hstack([start, np.append(start[1:, 0], len(term))[:size, None]]).astype(np.int32)
+
+    def vector(self, term: np.ndarray, count: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+        """The words' TF-IDF at length 1 (``others`` counts words that no example has) and, if there are any, the marked
+        terms' at length MARKED; both together at length 1."""
         weight = (1 + np.log(count)) * self.idf[term]
-        return weight / np.linalg.norm(weight)
+        word = term < len(self.terms)
+        rest = 0.0 if others is None else np.sum(((1 + np.log(others)) * self.unseen) ** 2)
+        whole, strong = np.sqrt(np.sum(weight[word] ** 2) + rest), np.linalg.norm(weight[~word])
+        if strong:
+            weight[~word] *= MARKED / strong
+        if whole:
+            weight[word] /= whole
+        return weight / np.sqrt((whole > 0) + (strong > 0) * MARKED ** 2)
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best (cosine, example); ties go to the lower example."""
         bound = weight @ self.top[term]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < -best[-1][0] - 1e-12):
-                break
-            base = block * _BLOCK
-            total = np.zeros(_BLOCK)
-            for t, w in zip(term, weight):
-                e, v, cut = self.postings[t]
-                x, y = cut[block], cut[block + 1]
-                total[e[x:y] - base] += w * v[x:y]
-            found = np.flatnonzero(total > (-best[-1][0] if len(best) == k else 0.0))
-            if len(found):
-                best = sorted(best + [(-c, int(base + x)) for c, x in zip(np.round(total[found], 12).tolist(), found)])[:k]
-        return [(-c, x) for c, x in best]
+        first = int(bound.argmax())
+        best = self._best(term, weight, first, first + 1, k)
+        least = best[-1][0] if len(best) == k else 0.0
+        still = np.flatnonzero((bound > 0) & (bound >= least - 1e-9))
+        if not len(still) or still[0] == still[-1] == first:
+            return best
+        return self._best(term, weight, still[0], still[-1] + 1, k)
+
+    def _best(self, term: np.ndarray, weight: np.ndarray, start: int, end: int, k: int) -> list[tuple[float, int]]:
+        """The k best among the examples of a span of blocks."""
+        a, b = self.cut[term, start], self.cut[term, end]
+        cuts = list(zip(a.tolist(), b.tolist()))
+        example = np.concatenate([self.example[i:j] for i, j in cuts])
+        total = np.bincount(example, np.repeat(weight, b - a) * np.concatenate([self.weight[i:j] for i, j in cuts]))
+        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
+        found = np.flatnonzero((total > 0) & (total >= least - 1e-11))
+        value = np.round(total[found], 12)
+        best = np.lexsort((found, -value))[:k]
+        return list(zip(value[best].tolist(), found[best].tolist()))
 
 
 def _terms_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -102,44 +121,62 @@ def term_hash(term: str) -> int:
     return int(mix(np.array([Words.hash_of(raw) + len(raw) & (1 << 64) - 1], np.uint64))[0])
 
 
-def term_counts(index_terms: np.ndarray, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text, the positions of its indexed terms and how often each occurs."""
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Per text, the hashes of its words, each once."""
     words = Words(_fold(texts), _LETTERS)
-    out = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-    if not len(index_terms):
-        return out
-    keys = []
-    for text, value in _terms_of(words):
-        at = np.minimum(np.searchsorted(index_terms, value), len(index_terms) - 1)
-        hit = index_terms[at] == value
-        keys.append(text[hit] * len(index_terms) + at[hit])
-    key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-    text, term = key // len(index_terms), key % len(index_terms)
-    cut = np.flatnonzero(np.diff(text, prepend=-1))
-    for a, b in zip(cut, [*cut[1:], len(text)]):
-        out[text[a]] = (term[a:b], count[a:b].astype(float))
-    return out
+    value, at = np.unique(words.hash, return_inverse=True)
+    key = np.unique(words.text * len(value) + at)
+    return np.split(value[key % max(1, len(value))], np.searchsorted(key, np.arange(1, len(texts)) * len(value)))
+
+
+def term_counts(index: BlockMaxIndex, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text, the positions of its indexed terms, how often each occurs, and the counts of its words in no example."""
+    words = Words(_fold(texts), _LETTERS)
+    known, size = len(index.terms), len(index.terms) + len(index.marked)
+    if not len(words.start):
+        return [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * len(texts)
+    at = np.minimum(np.searchsorted(index.terms, words.hash), max(0, known - 1))
+    strange = index.terms[at] != words.hash if known else np.ones(len(at), bool)
+    names, place = np.unique(words.hash[strange], return_inverse=True)
+    at[strange] = size + place
+    width = size + len(names)
+    keys = [words.text * width + at]
+    for text, value in _terms_of(words) if len(index.marked) else []:
+        at = np.minimum(np.searchsorted(index.marked, value), len(index.marked) - 1)
+        hit = index.marked[at] == value
+        keys.append(text[hit] * width + known + at[hit])
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    term, count = key % width, count.astype(float)
+    ends = np.searchsorted(key, np.arange(len(texts) + 1) * width)
+    cut = [a + np.searchsorted(term[a:b], size) for a, b in zip(ends, ends[1:])]
+    return [(term[a:c], count[a:c], count[c:b]) for a, c, b in zip(ends, cut, ends[1:])]
 
 
 def marked_terms(sample: DataFrame, bound: int, least: float, purity: float) -> DataFrame:
     """Words and prefixes that mark the label: at most ``bound``, with a likelihood ratio of ``least`` or more, and
     ``purity`` or more of their contexts labelled.
 
-    A context is the word with the one before; counting contexts, not documents, keeps the words of a much copied text out.
+    A context is the word with the one before, or with the one after: the side with more of them counts, so the words of
+    a fixed phrase are found at its ends. Counting contexts, not documents, keeps the words of a much copied text out.
     """
     token = r"[^a-z0-9'\x{80}-\x{10ffff}]+"
     words = F.filter(F.split(F.lower("text"), token), lambda w: w != "")
+    none, rest = F.array(F.lit("")), F.greatest(F.size("w") - 1, F.lit(0))
+    sides = F.arrays_zip(F.concat(none, F.slice("w", 1, rest)).alias("b"), F.col("w").alias("a"), F.concat(F.slice("w", 2, rest), none).alias("c"))
     pairs = (sample.select("label", words.alias("w"))
-             .select("label", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("b"),
-                                                     F.col("w").alias("a"))).alias("p"))
+             .select("label", F.explode(sides).alias("p"))
              .where(F.col("p.a").isNotNull())
-             .groupBy(F.col("p.b").alias("before"), F.col("p.a").alias("word"))
+             .select("label", "p.a", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.b").alias("other")),
+                                                       F.struct(F.lit(1).alias("side"), F.col("p.c").alias("other")))).alias("o"))
+             .groupBy("o.side", "o.other", F.col("a").alias("word"))
              .agg(F.max("label").alias("hi"), F.min("label").alias("lo")))
     whole = F.octet_length("word")
     heads = F.transform(F.array(*[F.left("word", F.lit(k)) for k in range(3, max(PREFIXES) + 1)]), lambda h: F.concat(h, F.lit("*")))
     heads = F.filter(heads, lambda h: (F.octet_length(h) - 1).isin(*PREFIXES) & (F.octet_length(h) <= whole))
-    terms = pairs.select(F.explode(F.concat(F.array("word"), heads)).alias("word"), "hi", "lo")
-    counts = terms.groupBy("word").agg(F.sum("hi").cast("double").alias("pos"), F.sum(1 - F.col("lo")).cast("double").alias("neg"))
+    terms = pairs.select(F.explode(F.concat(F.array("word"), heads)).alias("word"), "side", "hi", "lo")
+    counts = terms.groupBy("word", "side").agg(F.sum("hi").cast("double").alias("pos"), F.sum(1 - F.col("lo")).cast("double").alias("neg"))
+    both = counts.groupBy("word").agg(F.max(F.struct(F.col("pos") + F.col("neg"), "pos", "neg")).alias("m"))
+    counts = both.select("word", "m.pos", "m.neg")
     total = sample.select(F.avg(F.col("label").cast("double")).alias("share")).first()
     share = total["share"]
     if not share or share >= 1:
@@ -157,57 +194,76 @@ def marked_terms(sample: DataFrame, bound: int, least: float, purity: float) ->
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, rest: int = 0,
                  bound: int = 8000, max_terms: int = 4000, least: float = 30.0, purity: float = 0.95) -> BlockMaxIndex:
-    """Index at most ``bound`` labelled rows whose id is not held out, by at most ``max_terms`` marked words and prefixes.
+    """Index at most ``bound`` labelled rows whose id is not held out, by all their words; at most ``max_terms`` marked
+    words and prefixes weigh more.
 
-    Without labelled rows of both kinds the index is empty and every text has the score of the prior (0 without rows).
+    Without labelled rows the index is empty and every text has the score 0. Examples without a word are only counted.
     """
     sample = durable(labelled_sample(documents, labels, label, ~held_out(modulus, rest), bound))
     words = sorted({r["word"] for r in marked_terms(sample, max_terms, least, purity).collect()})
     hashed = sorted((term_hash(w), w) for w in words)
-    terms = np.array([h for h, _ in hashed], np.uint64)
+
+    def hashes():
+        return lambda texts: {"terms": [t.view(np.int64) for t in word_hashes(texts)]}
+
+    seen = map_texts(sample, "terms array<bigint>", hashes, keep=["doc_id"])
+    seen = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow()
+    terms, df = seen["term"].to_numpy().view(np.uint64), seen["df"].to_numpy()
+    order = np.argsort(terms)
+    index = BlockMaxIndex(terms[order], [w for _, w in hashed], np.zeros(0), np.zeros(0), np.zeros(0, np.int64),
+                          marked=np.array([h for h, _ in hashed], np.uint64))
+    sent = documents.sparkSession.sparkContext.broadcast(index)  # the words of at most bound rows
 
     def make():
         def run(texts):
-            found = term_counts(terms, texts)
-            return {"terms": [t.tolist() for t, _ in found], "counts": [c.tolist() for _, c in found]}
+            found = term_counts(sent.value, texts)
+            return {"terms": [t for t, _, _ in found], "counts": [c for _, c, _ in found]}
         return run
 
-    rows = map_texts(sample, "terms array<bigint>, counts array<double>", make, keep=["doc_id", "label"]).toPandas().sort_values("doc_id")
-    y = rows["label"].to_numpy(np.float64)
-    found = [np.asarray(t, np.int64) for t in rows["terms"]]
-    df = np.bincount(np.concatenate(found) if len(found) else np.zeros(0, np.int64), minlength=len(terms))
-    index = BlockMaxIndex(terms, [w for _, w in hashed], np.log((len(y) + 1) / (df + 1)) + 1, y, rows["doc_id"].to_numpy(np.int64))
+    rows = map_texts(sample, "terms array<bigint>, counts array<double>", make, keep=["doc_id", "label"]).toArrow().sort_by("doc_id")
+    y = rows["label"].to_numpy().astype(np.float64)
+    found, counts = (_arrays(rows[name]) for name in ("terms", "counts"))
+    strong = np.bincount(np.concatenate(found) if found else np.zeros(0, np.int64), minlength=len(terms) + len(hashed))[len(terms):]
+    index.idf = np.log((len(y) + 1) / (np.concatenate([df[order], strong]) + 1)) + 1
+    index.unseen = float(np.log(len(y) + 1) + 1)
     full = np.array([len(t) > 0 for t in found], bool)
     index.prior = float(y.mean()) if len(y) else 0.0
     index.prior_empty = float((y[~full].sum() + index.prior) / ((~full).sum() + 1)) if len(y) else 0.0
-    index.labels, index.ids = y[full], index.ids[full]
-    chosen = [(t, np.asarray(c)) for t, c, f in zip(found, rows["counts"], full) if f]
+    index.labels, index.ids = y[full], rows["doc_id"].to_numpy()[full]
+    chosen = [(t, c) for t, c in zip(found, counts) if len(t)]
     index.build([t for t, _ in chosen], [index.vector(t, c) for t, c in chosen])
     return index
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x for chunk in column.chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])] if len(column) else []
+
+
 def score_toxicity(documents: DataFrame, index: BlockMaxIndex, neighbours: int = 16, threshold: float = 0.5,
                    keep: list[str] | None = None) -> DataFrame:
     """Every document with ``score``, ``predicted`` and ``evidence`` (marked words, then the nearest examples and cosines).
 
-    A text without marked words has the rate of labelled texts without any; a null text counts as empty; columns of
-    these names give way.
+    A neighbour of cosine c has c / (1.02 - c) squared votes, so a copy of an example outweighs fifteen texts that only share
+    everyday words. A text without words has the rate of labelled texts without any; a null text counts as empty; columns
+    of these names give way.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(index)  # at most bound rows x max_terms words
+    sent = documents.sparkSession.sparkContext.broadcast(index)  # the words of at most bound rows
 
     def make():
         own = sent.value
 
         def run(texts):
             score, evidence = np.full(len(texts), own.prior_empty), [""] * len(texts)
-            for i, (term, count) in enumerate(term_counts(own.terms, texts)):
-                if not len(term):
+            for i, (term, count, others) in enumerate(term_counts(own, texts)):
+                if not len(term) and not len(others):
                     continue
-                near = own.search(term, own.vector(term, count), neighbours)
-                weight = np.array([c for c, _ in near])
-                votes = own.labels[[x for _, x in near]]
+                near = own.search(term, own.vector(term, count, others), neighbours) if len(term) else []
+                cosine = np.array([c for c, _ in near])
+                weight = (cosine / (1.02 - cosine)) ** 2
+                votes = own.labels[[x for _, x in near]] if near else np.zeros(0)
                 score[i] = (weight @ votes + 0.5 * own.prior) / (weight.sum() + 0.5)
-                evidence[i] = " ".join(own.names[t] for t in term[:8]) + "; " + " ".join(f"{own.ids[x]}:{c:.3f}" for c, x in near[:3])
+                strong = term[term >= len(own.terms)][:8] - len(own.terms)
+                evidence[i] = " ".join(own.names[t] for t in strong) + "; " + " ".join(f"{own.ids[x]}:{c:.3f}" for c, x in near[:3])
             score = np.clip(score, 0.0, 1.0)
             return {"score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": evidence}
         return run

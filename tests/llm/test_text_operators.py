@@ -59,6 +59,24 @@ def test_block_max_search_equals_a_full_scan():
         assert [round(c, 9) for c, _ in got] == [round(-c, 9) for c, _ in want]
 
 
+def test_toxicity_is_searched_over_all_words(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    # Toxic texts have nothing in common, so no word is marked; then a toxic word that is always behind the same one.
+    rows = [(i, " ".join(rng.choices(vocabulary, k=40)), int(i % 9 == 0)) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    index = toxicity.fit_toxicity(docs, labels, modulus=1, rest=1)
+    assert not index.names and len(index.labels) == 300
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, index).collect()}
+    assert all(got[i]["predicted"] == toxic and got[i]["evidence"].startswith(f"; {i}:1.000") for i, _, toxic in rows)
+    fixed = [(i, t + (" ".join(["", "you", "scumbag", rng.choice(vocabulary)]) if y else ""), y) for i, t, y in rows]
+    docs = spark.createDataFrame(fixed, "doc_id bigint, text string, toxic int")
+    index = toxicity.fit_toxicity(docs, labels, modulus=1, rest=1)
+    assert "scumbag" in index.names
+    new = spark.createDataFrame([(1, " ".join(rng.choices(vocabulary, k=40)) + " you scumbag"), (2, " ".join(rng.choices(vocabulary, k=40)))], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(new, index).collect()} == {1: 1, 2: 0}
+
+
 def test_language_field(spark, odd):
     en, fr = "the cat and the dog of this house with that man", "le chat et les chiens dans une maison avec des hommes"
     rows = [(i, " ".join(random.Random(i).choices((en if i % 2 else fr).split(), k=20)), "en" if i % 2 else "fr") for i in range(200)]
