@@ -140,6 +140,18 @@ def test_privacy_finds_what_the_base_loses(spark, odd):
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
 
 
+def test_privacy_proposes_phones_of_every_shape(spark):
+    cases = {"+4915112345678": "2024-01-05", "+14155552671": "4539578763621486", "+33 1 23 45 67 89": "4111111111111111"}
+    for phone, after in cases.items():
+        text = f"{phone} {after}"
+        assert privacy.base_spans(text)[:1] != [(0, 3, len(phone))] and (0, 3, len(phone)) in privacy.candidates(text)
+    texts = [f"word {p} and {p[:-2]}{i:02d} num 12345678901234{i:02d} or 10.0.{i}.7 card 4539578763621486" for i in range(60) for p in cases]
+    model = privacy.fit_privacy(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for phone, after in cases.items():
+        text = f"call {phone} {after} now"
+        assert (5, 3, 5 + len(phone)) in model.spans(text)[1], text
+
+
 def test_rules_on_odd_rows(odd):
     rows = {r["doc_id"]: r for r in rules.judge(odd).where("doc_id is not null").collect()}
     assert rows[2]["n_words"] == 0 and rows[2]["base_failed"] and not rows[2]["kept"]
