@@ -14,12 +14,18 @@ _LETTERS = flags(b"abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 0x80)
 _BITS = 16
 
 
+def _lower(text: str) -> str:
+    """The text in small letters with as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text)])
+
+
 class WordFeatures:
     """Hashed features of the words of some texts: n-grams of three bytes with the word's edges, affixes, the word itself."""
 
     def __init__(self, texts: list[str]):
-        words = Words([t.lower().encode() for t in texts], _LETTERS)
-        self.count, self.length, self.text = words.count, words.length, words.text
+        words = Words([_lower(t).encode() for t in texts], _LETTERS)
+        self.words, self.count, self.length, self.text = words, words.count, words.length, words.text
         self.size = len(words.start)
         if not self.size:
             return
@@ -107,7 +113,29 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language with the greatest share of posterior mass, words weighing their bytes; `und` without a letter."""
-        shares = self.shares(texts)
+        return self._named(texts, self._shares(WordFeatures(texts), len(texts))[0])
+
+    def predict_spans(self, texts: list[str]) -> tuple[list[str], list[float], list[list[dict]]]:
+        """``predict`` and the language spans: runs of words whose likeliest language is the same, by characters."""
+        features = WordFeatures(texts)
+        shares, posterior = self._shares(features, len(texts))
+        names, score = self._named(texts, shares)
+        spans: list[list[dict]] = [[] for _ in texts]
+        if posterior is not None:
+            words, label = features.words, posterior.argmax(axis=1)
+            chars = np.cumsum((words.raw & 0xC0) != 0x80)
+            chars = np.concatenate([[0], chars])
+            origin = chars[np.concatenate([[0], words.ends_of_texts])[words.text]]
+            start, end = chars[words.start] - origin, chars[words.end] - origin
+            first = np.flatnonzero((np.diff(words.text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
+            last = np.append(first[1:], len(label)) - 1
+            sure = np.add.reduceat(posterior.max(axis=1), first) / (last - first + 1)
+            for text, a, b, x, p in zip(words.text[first].tolist(), start[first].tolist(), end[last].tolist(), label[first].tolist(), sure.tolist()):
+                if names[text] != "und":
+                    spans[text].append({"start": a, "end": b, "lang": self.languages[x], "posterior": min(1.0, p)})
+        return names, score, spans
+
+    def _named(self, texts: list[str], shares: np.ndarray) -> tuple[list[str], list[float]]:
         out, score = [], []
         for text, share in zip(texts, shares):
             total = share.sum()
@@ -120,45 +148,49 @@ class LanguageModel:
                 score.append(min(1.0, float(share[best] / total)))
         return out, score
 
-    def shares(self, texts: list[str]) -> np.ndarray:
-        features = WordFeatures(texts)
-        out = np.zeros((len(texts), max(1, len(self.languages))))
+    def _shares(self, features: WordFeatures, texts: int) -> tuple[np.ndarray, np.ndarray | None]:
+        out = np.zeros((texts, max(1, len(self.languages))))
         if not features.size or not self.languages:
-            return out
+            return out, None
         posterior, _ = forward_backward(features.scores(self.weight), self.step, features.count)
         for label in range(len(self.languages)):
-            out[:, label] = np.bincount(features.text, posterior[:, label] * features.length, minlength=len(texts))
-        return out
+            out[:, label] = np.bincount(features.text, posterior[:, label] * features.length, minlength=texts)
+        return out, posterior
 
 
 def fit_language(documents: DataFrame, modulus: int = 4, rest: int = 2, bound: int = 800, max_chars: int = 32768,
                  rounds: int = 16, rate: float = 0.3, decay: float = 1e-3) -> LanguageModel:
-    """Learn from at most ``bound`` documents with a language whose id is not held out and whose text has at most
-    ``max_chars`` characters, spread over the languages by hash order; every word has the label of its document.
+    """Learn every language, from at most ``bound`` documents over the number of languages (one at least) of each whose id
+    is not held out, the first by hash order; of longer texts the first ``max_chars`` characters.
 
-    The driver holds at most ``bound`` times ``max_chars`` characters. Without such documents the model only answers `und`.
+    Every word has the label of its document, so the gold transitions never change the language. The driver holds the
+    chosen texts and 2^16 weights a language. Without such documents the model only answers `und`.
     """
     from pyspark.sql import Window
 
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                             & ~held_out(modulus, rest) & (F.length("text") <= max_chars))
-    names = sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, rest))
+    ids = usable.select("lang", "doc_id").distinct()
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((1 << _BITS, 0)), np.zeros((0, 0)))
     each = max(1, bound // len(names))
-    parts = [usable.where(F.col("lang") == name).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for name in names]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
-    ids = F.broadcast(chosen.select("doc_id").distinct())  # at most `bound` numbers
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in usable.select("doc_id", "lang", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).collect())
-    rows = [r for r in rows if r[1] in names]
+    # Only the least hashes are ranked: of a frequent language about 8 * each + 40 ids.
+    share = documents.sparkSession.createDataFrame([(n, min(1.0, (8 * each + 40) / sizes[n])) for n in names], "lang string, _share double")
+    least = ids.withColumn("_hash", F.xxhash64("doc_id")).join(F.broadcast(share), "lang")  # one row a language
+    least = least.where(F.col("_hash").cast("double") / 2.0 ** 64 + 0.5 <= F.col("_share"))
+    ranked = least.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id")))
+    chosen = ranked.where(F.col("_rank") <= each).select("lang", "doc_id")
+    texts = usable.select("doc_id", "lang", F.left("text", F.lit(max_chars)).alias("text"))
+    texts = texts.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most `bound` ids, or one a language
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect())
+    place = {name: i for i, name in enumerate(names)}
     features = WordFeatures([text for _, _, text in rows])
     labels = len(names)
     weight, step = np.zeros((1 << _BITS, labels)), np.zeros((labels, labels))
     if not features.size:
         return LanguageModel(names, weight, step)
-    truth = np.array([names.index(lang) for _, lang, _ in rows])[features.text]
+    truth = np.array([place[lang] for _, lang, _ in rows])[features.text]
     hot = np.eye(labels)[truth]
     same = features.text[1:] == features.text[:-1]
     moved = np.zeros((labels, labels))
@@ -177,15 +209,25 @@ def fit_language(documents: DataFrame, modulus: int = 4, rest: int = 2, bound: i
     return LanguageModel(names, weight.astype(np.float32), step)
 
 
-def detect_language(documents: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """Every document with ``lang_pred`` and ``score``; a null text or one without a letter has `und` and 0, columns of these names give way."""
+def detect_language(documents: DataFrame, model: LanguageModel, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
+    """Every document with ``lang_pred`` and ``score``; a null text or one without a letter has `und` and 0, columns of these names give way.
+
+    With ``spans`` also ``lang_spans``: each run of words of one language with its characters (from 0, the end is outside)
+    and the mean posterior of its words.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2^16 buckets x languages
 
     def make():
         def run(texts):
-            names, score = sent.value.predict(texts)
-            return {"lang_pred": names, "score": score}
+            if not spans:
+                names, score = sent.value.predict(texts)
+                return {"lang_pred": names, "score": score}
+            names, score, found = sent.value.predict_spans(texts)
+            return {"lang_pred": names, "score": score, "lang_spans": found}
         return run
 
+    added = "lang_pred string, score double"
+    if spans:
+        added += ", lang_spans array<struct<start: int, end: int, lang: string, posterior: double>>"
     # Chains of a slice advance together word by word, so larger slices take fewer steps.
-    return map_texts(documents, "lang_pred string, score double", make, keep, slice_bytes=4 << 20)
+    return map_texts(documents, added, make, keep, slice_bytes=4 << 20)

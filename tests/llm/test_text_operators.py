@@ -89,6 +89,26 @@ def test_language_field(spark, odd):
     assert {r["lang_pred"] for r in language.detect_language(odd, language.fit_language(_empty(train))).collect()} == {"und"}
 
 
+def test_language_learns_all_languages_and_labels_words(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    rows = [(i * 3 + j, " ".join(random.Random(i).choices([chr(0x4E00 + 40 * i + k) * 3 for k in range(30)], k=20)), name)
+            for i, name in enumerate(names) for j in range(3)]
+    long = "zebra quagga okapi " * 2500
+    rows.append((9000, long, "zz"))
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit_language(train, modulus=1, rest=1)
+    assert model.languages == [*names, "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.detect_language(train, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.95 * len(rows) and got[9000] == "zz"
+    en, fr = "the cat and the dog of this house with that man", "le chat et les chiens dans une maison avec des hommes"
+    train = spark.createDataFrame([(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(60)], "doc_id bigint, text string, lang string")
+    mixed = spark.createDataFrame([(1, f"İé {en}. {fr}"), (2, None), (3, fr)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in language.detect_language(mixed, language.fit_language(train), spans=True).collect()}
+    last = found[1]["lang_spans"][-1]
+    assert found[1]["text"][last["start"]:last["end"]] == fr and last["lang"] == "fr" and 0.5 < last["posterior"] <= 1
+    assert found[1]["lang_spans"][-2]["lang"] == "en" and found[2]["lang_spans"] == [] and [s["lang"] for s in found[3]["lang_spans"]] == ["fr"]
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
