@@ -18,6 +18,9 @@ from palaver.llm.privacy import find_privacy, fit_privacy
 from palaver.llm.quality import fit_quality, score_quality
 from palaver.llm.rules import judge, rules_sql
 from palaver.llm.toxicity import fit_toxicity, score_toxicity
+from palaver.llm.url_filter import UrlRule, judge_urls, urls_sql
+from palaver.llm.variants import group_variants, planted_words
+from palaver.llm.whitening import fit_whitening, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +102,23 @@ def op5_near_texts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_vectors")
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+URL_RULES = [UrlRule.of(x) for x in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
+@query("op11_url_verdicts", urls_sql(URL_RULES))
+def op11_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "score", "verdict")
+
+
+@query("op12_whitened_vectors")
+def op12_whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return whiten(embeddings, fit_whitening(embeddings))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return group_variants(planted_words(table(spark, folder, "documents")))
