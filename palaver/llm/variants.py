@@ -11,18 +11,24 @@ bounded by letters; a half that more letters share is cut into blocks, every blo
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from string import ascii_lowercase, ascii_uppercase
 
+from palaver.llm.common import LOWER, SLICE_BYTES, slices
 from palaver.session import durable, ship
 
 #: Letters of the words of a shard, and of one block of a half shared by more.
 SHARD = 1 << 18
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+#: Different words a task counts before it hands them on.
+HELD = 400_000
 _STEP = 16
+_LOWER = LOWER.tobytes()
 
 
 class SuffixIndex:
@@ -187,21 +193,43 @@ def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:
         placed = stored.unionByName(sought)
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("half", "b", "q"), F.lit(shards)).cast("int"))
     ship(words.sparkSession)
-    return placed.select("word", "n", "stored", "sought", "side", "shard").groupBy("side", "shard").applyInArrow(_search_shard, _EDGES)
+    placed = placed.select("word", "n", "stored", "sought", "side", "shard").repartition(2 * shards, "side", "shard")  # little data, much work
+    return placed.groupBy("side", "shard").applyInArrow(_search_shard, _EDGES)
 
 
 def planted_words(documents: DataFrame, least: int = 5, times: int = 3, every: int = 97) -> DataFrame:
     """word, n: the letter runs of all texts, lower-cased in A-Z, of ``least`` code points and ``times`` occurrences or more.
 
     A run loses the code point h % length where ``every`` divides h, the crc32 of ``<doc_id>:<run>``. A null text has
-    no runs, a null id reads as the empty text.
+    no runs, a null id reads as the empty text. Tasks count before they hand words on, ``HELD`` different ones at a time.
     """
-    runs = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= least).withColumn("run", F.translate("run", ascii_uppercase, ascii_lowercase))
-    runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
-    at = (F.col("h") % F.length("run")).cast("int")
-    word = F.when(F.col("h") % every == 0, F.concat(F.left("run", at), F.substr("run", at + 2))).otherwise(F.col("run"))
-    counted = runs.select(word.alias("word")).where(F.length("word") >= least).groupBy("word").agg(F.count("*").alias("n"))
+    def run(batches):
+        counts: Counter = Counter()
+
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            counts.clear()
+            return made
+
+        for whole in batches:
+            for batch in slices(whole, SLICE_BYTES):
+                for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                    low = text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()
+                    head = zlib.crc32(f"{key}:".encode())
+                    for word, n in Counter(runs.findall(low)).items():
+                        h = zlib.crc32(word.encode(), head)
+                        if h % every == 0:
+                            at = h % len(word)
+                            word = word[:at] + word[at + 1:]
+                        counts[word] += n
+                if len(counts) > HELD:
+                    yield taken()
+        yield taken()
+
+    runs = re.compile(f"[a-z\u00c0-\u00ff]{{{least},}}")
+    ship(documents.sparkSession)
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text").where("text is not null")
+    counted = texts.mapInArrow(run, "word string, n bigint").where(F.length("word") >= least).groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= times)
 
 
