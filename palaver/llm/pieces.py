@@ -7,6 +7,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame
 
 from palaver.llm.common import map_texts
 
-#: Entries a task remembers before it starts anew.
-MEMO = 300_000
+#: Words of one generation of what a worker remembers; there are two, and a word that is met again moves to the younger one.
+GENERATION = 150_000
+#: Words up to this length are merged side by side by the least of each word's pairs, longer ones by a heap.
+SHORT = 32
+_LETTER, _NONE = 1 << 24, 1 << 30
 _SPACE = "▁"
 _RUNS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 
@@ -45,6 +49,76 @@ class PieceModel:
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(_SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("pieces with a blank inside are not covered")
+        self.number = [str(i) for i in range(len(self.piece))]
+        self.letter, self.keys, self.places, self.joined = self._pairs()
+        self.shown = [p.replace(_SPACE, " ") for p in self.piece]
+
+    def _pairs(self) -> tuple[np.ndarray, ...]:
+        """(id of every code point, sorted pairs of ids as one number, the place of each pair's score, the merged ids).
+
+        A code point without a piece has the id ``_LETTER`` + itself; with its neighbours it may still be a piece.
+        """
+        letter = np.arange(0x110000, dtype=np.int64) + _LETTER
+        for piece, (i, _) in self.ids.items():
+            if len(piece) == 1:
+                letter[ord(piece)] = i
+        place = {score: k for k, score in enumerate(sorted({score for _, score in self.ids.values()}, reverse=True))}
+        known = {piece: i for piece, (i, _) in self.ids.items()}
+        pairs = {}
+        for piece, (i, score) in self.ids.items():
+            for k in range(1, len(piece)):
+                ends = [known.get(p, int(letter[ord(p)]) if len(p) == 1 else None) for p in (piece[:k], piece[k:])]
+                if None not in ends:
+                    pairs[ends[0] << 26 | ends[1]] = (place[score], i)
+        keys = np.array(sorted(pairs), np.int64)
+        found = np.array([pairs[k] for k in keys.tolist()], np.int64).reshape(-1, 2)
+        return letter, np.append(keys, 1 << 62), np.append(found[:, 0], _NONE).astype(np.int32), np.append(found[:, 1], 0)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the score, merged id) of pairs; the place is ``_NONE`` where no piece is made."""
+        key = np.where((left < 0) | (right < 0), -1, left << 26 | right)
+        at = np.searchsorted(self.keys, key)
+        same = self.keys[at] == key
+        return np.where(same, self.places[at], _NONE), self.joined[at]
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of up to ``SHORT`` letters: in every round each word merges its best pair, the leftmost of equals."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for most in (8, 12, 18, SHORT):
+            rows = np.flatnonzero((size <= most) & (size > {8: 0, 12: 8, 18: 12, SHORT: 18}[most]))
+            if len(rows):
+                padded = "".join([words[i].ljust(most, "\0") for i in rows.tolist()])
+                ids = self.letter[np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(rows), most)
+                ids[np.arange(most) >= size[rows, None]] = -1
+                self._merge_rows(ids, rows, out)
+        return out
+
+    def _merge_rows(self, ids: np.ndarray, rows: np.ndarray, out: list[list[int]]) -> None:
+        places, made = self._look_up(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            at = places.argmin(axis=1) if places.shape[1] else np.zeros(len(rows), np.int64)
+            more = places[np.arange(len(rows)), at] < _NONE if places.shape[1] else np.zeros(len(rows), bool)
+            done = np.flatnonzero(~more)
+            for i, row, n in zip(rows[done].tolist(), ids[done].tolist(), (ids[done] >= 0).sum(axis=1).tolist()):
+                out[i] = self._plain(row[:n]) if max(row) >= _LETTER else row[:n]
+            ids, places, made, rows, at = ids[more], places[more], made[more], rows[more], at[more]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            ids[each, at] = made[each, at]
+            width = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, width + (width > at[:, None]), axis=1)
+            gap = width[:-1] + (width[:-1] >= at[:, None])
+            places, made = np.take_along_axis(places, gap, axis=1), np.take_along_axis(made, gap, axis=1)
+            for shift in (-1, 0):  # the pairs on both sides of the merged symbol
+                side = np.flatnonzero((at + shift >= 0) & (at + shift < places.shape[1]))
+                pair = at[side] + shift
+                places[side, pair], made[side, pair] = self._look_up(ids[side, pair], ids[side, pair + 1])
+
+    def _plain(self, ids: list[int]) -> list[int]:
+        """Code points without a piece as the ids of their bytes."""
+        return [x for i in ids for x in ([self.bytes[b] for b in chr(i - _LETTER).encode()] if i >= _LETTER else (i,))]
 
     def runs(self, word: str) -> list[str]:
         """Parts of a word that no merge can join."""
@@ -78,22 +152,23 @@ class PieceModel:
                 offer(left[a], a)
         return [s for s in symbols if s is not None]
 
-    def spell(self, run: str) -> tuple[str, int, str, bytes]:
-        """(ids as text, their number, the text they decode to, ids as 32-bit numbers) of a run."""
-        ids: list[int] = []
-        for symbol in self.merge(run):
-            found = self.ids.get(symbol)
-            if found:
-                ids.append(found[0])
-            else:
-                ids += [self.bytes[b] for b in symbol.encode()]
-        return ",".join(map(str, ids)), len(ids), self.decode(ids), array("i", ids).tobytes()
+    def spell(self, words: list[str]) -> list[list[int]]:
+        """The ids of words: short ones together, long ones run by run."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        out: list[list[int]] = [[]] * len(words)
+        for i, ids in zip(short, self.merge_all([words[i] for i in short])):
+            out[i] = ids
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = [x for run in self.runs(word) for symbol in self.merge(run) for x in (
+                    (self.ids[symbol][0],) if symbol in self.ids else [self.bytes[b] for b in symbol.encode()])]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the blank put before the text not yet taken off."""
         if self.of_byte.keys().isdisjoint(ids):
-            return "".join([self.piece[i] for i in ids]).replace(_SPACE, " ")
-        return b"".join([bytes((self.of_byte[i],)) if i in self.of_byte else self.piece[i].replace(_SPACE, " ").encode() for i in ids]).decode("utf-8", "replace")
+            return "".join([self.shown[i] for i in ids])
+        return b"".join([bytes((self.of_byte[i],)) if i in self.of_byte else self.shown[i].encode() for i in ids]).decode("utf-8", "replace")
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -104,78 +179,103 @@ class PieceModel:
         return [_SPACE + w for w in marked.split(_SPACE)[1:]]
 
 
-class PieceMemo(dict):
-    """What each word gives: (ids as text, their number, decoded text, ids as numbers). New words are checked against the library."""
+class PieceMemo:
+    """What the words of the texts at hand give: (ids as text, their number, decoded text, ids as numbers).
+
+    New words are spelt here and then encoded and decoded by the library as one text; where a word differs, the
+    library's result stands and the word is kept in ``differing``.
+    """
 
     def __init__(self, model: PieceModel):
-        super().__init__()
         self.model = model
-        self.known: dict[str, tuple[str, int, str, bytes]] = {}
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> tuple[str, int, str, bytes]:
-        parts = []
-        for run in self.model.runs(word):
-            part = self.known.get(run)
-            if part is None:
-                self.known[run] = part = self.model.spell(run)
-            parts.append(part)
-        made = parts[0] if len(parts) == 1 else (
-            ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts]), b"".join([p[3] for p in parts]))
-        self.fresh.append(word)
-        self[word] = made
-        return made
-
-    def check(self) -> None:
-        """Encode and decode the words seen first in this batch with the library; a difference ends the run.
-
-        A word is checked as a text of its own, which the library starts with the blank that the word has.
+        self.young: dict[str, tuple[str, int, str, bytes]] = {}
+        self.old: dict[str, tuple[str, int, str, bytes]] = {}
+        self.differing: set[str] = set()
+
+    def learn(self, words: set[str]) -> None:
+        """Have all the words in ``young``."""
+        if len(self.young) > GENERATION:
+            self.young, self.old = {}, self.young
+        fresh = []
+        for word in words:
+            if word not in self.young:
+                known = self.old.pop(word, None)
+                if known is None:
+                    fresh.append(word)
+                else:
+                    self.young[word] = known
+        spelt = self.model.spell(fresh)
+        shown = [self.model.decode(ids) for ids in spelt]
+        for i in self._differ(fresh, spelt, shown):
+            self.differing.add(fresh[i])
+            spelt[i], shown[i] = self._by_library(fresh[i])
+        number = self.model.number
+        for word, ids, text in zip(fresh, spelt, shown):
+            self.young[word] = (",".join([number[i] for i in ids]), len(ids), text, array("i", ids).tobytes())
+
+    def _differ(self, words: list[str], spelt: list[list[int]], shown: list[str]) -> list[int]:
+        """Positions of the words that the library encodes or decodes in another way.
+
+        A word starts with the blanks before it, so words side by side are a text that is cut at the same places. Only words of
+        nothing but blanks would join the next one; they are looked at alone, as is every word if the text differs, behind one letter.
         """
-        words = [w for w in self.fresh if w.startswith(_SPACE) and _SPACE not in w[1:] and len(w) > 1]
-        ids = self.model.library.encode([w[1:] for w in words], num_threads=1)
-        for word, theirs in zip(words, ids):
-            if self[word][0] != ",".join(map(str, theirs)):
-                raise ValueError(f"own ids of {word!r} differ from the library's")
-        for word, theirs in zip(words, self.model.library.decode(ids, num_threads=1)):
-            if self[word][2][1:] != theirs:
-                raise ValueError(f"own decoded text of {word!r} differs from the library's")
-        self.fresh.clear()
-        if len(self) > MEMO or len(self.known) > MEMO:
-            self.clear()
-            self.known.clear()
+        library = self.model.library
+        at = [i for i, w in enumerate(words) if w[-1] != _SPACE]
+        ids = library.encode("".join([words[i] for i in at]).replace(_SPACE, " ")[1:]) if at else []
+        if ids == [x for i in at for x in spelt[i]] and library.decode(ids) == "".join([shown[i] for i in at])[1:]:
+            at = [i for i, w in enumerate(words) if w[-1] == _SPACE]
+        else:
+            at = list(range(len(words)))
+        return [i for i in at if self._by_library(words[i]) != (spelt[i], shown[i])]
+
+    def _by_library(self, word: str) -> tuple[list[int], str]:
+        """(ids, decoded text) of a word behind another one."""
+        library, before = self.model.library, self.model.library.encode("a")
+        ids = library.encode("a" + word.replace(_SPACE, " "))
+        return ids[len(before):], library.decode(ids)[1:]
+
+
+@lru_cache(maxsize=1)
+def memo_of(path: str) -> PieceMemo:
+    """One for a worker process, for all tasks that it runs one after the other."""
+    return PieceMemo(PieceModel(path))
 
 
 def encode_pieces(documents: DataFrame, path: str, keep: list[str] | None = None, ids: bool = False, decoded: bool = False) -> DataFrame:
-    """Every document with n_tokens, ids_sha256, decoded_sha256 (and ``ids`` or ``decoded`` if asked for).
+    """Every document with n_tokens, ids_sha256, decoded_sha256, n_differing (and ``ids`` or ``decoded`` if asked for).
 
     A null text is the empty text, which has no ids and decodes to itself. ``path`` must exist on every executor.
-    The words new to a task are encoded and decoded with the library too, batch by batch. Columns of the added
-    names give way.
+    The words new to a worker are encoded and decoded with the library too, batch by batch; ``n_differing`` counts the words of
+    a document for which the library's result took the place of another one here. A very long text, or a very
+    long word, is encoded whole. Columns of the added names give way.
     """
     def make() -> Callable[[list], dict]:
-        memo = PieceMemo(PieceModel(path))
+        memo = memo_of(path)
 
         def run(texts: list) -> dict:
-            count, sha, back, numbers, plain_texts = [], [], [], [], []
-            for text in texts:
-                words = PieceModel.words(text) if text else []
-                made = list(map(memo.__getitem__, words))
+            count, sha, back, odd, numbers, plain_texts = [], [], [], [], [], []
+            split = [PieceModel.words(text) if text else [] for text in texts]
+            memo.learn(set().union(*split))
+            known = memo.young
+            for words in split:
+                made = [known[w] for w in words]
                 joined = ",".join([m[0] for m in made])
                 plain = "".join([m[2] for m in made])[1:]
                 count.append(sum([m[1] for m in made]))
                 sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(plain.encode()).hexdigest())
+                odd.append(sum([w in memo.differing for w in words]) if memo.differing else 0)
                 if ids:
                     numbers += [m[3] for m in made]
                 if decoded:
                     plain_texts.append(plain)
-            memo.check()
-            out = {"n_tokens": count, "ids_sha256": sha, "decoded_sha256": back, "decoded": plain_texts}
+            out = {"n_tokens": count, "ids_sha256": sha, "decoded_sha256": back, "n_differing": odd, "decoded": plain_texts}
             if ids:
                 ends = pa.array([0, *accumulate(count)], pa.int32())
                 out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(numbers), np.int32)))
             return out
         return run
 
-    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
+    added = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_differing bigint" + (", ids array<int>" if ids else "")
+             + (", decoded string" if decoded else ""))
     return map_texts(documents, added, make, keep)

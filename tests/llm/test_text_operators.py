@@ -251,7 +251,7 @@ def test_pieces_and_counts_equal_the_libraries(spark, odd):
     library = pieces.PieceModel(path).library
     for r in pieces.encode_pieces(docs, path, ids=True, decoded=True).collect():
         ids = library.encode(r["text"])
-        assert r["ids"] == ids and r["decoded"] == library.decode(ids) and r["n_tokens"] == len(ids)
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids) and r["n_tokens"] == len(ids) and r["n_differing"] == 0
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = counts.load(path)
     for chunk in (65536, 40):
@@ -260,6 +260,37 @@ def test_pieces_and_counts_equal_the_libraries(spark, odd):
     assert pieces.encode_pieces(odd, tokenizer_path("piece_bpe_32k.model")).count() == counts.count_tokens(odd, path).count() == len(ODD)
 
 
+def test_short_and_long_words_are_merged_alike():
+    model = pieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = ["▁" + "".join(rng.choices("abcdefghinorstuéß日.1", k=rng.randint(1, 31))) for _ in range(4000)] + ["▁▁▁the", "▁", "▁▁"]
+    spelt = model.merge_all(words)
+    for word, ids in zip(words, spelt):
+        slow = [x for p in model.merge(word) for x in ([model.ids[p][0]] if p in model.ids else [model.bytes[b] for b in p.encode()])]
+        assert ids == slow == model.library.encode("a" + word.replace("▁", " "))[1:]
+    assert model.spell(["▁" + "x" * 50, "▁a"])[1] == model.merge_all(["▁a"])[0]
+
+
+def test_a_differing_word_takes_the_library_result(monkeypatch):
+    model = pieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    wrong = model.spell(["▁other"])[0]
+    spell = model.spell
+    monkeypatch.setattr(model, "spell", lambda words: [wrong if w == "▁hello" else ids for w, ids in zip(words, spell(words))])
+    memo = pieces.PieceMemo(model)
+    memo.learn({"▁hello", "▁there", "▁▁x", "▁", "▁▁"})
+    assert memo.differing == {"▁hello"} and memo.young["▁hello"][0] == ",".join(map(str, model.library.encode("hello")))
+    assert memo.young["▁hello"][2] == " hello" and memo.young["▁there"][0] == ",".join(map(str, model.library.encode("there")))
+
+
+def test_two_generations_keep_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(pieces, "GENERATION", 3)
+    memo = pieces.PieceMemo(pieces.PieceModel(tokenizer_path("piece_bpe_32k.model")))
+    for words in ({"▁a", "▁b", "▁c", "▁d"}, {"▁a", "▁e"}, {"▁a", "▁f", "▁g"}, {"▁h"}):
+        memo.learn(words)
+        assert words <= memo.young.keys()
+    assert "▁a" in memo.old and "▁b" not in memo.old and "▁b" not in memo.young
+
+
 def test_mixing_on_odd_rows(odd):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in rows)
