@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from palaver.llm.common import map_texts
 
 #: Words of one generation of what a worker remembers; there are two, and a word that is met again moves to the younger one.
-GENERATION = 150_000
+GENERATION = 300_000
 #: Words up to this length are merged side by side by the least of each word's pairs, longer ones by a heap.
 SHORT = 32
 _LETTER, _NONE = 1 << 24, 1 << 30
+#: Words merged side by side, and words that the library checks as one text.
+_TOGETHER, _LINE = 4096, 100
 _SPACE = "▁"
 _RUNS = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 
@@ -86,8 +88,9 @@ class PieceModel:
         out: list[list[int]] = [[]] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         for most in (8, 12, 18, SHORT):
-            rows = np.flatnonzero((size <= most) & (size > {8: 0, 12: 8, 18: 12, SHORT: 18}[most]))
-            if len(rows):
+            every = np.flatnonzero((size <= most) & (size > {8: 0, 12: 8, 18: 12, SHORT: 18}[most]))
+            for start in range(0, len(every), _TOGETHER):
+                rows = every[start:start + _TOGETHER]
                 padded = "".join([words[i].ljust(most, "\0") for i in rows.tolist()])
                 ids = self.letter[np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(rows), most)
                 ids[np.arange(most) >= size[rows, None]] = -1
@@ -217,15 +220,16 @@ class PieceMemo:
         """Positions of the words that the library encodes or decodes in another way.
 
         A word starts with the blanks before it, so words side by side are a text that is cut at the same places. Only words of
-        nothing but blanks would join the next one; they are looked at alone, as is every word if the text differs, behind one letter.
+        nothing but blanks would join the next one; they are looked at alone, as is every word of a line that differs, behind one letter.
         """
         library = self.model.library
         at = [i for i, w in enumerate(words) if w[-1] != _SPACE]
-        ids = library.encode("".join([words[i] for i in at]).replace(_SPACE, " ")[1:]) if at else []
-        if ids == [x for i in at for x in spelt[i]] and library.decode(ids) == "".join([shown[i] for i in at])[1:]:
-            at = [i for i, w in enumerate(words) if w[-1] == _SPACE]
-        else:
-            at = list(range(len(words)))
+        lines = [at[k:k + _LINE] for k in range(0, len(at), _LINE)]
+        ids = library.encode(["".join([words[i] for i in line]).replace(_SPACE, " ")[1:] for line in lines], num_threads=1)
+        at = [i for i, w in enumerate(words) if w[-1] == _SPACE]
+        for line, x, text in zip(lines, ids, library.decode(ids, num_threads=1) if ids else []):
+            if x != [y for i in line for y in spelt[i]] or text != "".join([shown[i] for i in line])[1:]:
+                at += line
         return [i for i in at if self._by_library(words[i]) != (spelt[i], shown[i])]
 
     def _by_library(self, word: str) -> tuple[list[int], str]:
