@@ -74,6 +74,21 @@ def _(t):
     return segments.segment_history(sized, cap=1500)
 
 
+# Conversations strung together to histories beyond the default limit; every text counts a hundred times.
+_LONG = f"""SELECT concat('long-', CAST(conv_id % 3 AS STRING)) AS session_id, CAST(conv_id * 1000 + pos AS BIGINT) AS pos, type,
+  CAST(length(text) * 100 + 32 AS BIGINT) AS bytes, CAST((length(text) * 37) % 16384 AS BIGINT) AS tail_bytes FROM ({EVENTS}) v"""
+
+
+@query("w06_segment_long", f"""
+WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS k FROM ({_LONG})),
+f AS (SELECT session_id, k, pos, bytes AS active, type = 'assistant' AND bytes > 196608 AS cut, CASE WHEN type = 'assistant' AND bytes > 196608 THEN tail_bytes ELSE bytes END AS total FROM b WHERE k = 1
+ UNION ALL SELECT b.session_id, b.k, b.pos, f.total + b.bytes, b.type = 'assistant' AND f.total + b.bytes > 196608,
+   CASE WHEN b.type = 'assistant' AND f.total + b.bytes > 196608 THEN b.tail_bytes ELSE f.total + b.bytes END FROM f JOIN b ON b.session_id = f.session_id AND b.k = f.k + 1)
+SELECT session_id, pos, CAST(active AS BIGINT) AS active_bytes FROM f WHERE cut""")
+def _(t):
+    return segments.segment_history(t.sql(_LONG))
+
+
 _TAIL_LIMIT = 400
 
 

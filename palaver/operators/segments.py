@@ -7,7 +7,7 @@ texts so far, at most ``recent`` bytes and cut between characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import split_offset, utf8_tail
@@ -179,47 +179,80 @@ def running_max_end(stream: DataFrame, boundaries: DataFrame) -> DataFrame:
         "session_id", "pos", F.col("_end").alias("end"))
 
 
-def segment_history(messages: DataFrame, cap: int = CONTEXT_BYTES, chunk: int = 65_536) -> DataFrame:
+def segment_history(messages: DataFrame, cap: int = CONTEXT_BYTES, width: int = 65_536) -> DataFrame:
     """(session_id, pos, active_bytes): the messages after which a boundary is inserted.
 
-    ``messages``: session_id, pos, type, bytes, tail_bytes. A session below the limit needs no
-    fold. The others are folded over four numbers per message, ``chunk`` messages at a time with
-    the total carried over, so no task holds a whole long session.
+    ``messages``: session_id, pos, type, bytes, tail_bytes; positions are distinct, sizes not negative, a missing
+    size counts as 0. A session below the limit has no boundary. In the others every possible boundary gets a link to the one
+    that would follow it, as the restarted total says, and the chain from the start is marked by doubling the links. So
+    the number of jobs grows with the logarithm of the boundaries of a session, not with its messages.
     """
-    totals = messages.groupBy("session_id").agg(F.sum("bytes").alias("_t"), F.max("pos").alias("_last"))
-    long = totals.filter(F.col("_t") > cap).select("session_id", "_last")
-    rows = messages.select(
-        "session_id", F.col("pos").cast("bigint").alias("pos"), F.col("bytes").cast("bigint").alias("bytes"),
-        F.col("tail_bytes").cast("bigint").alias("tail_bytes"), (F.col("type") == "assistant").alias("turn"))
-    rows = rows.join(long, "session_id").withColumn("_chunk", F.floor(F.col("pos") / chunk))
-    rows = durable(rows)
-    last = rows.agg(F.max("_last")).first()[0]
-    empty = F.array().cast("array<struct<pos:bigint,active_bytes:bigint>>")
-    spark = messages.sparkSession
-    result = spark.createDataFrame([], rows.select("session_id", "pos", F.col("bytes").alias("active_bytes")).schema)
-    if last is None:
-        return result
-    carried = None
-
-    def step(acc: Column, m: Column) -> Column:
-        total = acc["total"] + m["bytes"]
-        cut = m["turn"] & (total > cap)
-        return F.struct(
-            F.when(cut, m["tail_bytes"]).otherwise(total).alias("total"),
-            F.when(cut, F.concat(acc["out"], F.array(F.struct(
-                m["pos"].alias("pos"), total.alias("active_bytes"))))).otherwise(acc["out"]).alias("out"))
-    for number in range(int(last // chunk) + 1):
-        part = rows.filter(F.col("_chunk") == number).groupBy("session_id").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "bytes", "turn", "tail_bytes"))).alias("_m"))
-        before = F.lit(0).cast("bigint")
-        if carried is not None:
-            part = part.join(carried, "session_id", "left")
-            before = F.coalesce("_carry", F.lit(0)).cast("bigint")
-        folded = durable(part.select("session_id", F.aggregate(
-            "_m", F.struct(before.alias("total"), empty.alias("out")), step).alias("_f")))
-        result = result.unionByName(folded.select("session_id", F.explode("_f.out").alias("b")).select(
-            "session_id", "b.*"))
-        now = folded.select("session_id", F.col("_f.total").alias("_carry"))
-        carried = now if carried is None else durable(
-            now.unionByName(carried.join(now, "session_id", "left_anti")))
-    return result
+    totals = messages.groupBy("session_id").agg(F.sum("bytes").alias("_t"))
+    long = totals.filter(F.col("_t") > cap).select("session_id")
+    rows = messages.filter("pos IS NOT NULL").select(
+        "session_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce(F.col("bytes").cast("bigint"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.col("tail_bytes").cast("bigint"), F.lit(0)).alias("tail_bytes"), (F.col("type") == "assistant").alias("turn"))
+    placed = running_sum(rows.join(long, "session_id"), ["session_id"], "pos", "bytes", "sum")
+    turns = durable(placed.filter("turn").select("session_id", "pos", "sum", (F.col("sum") - F.col("tail_bytes")).alias("base")))
+    # The start is a boundary before all messages, with nothing kept.
+    first = F.lit(None).cast("bigint")
+    starts = turns.select("session_id").distinct().select("session_id", first.alias("pos"), F.lit(0).cast("bigint").alias("sum"),
+                                                          F.lit(0).cast("bigint").alias("base"))
+    links = durable(next_cuts(turns, turns.unionByName(starts), cap, width))
+    marked = _chain(links)
+    return marked.select("session_id", F.col("next").alias("pos"), F.col("active_bytes"))
+
+
+def next_cuts(turns: DataFrame, asking: DataFrame, cap: int, width: int) -> DataFrame:
+    """(session_id, pos, next, active_bytes): the boundary after every one in ``asking``, where there is one.
+
+    ``turns``: session_id, pos, sum (bytes up to here), base (sum less the kept text). A boundary at ``pos`` is followed by the first
+    later turn whose sum exceeds base + cap. Sums rise with the position, so turns and questions are merged
+    in buckets of ``width`` bytes; a question that finds nothing in its own bucket takes the first turn of the buckets behind.
+    """
+    most = F.lit((1 << 63) - 1)
+    wall = F.col("base") + cap
+    open_ = F.coalesce(wall >= F.col("sum"), F.lit(True))
+    asked = asking.select(
+        "session_id", F.lit(True).alias("asks"), F.col("pos").alias("from"), "base",
+        F.when(open_, wall).otherwise(F.col("sum")).alias("value"), F.when(open_, most).otherwise(F.col("pos")).alias("at"))
+    stops = turns.select("session_id", F.lit(False).alias("asks"), F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("base"),
+                         F.col("sum").alias("value"), F.col("pos").alias("at"))
+    both = asked.unionByName(stops).withColumn("bucket", F.floor(F.col("value") / width))
+    stop = F.when(~F.col("asks"), F.struct("at", "value"))
+    # Backwards, a stop meant for others comes after the questions that equal it.
+    back = Window.partitionBy("session_id", "bucket").orderBy(F.desc("value"), F.desc("at"), F.desc("asks"))
+    near = F.last(stop, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("near", near).filter("asks")
+    # The least turn behind a bucket: inside chunks of buckets, then from the chunks behind.
+    buckets = both.groupBy("session_id", "bucket").agg(F.min(stop).alias("least")).withColumn("part", F.floor(F.col("bucket") / 65_536))
+    behind = Window.partitionBy("session_id", "part").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = buckets.groupBy("session_id", "part").agg(F.min("least").alias("all"))
+    beyond = Window.partitionBy("session_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("session_id", "part", F.min("all").over(beyond).alias("beyond"))
+    later = (buckets.withColumn("behind", F.min("least").over(behind)).join(parts, ["session_id", "part"])
+             .select("session_id", "bucket", F.coalesce("behind", "beyond").alias("later")))
+    met = F.coalesce("near", "later")
+    return (found.join(later, ["session_id", "bucket"]).withColumn("met", met).filter("met IS NOT NULL").select(
+        "session_id", F.col("from").alias("pos"), F.col("met.at").alias("next"), (F.col("met.value") - F.col("base")).alias("active_bytes")))
+
+
+def _chain(links: DataFrame) -> DataFrame:
+    """The links on the way from the start (pos NULL) of every session.
+
+    Links lead forward. Round k knows the first 2^k links of each way, and for every place that some link leads to, the place 2^k links on.
+    """
+    marked = links.filter("pos IS NULL")
+    targets = links.select("session_id", F.col("next").alias("pos")).distinct()
+    jump = durable(links.join(targets, ["session_id", "pos"], "left_semi").select("session_id", "pos", "next"))
+    known = links.filter("pos IS NOT NULL")
+    # Places reached: those after the first link, then 2^k more a round.
+    reached = durable(marked.select("session_id", F.col("next").alias("pos")))
+    while True:
+        more = durable(reached.join(jump, ["session_id", "pos"]).select("session_id", F.col("next").alias("pos")))
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        hop = jump.select("session_id", F.col("pos").alias("next"), F.col("next").alias("far"))
+        jump = durable(jump.join(hop, ["session_id", "next"]).select("session_id", "pos", F.col("far").alias("next")))
+    return marked.unionByName(known.join(reached, ["session_id", "pos"], "left_semi"))

@@ -64,20 +64,40 @@ def test_top_per_key_with_salts(spark):
         assert [got[(key, i + 1)] for i in range(len(want))] == [r[1] for r in want]
 
 
-def test_segment_history_over_several_chunks(spark):
+def _fold(rows, cap):
+    """The rule as it stands: one message after the other."""
+    total, out = {}, []
+    for key, pos, kind, size, tail in sorted(rows, key=lambda r: (r[0], r[1])):
+        total[key] = total.get(key, 0) + size
+        if kind == "assistant" and total[key] > cap:
+            out.append((key, pos, total[key]))
+            total[key] = tail
+    return sorted(out)
+
+
+def test_segment_history_equals_the_fold(spark):
     rng = random.Random(5)
-    rows = [("s", i, rng.choice(["user", "assistant"]), rng.randrange(1, 90), rng.randrange(1, 40)) for i in range(300)]
-    rows += [("small", 0, "assistant", 5, 5)]
+    kinds = ["user", "assistant"]
+    rows = [("s", i, rng.choice(kinds), rng.randrange(1, 90), rng.randrange(1, 40)) for i in range(300)]
+    rows += [("small", 0, "assistant", 5, 5), ("exact", 0, "assistant", 200, 0), ("exact", 1, "assistant", 1, 1), ("one", 7, "assistant", 900, 3)]
+    rows += [("zeros", i, rng.choice(kinds), rng.choice([0, 0, 0, 150]), rng.choice([0, 250, 199])) for i in range(120)]  # kept text over the limit too
+    rows += [("gaps", i * 100_000, rng.choice(kinds), rng.randrange(0, 400), rng.randrange(0, 200)) for i in range(60)]
+    rows += [("users", i, "user", 100, 1) for i in range(20)] + [("steps", i, "assistant", 201, 0) for i in range(40)]
     df = spark.createDataFrame(rows, "session_id string, pos bigint, type string, bytes bigint, tail_bytes bigint")
-    total, want = 0, []
-    for _, pos, kind, size, tail in rows[:300]:
-        total += size
-        if kind == "assistant" and total > 200:
-            want.append((pos, total))
-            total = tail
-    for chunk in (65536, 17):
-        got = sorted((r.pos, r.active_bytes) for r in segments.segment_history(df, cap=200, chunk=chunk).collect())
-        assert got == want
+    want = _fold(rows, 200)
+    assert len({r[0] for r in want}) == 6
+    for width in (65536, 37):
+        assert sorted(tuple(r) for r in segments.segment_history(df, cap=200, width=width).collect()) == want
+    assert segments.segment_history(df.limit(0)).collect() == [] and segments.segment_history(df, cap=10 ** 9).collect() == []
+
+
+def test_segment_history_at_the_default_cap(spark):
+    rng = random.Random(11)
+    rows = [(f"s{k}", i, rng.choice(["user", "assistant", "assistant"]), rng.randrange(0, 60_000), rng.randrange(0, 16_384)) for k in range(3) for i in range(500)]
+    rows = [(k, p, t, b, None if p % 50 == 0 else tail) for k, p, t, b, tail in rows] + [(None, 0, "assistant", 500_000, 1), ("s0", None, "assistant", 500_000, 1)]
+    df = spark.createDataFrame(rows, "session_id string, pos bigint, type string, bytes bigint, tail_bytes bigint")
+    want = _fold([(k, p, t, b, tail or 0) for k, p, t, b, tail in rows if k and p is not None], segments.CONTEXT_BYTES)
+    assert sorted(tuple(r) for r in segments.segment_history(df).collect()) == want and len(want) > 150
 
 
 def _tail(text, limit):
