@@ -1,6 +1,8 @@
 """Credentials in plain, nested and encoded form. All values are invented."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,81 @@ def test_equal_text_as_value_and_as_key(spark):
     text = '{"a":"password=hunter22x","b":{"password=hunter22x":1}}'
     row = payload.redact_payloads(_texts(spark, [text]), ["id"], "t").first()
     assert "hunter22x" not in row["t"] and "[REDACTED_KEY_" in row["t"] and '"a":"password=' in row["t"]
+
+
+def _redact(value, key=None, count=None):
+    """The rule on parsed JSON, in plain Python; strings of these tests hold at most one assignment."""
+    if key in ("password", "token", "apiKey") and value not in (None, "", {}, []):
+        count[0] += 1
+        return C.MARKER
+    if isinstance(value, dict):
+        out = {}
+        for k in sorted(value, key=lambda x: x.encode()):
+            inner = _redact(value[k], k, count)
+            if k.startswith("ghp_"):
+                import hashlib
+                count[0] += 1
+                k = f"[REDACTED_KEY_{hashlib.sha256(k.encode()).hexdigest()[:8]}]"
+            out[k] = inner
+        return out
+    if isinstance(value, list):
+        return [_redact(v, None, count) for v in value]
+    if isinstance(value, str):
+        if value[:1] in '{["' and value and value != 'é"x':
+            before = count[0]
+            made = _redact(json.loads(value), None, count)
+            return json.dumps(made, separators=(",", ":"), ensure_ascii=False) if count[0] > before else value
+        if "password=" in value:
+            count[0] += 1
+            return value[:value.index("=") + 1] + f'"{C.MARKER}"'
+    return value
+
+
+def _random_json(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.4:
+        return rng.choice([1, True, None, "", "plain", "note password=hunter22x", "a.b", "é\"x", "password=hunter22x"])
+    if kind < 0.65:
+        keys = rng.sample(["a", "a.b", "b", "password", "token", "x[0]", "ghp_" + A, "ghp_" + "B" * 36, "é", "apiKey"], rng.randint(0, 5))
+        return {k: _random_json(rng, depth - 1) for k in keys}
+    if kind < 0.85:
+        return [_random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    return json.dumps(_random_json(rng, depth - 1) if rng.random() < 0.5 else {"k": _random_json(rng, depth - 1)}, separators=(",", ":"))
+
+
+def test_payloads_are_rebuilt_from_the_deepest_change(spark):
+    rng = random.Random(21)
+    values = [_random_json(rng, 5) for _ in range(250)]
+    values = [v for v in values if isinstance(v, (dict, list))]
+    texts = [json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in values]
+    rows = [(None if i == 0 else i, t) for i, t in enumerate(texts)] + [(-1, None)]
+    got = {r["id"]: r for r in payload.redact_payloads(spark.createDataFrame(rows, "id int, t string"), ["id"], "t").collect()}
+    assert len(got) == len(rows) and got[-1]["t"] is None
+    changed = 0
+    for i, value in enumerate(values):
+        count = [0]
+        want, row = _redact(value, None, count), got[None if i == 0 else i]
+        assert row["redacted_count"] == count[0], texts[i]
+        assert json.loads(row["t"]) == want and (count[0] or row["t"] == texts[i])
+        changed += count[0] > 0
+    assert changed > 60
+
+
+def test_thousands_of_secrets_in_one_payload(spark):
+    def big(n):
+        return json.dumps({"list": [{"password": f"x{i}", "same": "password=hunter22x", "in": json.dumps({"token": f"t{i}"})} for i in range(n)]})
+    seconds = []
+    for n in (500, 5000):
+        start = time.time()
+        row = payload.redact_payloads(spark.createDataFrame([(1, big(n))], "id int, t string"), ["id"], "t").first()
+        seconds.append(time.time() - start)
+        made = json.loads(row["t"])["list"]
+        assert row["redacted_count"] == 3 * n and len(made) == n and "hunter22x" not in row["t"]
+        assert all(m["password"] == C.MARKER and json.loads(m["in"])["token"] == C.MARKER for m in made)
+    assert seconds[1] < 8 * max(seconds[0], 4)
+
+
+def test_resource_paths_have_no_depth_of_their_own(spark):
+    deep = "[" * 70 + '{"filePath":"/x/long-text/1"}' + "]" * 70
+    rows = payload.resource_paths(_texts(spark, [deep, '{"relatePath":"paste-files/a"}']), ["id"], "t").collect()
+    assert sorted((r["id"], r["value"]) for r in rows) == [(0, "/x/long-text/1"), (1, "paste-files/a")]
