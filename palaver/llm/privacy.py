@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,15 +188,33 @@ class PrivacyModel:
         """(base spans, all spans): every base span, then the likeliest candidates over the threshold that overlap none
         chosen, phones last, because one may run into the digits after it; of equally likely phones the longest."""
         base = base_spans(text)
-        rest = [c for c in candidates(text) if c not in set(base)]
+        known = set(base)
+        rest = [c for c in candidates(text) if c not in known]
         if not rest:
             return base, base
         chance = self.trees.probability(np.array([describe(text, c) for c in rest]))
-        chosen = list(base)
-        for p, span in sorted(zip((-chance).tolist(), rest), key=lambda x: (x[1][1] == 3, x[0], x[1][0], -x[1][2])):
-            if -p >= self.thresholds[span[1]] and all(span[2] <= a or b <= span[0] for a, _, b in chosen):
-                chosen.append(span)
-        return base, sorted(chosen)
+        likely = [(-p, span) for p, span in zip(chance.tolist(), rest) if p >= self.thresholds[span[1]]]
+        likely.sort(key=lambda x: (x[1][1] == 3, x[0], x[1][0], -x[1][2]))
+        return base, sorted(base + without_overlaps(base, [span for _, span in likely]))
+
+
+def without_overlaps(taken: list[Span], ordered: list[Span]) -> list[Span]:
+    """The spans that overlap neither ``taken`` nor an earlier one of their own; each looks at its two neighbours only."""
+    starts, ends, out = [], [], []  # what is covered, as rising ranges that do not overlap
+    for a, _, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for span in ordered:
+        a, _, b = span
+        at = bisect_right(starts, a)
+        if (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append(span)
+    return out
 
 
 def _accepts(kind: int, own: str) -> bool:
@@ -225,7 +245,7 @@ def fit_privacy(documents: DataFrame, bound: int = 4000, max_chars: int = 65536,
         return PrivacyModel(Boosted(-5.0), (0.9,) * len(KINDS))
     x = np.concatenate([np.reshape(r["x"], (-1, FEATURES)) for r in rows])
     y = np.concatenate([r["y"] for r in rows])
-    later = np.concatenate([np.full(len(r["y"]), r["doc_id"] % 4 == 0) for r in rows])
+    later = np.concatenate([np.full(len(r["y"]), zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0) for r in rows])
     trees = Boosted.fit(x[~later], y[~later]) if (~later).any() else Boosted(-5.0)
     chance, limits = trees.probability(x[later]), []
     for kind in range(len(KINDS)):

@@ -172,6 +172,38 @@ def test_privacy_proposes_phones_of_every_shape(spark):
         assert (5, 3, 5 + len(phone)) in model.spans(text)[1], text
 
 
+def test_spans_are_chosen_as_by_comparing_all():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a, rng.randrange(4), a + rng.randint(1, 12)) for a in (rng.randrange(120) for _ in range(rng.randint(0, 25)))]
+        taken, ordered = spans[:rng.randint(0, 5)], spans[5:]
+        chosen = []
+        for s in ordered:
+            if all(s[2] <= a or b <= s[0] for a, _, b in taken + chosen):
+                chosen.append(s)
+        assert privacy.without_overlaps(taken, ordered) == chosen
+
+
+def test_a_long_text_of_candidates_takes_seconds():
+    import time
+    text = "call +49 30 1234567, 192.168.0.7 and 4539 5787 6362 1486 or a.b@example.org (at) 030-123-4567 " * 8000
+    model = privacy.PrivacyModel(privacy.Boosted(3.0), (0.5,) * 4)
+    parts = []
+    for size in (len(text) // 4, len(text)):
+        start = time.time()
+        base, every = model.spans(text[:size])
+        parts.append(time.time() - start)
+        assert len(every) >= len(base) > 0
+    assert parts[1] < 8 * max(parts[0], 0.5)
+
+
+def test_privacy_learns_from_any_ids(spark):
+    texts = ["mail ann@example.org or call +49 (030) 123-4567 now", "ip 10.0.0.1 and +14155552671 2024-01-05", "nothing but 12 and 7"]
+    for ids in ([4 * i for i in range(60)], [f"id-{i}" for i in range(60)]):
+        df = spark.createDataFrame([(i, texts[k % 3]) for k, i in enumerate(ids)], "doc_id string, text string" if isinstance(ids[0], str) else "doc_id bigint, text string")
+        assert privacy.fit_privacy(df).trees.trees
+
+
 def test_rules_on_odd_rows(odd):
     rows = {r["doc_id"]: r for r in rules.judge(odd).where("doc_id is not null").collect()}
     assert rows[2]["n_words"] == 0 and rows[2]["base_failed"] and not rows[2]["kept"]
