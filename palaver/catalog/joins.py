@@ -129,10 +129,11 @@ _DUCK_DIAGNOSTICS = DIAGNOSTICS.replace("sha2(concat(session_id, event_id), 256)
 
 
 @query("j09_diagnostics_by_session", f"""
-WITH d AS ({_DUCK_DIAGNOSTICS}), s AS (SELECT session_id, concat('p', CAST(conv_id % 10 AS STRING)) AS project_id FROM ({SESSIONS})),
+WITH d AS ({_DUCK_DIAGNOSTICS}), s AS (SELECT session_id, conv_id, concat('p', CAST(conv_id % 10 AS STRING)) AS project_id FROM ({SESSIONS})),
 m AS (SELECT DISTINCT s.session_id, d.id, d.severity FROM d JOIN s ON (d.subject_type = 'session' AND d.subject_id = s.session_id)
   OR (d.subject_type = 'project' AND d.subject_id = s.project_id) OR (d.subject_type = 'resource' AND d.ref_session = s.session_id)
-  OR (d.subject_type = 'event' AND split_part(d.subject_id, '/', 1) = s.session_id)),
+  OR (d.subject_type = 'event' AND split_part(d.subject_id, '/', 1) = s.session_id)
+  OR (d.subject_type = 'resource' AND (d.subject_id = concat('none', s.session_id) OR d.subject_id = concat('nonesession-', CAST(s.conv_id + 1 AS VARCHAR))))),
 b AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS e FROM d WHERE subject_type = 'bundle')
 SELECT s.session_id, count(m.id) + any_value(b.n) AS n_issues, count(m.id) FILTER (WHERE m.severity = 'error') + any_value(b.e) AS n_errors
 FROM s LEFT JOIN m USING (session_id), b GROUP BY 1""")
@@ -141,13 +142,14 @@ def _(t):
                                                 .otherwise(F.array().cast("array<string>")))
     sessions = t.sql(SESSIONS).select("session_id", F.concat(F.lit("p"), (F.col("conv_id") % 10).cast("string")).alias("project_id"))
     events = t.sql(EVENTS).select("session_id", F.concat("session_id", F.lit("/"), "event_id").alias("event_id"))
-    resources = events.select("session_id", F.col("event_id").alias("resource_id")).limit(0)
-    pairs, general = refs.diagnostics_by_session(diagnostics, sessions, events, resources)
+    # A session holds a resource of its own and one that the next session holds too.
+    resources = t.sql(SESSIONS).select("session_id", F.explode(F.array(
+        F.concat(F.lit("none"), "session_id"), F.concat(F.lit("nonesession-"), (F.col("conv_id") + 1).cast("string")))).alias("resource_id"))
+    own, general = refs.diagnostics_by_session(diagnostics, sessions, events, resources)
     # Bundle-level rows concern everyone: one pair of numbers is added, not a row per session.
     extra = general.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "error").alias("e")).first()
-    own = pairs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "error").alias("e"))
     return sessions.select("session_id").join(own, "session_id", "left").select(
-        "session_id", (F.coalesce("n", F.lit(0)) + extra["n"]).alias("n_issues"), (F.coalesce("e", F.lit(0)) + extra["e"]).alias("n_errors"))
+        "session_id", (F.coalesce("n_issues", F.lit(0)) + extra["n"]).alias("n_issues"), (F.coalesce("n_errors", F.lit(0)) + extra["e"]).alias("n_errors"))
 
 
 RUN_ROWS = """SELECT concat('ses_', CAST(o_orderkey AS STRING)) AS target_id, concat('s', CAST(o_custkey AS STRING)) AS source_id,

@@ -208,14 +208,13 @@ def _concerning(tables: dict[str, DataFrame]) -> tuple[DataFrame, dict]:
     """
     diagnostics = tables["diagnostics"]
     sessions = tables["sessions"]
-    pairs, general = diagnostics_by_session(diagnostics, sessions, tables["events"], tables["resources"])
-    known = pairs.join(sessions.select("session_id", "recovery"), "session_id")
-    projectable = ((F.col("recovery") == "partial") & (F.col("subject_type") == "session")
-                   & (F.col("subject_id") == F.col("session_id")) & F.col("code").isin(*PROJECTABLE))
-    blocking = ((F.col("severity") == "error") | (F.col("code") == "TOOL_ERROR_UNVERIFIED")) & ~projectable
-    per_session = known.groupBy("session_id").agg(
-        F.bool_or(blocking).alias("_blocked"), F.collect_set("code").alias("_codes"),
-        F.collect_set(F.when(projectable, F.col("code"))).alias("_projected"))
+    blocking = (F.col("severity") == "error") | (F.col("code") == "TOOL_ERROR_UNVERIFIED")
+    known, general = diagnostics_by_session(diagnostics, sessions, tables["events"], tables["resources"], blocking, F.col("code").isin(*PROJECTABLE))
+    known = known.join(sessions.select("session_id", "recovery"), "session_id")
+    excused = F.col("recovery") == "partial"
+    per_session = known.select(
+        "session_id", (F.col("blocked") | (F.col("own_blocked") & F.coalesce(~excused, F.lit(True)))).alias("_blocked"), F.col("codes").alias("_codes"),
+        F.when(excused, F.col("own_codes")).otherwise(F.array().cast("array<string>")).alias("_projected"))
     row = general.agg(F.collect_set("code").alias("codes"), F.coalesce(F.bool_or(
         (F.col("severity") == "error") | (F.col("code") == "TOOL_ERROR_UNVERIFIED")), F.lit(False)).alias("blocked")).first()
     return per_session, {"codes": sorted(row["codes"]), "blocked": bool(row["blocked"])}

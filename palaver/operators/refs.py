@@ -82,28 +82,49 @@ def associate_resources(resources: DataFrame, refs: DataFrame, sessions: DataFra
     return linked, unassociated
 
 
-def diagnostics_by_session(diagnostics: DataFrame, sessions: DataFrame, events: DataFrame,
-                           resources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, bundle_level): which diagnostic concerns which session.
-
-    ``diagnostics``: id, code, severity, subject_type, subject_id, ref_sessions array<string>.
-    Bundle-level rows concern every session; they stay one table instead of being repeated for
-    each session. All other pairs come from equi-joins.
+def diagnostics_by_session(diagnostics: DataFrame, sessions: DataFrame, events: DataFrame, resources: DataFrame,
+                           blocking: Column | None = None, excused: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sessions, bundle_level): what is known against each session, one row a session.
+
+    ``diagnostics``: id, code, severity, subject_type, subject_id, ref_sessions array<string>. A session is concerned by issues about
+    itself, its project, its events and its resources, and by those that refer to it; an issue counts once. Issues are
+    summed up per subject before any join, so a session meets one row for each of its subjects, however many issues that has and
+    however many sessions share it. Columns: session_id, n_issues, n_errors, codes (a fixed list gives them), blocked (any
+    ``blocking`` issue), and of the ``excused`` ones about the session itself: own_codes and own_blocked, which are not in blocked.
+    Bundle-level rows concern every session; they stay one table. NULL subjects and sessions meet nobody.
     """
-    bundle_level = diagnostics.filter(F.col("subject_type").isNull() | (F.col("subject_type") == "bundle"))
-    own = diagnostics.filter(F.col("subject_type").isNotNull() & (F.col("subject_type") != "bundle"))
+    blocking = F.coalesce(F.col("severity") == "error" if blocking is None else blocking, F.lit(False))
+    excused = F.coalesce(F.lit(False) if excused is None else excused, F.lit(False))
+    general = F.col("subject_type").isNull() | (F.col("subject_type") == "bundle")
     fields = ["id", "code", "severity", "subject_type", "subject_id"]
-    by_ref = own.select(*fields, F.explode("ref_sessions").alias("session_id")).join(
-        sessions.select("session_id"), "session_id", "left_semi")
+    own = diagnostics.filter(~general).withColumns({"_blocks": blocking, "_excused": excused & (F.col("subject_type") == "session")})
+    own = own.dropDuplicates(["id"])
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        out = F.col("_excused")
+        return rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_issues"), F.count_if(F.col("severity") == "error").alias("n_errors"), F.collect_set("code").alias("codes"),
+            F.bool_or(F.col("_blocks") & ~out).alias("blocked"), F.collect_set(F.when(out, F.col("code"))).alias("own_codes"),
+            F.bool_or(F.col("_blocks") & out).alias("own_blocked"))
 
-    def by_subject(kind: str, table: DataFrame, column: str) -> DataFrame:
-        keys = table.select("session_id", F.col(column).alias("subject_id")).distinct()
-        return own.filter(F.col("subject_type") == kind).select(*fields).join(keys, "subject_id")
-    pairs = by_ref
+    subjects = None
     for kind, table, column in (("session", sessions, "session_id"), ("project", sessions, "project_id"),
                                 ("event", events, "event_id"), ("resource", resources, "resource_id")):
-        pairs = pairs.unionByName(by_subject(kind, table, column))
-    return pairs.dropDuplicates(["session_id", "id"]), bundle_level.select(*fields)
+        part = table.filter(F.col("session_id").isNotNull() & F.col(column).isNotNull()).select(
+            "session_id", F.lit(kind).alias("subject_type"), F.col(column).alias("subject_id"))
+        subjects = part if subjects is None else subjects.unionByName(part)
+    subjects = subjects.distinct()
+    by_subject = subjects.join(summed(own, "subject_type", "subject_id"), ["subject_type", "subject_id"]).drop("subject_type", "subject_id")
+    # A reference adds an issue only where no subject of the session did; about another session nothing is excused.
+    named = own.withColumn("session_id", F.explode(F.array_distinct("ref_sessions"))).withColumn("_excused", F.lit(False))
+    named = named.join(subjects, ["session_id", "subject_type", "subject_id"], "left_anti").join(
+        sessions.select("session_id").distinct(), "session_id", "left_semi")
+    both = by_subject.unionByName(summed(named, "session_id"))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731 sets of codes from a fixed list
+    found = both.groupBy("session_id").agg(
+        F.sum("n_issues").alias("n_issues"), F.sum("n_errors").alias("n_errors"), union("codes").alias("codes"),
+        F.bool_or("blocked").alias("blocked"), union("own_codes").alias("own_codes"), F.bool_or("own_blocked").alias("own_blocked"))
+    return found, diagnostics.filter(general).select(*fields)
 
 
 def issues_to_events(issues: DataFrame, events: DataFrame, raw_refs: DataFrame) -> DataFrame:
