@@ -255,10 +255,17 @@ def mapping_tables(t):
                         F.lit("read").alias("name"), F.lit('{"path":"a"}').alias("input"), F.when(F.col("_n") % 3 > 0, F.lit('{"x":1}')).alias("output"),
                         F.when(F.col("_n") % 20 == 0, F.lit('"bad"')).alias("error"), state.alias("status"),
                         F.when(F.col("_n") % 29 > 0, F.col("created_at")).alias("created_at"), "completed_at", "refs")
-    resources = sessions.limit(0).select("session_id", F.col("title").alias("resource_id"), F.col("title").alias("availability"))
-    diagnostics = sessions.limit(0).select(
-        F.col("session_id").alias("id"), F.col("title").alias("code"), F.col("title").alias("severity"), F.col("title").alias("subject_type"),
-        F.col("title").alias("subject_id"), F.array("title").alias("ref_sessions"), F.col("title").alias("message_id"))
+    known = t.sql(SESSIONS).select("session_id", "conv_id", F.concat(F.lit("r"), F.floor(F.col("conv_id") / 40).cast("string")).alias("resource_id"))
+    resources = known.select("session_id", "resource_id", F.lit("available").alias("availability"))  # forty sessions share one
+    eighth = F.col("conv_id") % 8
+    code = F.when(eighth == 5, "EXPORT_DAMAGED").when(eighth == 6, "USER_TEXT_MISSING").when(eighth == 7, "EXPORT_LATE")
+    about = known.filter(eighth >= 5).select(
+        F.concat(F.lit("d"), "session_id").alias("id"), code.alias("code"), F.when(eighth == 7, "warning").otherwise("error").alias("severity"),
+        F.lit("session").alias("subject_type"), F.col("session_id").alias("subject_id"), F.array("session_id").alias("ref_sessions"), none("string").alias("message_id"))
+    shared = known.filter("resource_id = 'r2'").select("resource_id").distinct().select(
+        F.lit("shared").alias("id"), F.lit("RESOURCE_DAMAGED").alias("code"), F.lit("error").alias("severity"), F.lit("resource").alias("subject_type"),
+        F.col("resource_id").alias("subject_id"), F.array().cast("array<string>").alias("ref_sessions"), none("string").alias("message_id"))
+    diagnostics = about.unionByName(shared)
     return {"sessions": sessions, "events": events, "blocks": texts.unionByName(tools), "resources": resources, "diagnostics": diagnostics}
 
 
@@ -266,6 +273,7 @@ _MAPPED = f"""e AS ({EVENTS}), s AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'p
 b AS (SELECT e.session_id, e.event_id, s.recovery, length(text) AS n, ['completed', 'error', 'running', 'unknown'][length(text) % 4 + 1] AS status FROM e JOIN s USING (session_id) WHERE type = 'assistant'),
 bad AS (SELECT DISTINCT session_id FROM b WHERE (n % 29 = 0 AND recovery <> 'partial') OR (n % 29 > 0 AND status = 'completed' AND n % 20 = 0)
   UNION SELECT e.session_id FROM e WHERE type = 'assistant' AND (status <> 'completed' OR completed_at IS NULL)
+  UNION SELECT session_id FROM s WHERE conv_id % 8 = 5 OR (conv_id % 8 = 6 AND recovery <> 'partial') OR floor(conv_id / 40) = 2
   UNION SELECT session_id FROM s WHERE recovery = 'metadata-only' OR updated_at IS NULL OR NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = s.session_id))"""
 
 
