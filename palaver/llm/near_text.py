@@ -79,17 +79,24 @@ def _minima(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _set_keys(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """128 bits for the set of every text, as two numbers; zero for empty ones."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    keys = np.zeros((len(counts), 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(2):
+            np.add.at(keys[:, j], text, mix(values + np.uint64(j + 1)))
+    return keys
+
+
 def fingerprints(documents: DataFrame, how: MinHash) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the set), bands (64-bit keys) and signature (16 bits a minimum); empty ones null."""
     def make():
         def run(texts):
             values, counts = shingle_sets(texts, how.width)
             minima = _minima(values, counts, how.size)
-            text = np.repeat(np.arange(len(texts)), counts)
+            keys = _set_keys(values, counts)
             with np.errstate(over="ignore"):
-                keys = np.zeros((len(texts), 2), np.uint64)
-                for j in range(2):
-                    np.add.at(keys[:, j], text, mix(values + np.uint64(j + 1)))
                 bands = np.zeros((len(texts), how.bands), np.uint64)
                 for r in range(how.rows):
                     bands = mix(bands + minima[:, r::how.rows] + np.arange(how.bands, dtype=np.uint64))
@@ -104,17 +111,28 @@ def fingerprints(documents: DataFrame, how: MinHash) -> DataFrame:
 
 
 def shingle_rows(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents named by ``ids``; of rows with one id one is taken."""
+    """(id, set_key, shingles) of the documents named by ``ids``, a row each."""
     chosen = documents.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
 
     def make():
         def run(texts):
             values, counts = shingle_sets(texts, width)
             ends = np.cumsum(counts)
-            return {"shingles": [values[e - c:e].view(np.int64) for e, c in zip(ends, counts)]}
+            return {"set_key": [k.tobytes() for k in _set_keys(values, counts)],
+                    "shingles": [values[e - c:e].view(np.int64) for e, c in zip(ends, counts)]}
         return run
 
-    return map_texts(chosen, "shingles array<bigint>", make, keep=["id"])
+    return map_texts(chosen, "set_key binary, shingles array<bigint>", make, keep=["id"])
+
+
+def standing_sets(rows: DataFrame, stands: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, shingles): of ids that several rows have (``repeated``), each set that ``stands`` names, once; of the others the row.
+
+    So rows that repeat an id and a text are compared as one.
+    """
+    single = rows.join(repeated, "id", "left_anti").select("id", "shingles")
+    several = rows.join(repeated, "id", "left_semi").join(stands.select("id", "set_key"), ["id", "set_key"], "left_semi")
+    return single.unionByName(several.groupBy("id", "set_key").agg(F.first("shingles").alias("shingles")).select("id", "shingles"))
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, how: MinHash) -> DataFrame:
@@ -131,7 +149,7 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, how: MinHash) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
                     pa.array((one == two).sum(axis=1) >= least))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
@@ -225,16 +243,23 @@ def near_duplicates(documents: DataFrame, how: MinHash = MinHash()) -> DataFrame
     the least id of the band's bucket, by signature and then by full sets; then the members of a bucket that are still in
     different components, in blocks, by full sets. So every pair that shares a band is decided, and none is emitted
     beyond its bucket's representative. A text without words (or null) has no shingles and stays alone; rows with a
-    null id are linked with nothing, have no component and are kept; rows of one id and set share their verdict.
+    null id are linked with nothing, have no component and are kept. Rows of one id and set are compared once and share
+    their verdict; an id that is the least one of several sets is one document with all of them.
     """
     prints = durable(fingerprints(documents, how))
-    classes = durable(prints.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    stands = prints.select("doc_id", "set_key", "bands", "signature").join(classes, "set_key").where(F.col("doc_id") == F.col("rep"))
-    stands = durable(stands.select(F.col("rep").alias("id"), "bands", "signature"))
+    full = prints.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    classes = durable(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    repeated = durable(full.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("id"))
+    stands = prints.select(F.col("doc_id").alias("id"), "set_key", "bands", "signature").join(
+        classes, "set_key").where(F.col("id") == F.col("rep")).drop("rep")
+    several = stands.join(repeated, "id", "left_semi").groupBy("id", "set_key").agg(
+        F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    stands = durable(stands.join(repeated, "id", "left_anti").unionByName(several))
     banded = stands.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "low")
-    members = durable(banded.join(buckets, "bucket"))
-    sets = durable(shingle_rows(documents, members.select("id").distinct(), how.width))
+    members = durable(banded.join(buckets, "bucket").distinct())
+    rows = durable(shingle_rows(documents, members.select("id").distinct(), how.width))
+    sets = standing_sets(rows, stands, repeated)
     signatures = stands.select("id", "signature")
     pairs = members.where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     links = durable(_confirmed(_agreeing(pairs, signatures, how), sets, how))
