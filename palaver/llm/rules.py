@@ -10,9 +10,33 @@ from pyspark.sql import functions as F
 #: Fixed characters: white space, and what counts as a symbol.
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Frequent short words of English, French, German and Spanish.
-STOP_WORDS = ("a", "and", "for", "in", "is", "it", "of", "that", "the", "to", "with", "de", "des", "du", "et", "la", "le", "les",
-              "que", "un", "une", "das", "der", "die", "ein", "mit", "und", "von", "zu", "el", "en", "los", "por", "se", "y")
+#: Frequent short words of languages in Latin script, in lower case.
+STOP_WORDS_BY_LANGUAGE = {
+    "English": "a and for in is it of that the to with",
+    "French": "de des du et la le les que un une",
+    "German": "das der die ein mit und von zu",
+    "Spanish": "el en los por que se y",
+    "Italian": "che di il non per sono",
+    "Portuguese": "com do da em não os para uma",
+    "Dutch": "dat een het niet van voor",
+    "Swedish, Danish and Norwegian": "att av det en er ett och og på som till til är",
+    "Finnish": "ei ja joka on oli se",
+    "Polish": "i jest na nie się w z że",
+    "Czech and Slovak": "a je na se že ve si som",
+    "Croatian, Serbian and Slovene": "i je na se u za da so",
+    "Romanian": "cu este în pe și nu să",
+    "Hungarian": "a az egy és hogy nem",
+    "Turkish": "bir bu da de için ile ve",
+    "Indonesian and Malay": "dan dengan di ini itu yang",
+    "Vietnamese": "các có của cho không là một và",
+    "Swahili": "kwa na ni wa ya za",
+    "Catalan": "amb els és i per una",
+}
+STOP_WORDS = tuple(sorted({w for words in STOP_WORDS_BY_LANGUAGE.values() for w in words.split()}))
+#: Fixed characters that may stand at either end of a word.
+PUNCTUATION = ".,;:!?\"()[]{}<>*_-–—…«»“”„‘’¿¡"
+#: A text in Latin script has fewer UTF-8 bytes than this for each 100 characters; in others most letters have two or three.
+LATIN_BYTES = 150
 
 
 @dataclass(frozen=True)
@@ -33,7 +57,7 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", most=1800),
     Rule("symbols", "n_symbols", "n_words", most=30),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=50),
-    Rule("stop_words", "n_stop_words", "n_words", least=2),
+    Rule("stop_words", "n_stop_words", "n_latin_words", least=2),
 )
 
 
@@ -56,9 +80,10 @@ def _covered(positions: Column, width: int) -> Column:
 
 
 def measure(documents: DataFrame, width: int = 8) -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and n_repeat_words.
+    """The documents with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_latin_words and n_repeat_words.
 
-    A null text has no words and no lines. Windows are compared by 64-bit hashes inside a text; the sort by hash
+    Stop words are compared in lower case and without punctuation at their ends. n_latin_words is n_words if the text is in
+    Latin script, else 0: the list says nothing about other scripts, so the stop-word rule leaves their texts alone. A null text has no words and no lines. Windows are compared by 64-bit hashes inside a text; the sort by hash
     runs only for texts where a window occurs twice. Columns of these names give way.
     """
     own = ("_t", "_w", "_lines", "_h", "_grams", "_again", "_at")
@@ -73,7 +98,8 @@ def measure(documents: DataFrame, width: int = 8) -> DataFrame:
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(*STOP_WORDS))).cast("long"),
+        "n_stop_words": F.size(F.filter("_w", lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)).isin(*STOP_WORDS))).cast("long"),
+        "n_latin_words": F.when(F.octet_length(text) * 100 < F.length(text) * LATIN_BYTES, F.size("_w")).otherwise(0).cast("long"),
         "_h": F.transform("_w", lambda w: F.xxhash64(w)),
     })
     last = F.size("_h") - width + 1
@@ -118,7 +144,8 @@ r AS (SELECT row_id, CAST(sum(part) AS BIGINT) AS n_repeat_words FROM c GROUP BY
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{white}', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-  len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop_words, coalesce(n_repeat_words, 0) AS n_repeat_words
+  len(list_filter(words, lambda x: trim(lower(x), '{PUNCTUATION}') IN ({stop}))) AS n_stop_words,
+  CASE WHEN strlen(text) * 100 < length(text) * {LATIN_BYTES} THEN len(words) ELSE 0 END AS n_latin_words, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN r USING (row_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {' OR '.join(map(fails, BASE_RULES))} AS base_failed,
   NOT ({' OR '.join(map(fails, (*BASE_RULES, *RULES)))}) AS kept FROM m"""

@@ -211,6 +211,30 @@ def test_rules_on_odd_rows(odd):
     assert rows[6]["n_words"] == 0 and rules.judge(_empty(odd)).count() == 0
 
 
+def test_stop_words_in_capitals_and_other_languages(spark):
+    texts = ["THE RIVER, THE HILL AND THE TOWN ARE OLD; IT IS SAID THAT A KING LIVED IN THE TOWN FOR YEARS.",
+             "Il fiume non è lungo, ma per i mercanti che vivono di commercio sono molte le barche pronte ogni mattina presto.",
+             "Старый город стоит у реки, где каждое утро торговцы ждут своих лодок, полных рыбы, хлеба, соли, тканей, масла, вина.",
+             "blorp " + " ".join(f"qx{i}zt" for i in range(30))]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i]["kept"] for i in range(4)] == [not got[i]["base_failed"] for i in range(3)] + [False]
+    assert got[3]["failed_rules"] == ["stop_words"] and got[2]["n_latin_words"] == 0 and got[0]["n_stop_words"] >= 9
+
+
+def test_repeated_rows_are_compared_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:58] + ["x", "y"])
+    rows = [(7, " ".join(base))] * 40 + [(3, near)] * 30 + [(3, "other words " * 1 + " ".join(f"v{i}" for i in range(40)))] * 2 + [(9, near)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    how = near_text.MinHash()
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_text.near_duplicates(docs, how).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False)} and near_text.near_duplicates(docs, how).count() == len(rows)
+    ids = spark.createDataFrame([(7,), (3,)], "id bigint")
+    sets = near_text.shingle_rows(docs, ids, how.width)
+    stands = near_text.fingerprints(docs, how).selectExpr("doc_id as id", "set_key")
+    assert sorted(r["id"] for r in near_text.standing_sets(sets, stands, ids).collect()) == [3, 3, 7]
+
+
 def test_near_texts_against_brute_force(spark, odd):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
