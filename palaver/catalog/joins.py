@@ -70,26 +70,35 @@ FILE_REFS = """SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE concat('paste-files/', CAST(l_partkey AS STRING)) END AS relative_path,
   CASE WHEN l_linestatus = 'O' THEN concat('/paste-files/', CAST(l_partkey AS STRING)) ELSE concat('remote-', CAST(l_partkey AS STRING)) END AS path,
   false AS explicit, 'text/plain' AS mime, CAST(l_quantity AS BIGINT) AS size FROM {lineitem}"""
-HELD = """SELECT concat('w', CAST(l_suppkey AS STRING)) AS workspace_id, concat('paste-files/', CAST(l_partkey AS STRING)) AS relative_path,
-  max(CAST(l_quantity AS BIGINT)) AS size_bytes, 'text/plain' AS mime, min(l_tax) < 0.07 AS readable FROM {lineitem} WHERE l_discount > 0.02 GROUP BY 1, 2"""
+HELD = """SELECT concat('w', CAST(l_suppkey AS STRING)) AS workspace_id,
+  concat('paste-files/', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 17 = 0 THEN '/part' ELSE '' END) AS relative_path,
+  max(CAST(l_quantity AS BIGINT)) AS size_bytes, CASE WHEN l_partkey % 13 = 0 THEN 'application/octet-stream' ELSE 'text/plain' END AS mime,
+  min(l_tax) < 0.07 AS readable FROM {lineitem} WHERE l_discount > 0.02 GROUP BY l_suppkey, l_partkey"""
 
 
 @query("j06_resolve_file_refs", f"""
-WITH j AS (SELECT r.*, h.size_bytes, h.readable FROM ({FILE_REFS}) r LEFT JOIN ({HELD}) h USING (workspace_id, relative_path)),
+WITH h AS (SELECT workspace_id, regexp_extract(relative_path, '^paste-files/[^/]+', 0) AS relative_path, size_bytes, mime,
+  relative_path LIKE '%/part' AS folder, readable AND relative_path NOT LIKE '%/part' AS readable FROM ({HELD}) x),
+j AS (SELECT r.*, h.size_bytes, h.mime AS held_mime, h.readable FROM ({FILE_REFS}) r LEFT JOIN h USING (workspace_id, relative_path)),
 a AS (SELECT *, CASE WHEN relative_path IS NULL AND starts_with(path, '/') THEN NULL WHEN relative_path IS NULL THEN 'deferred'
    WHEN readable THEN 'available' WHEN readable IS NULL THEN 'missing' ELSE 'deferred' END AS availability FROM j),
 c AS (SELECT *, CASE WHEN availability IS NULL THEN 'RESOURCE_REFERENCE_INVALID' WHEN availability = 'deferred' THEN 'RESOURCE_DEFERRED'
-   WHEN availability = 'missing' THEN 'RESOURCE_MISSING' WHEN size <> size_bytes THEN 'RESOURCE_METADATA_MISMATCH' END AS code FROM a)
-SELECT 'availability' AS kind, availability AS value, count(*) AS n FROM c WHERE availability IS NOT NULL GROUP BY ALL
-UNION ALL SELECT 'code', code, count(*) FROM c WHERE code IS NOT NULL GROUP BY ALL
-UNION ALL SELECT 'unreferenced', 'RESOURCE_UNASSOCIATED', count(*) FROM ({HELD}) h WHERE NOT EXISTS (
+   WHEN availability = 'missing' THEN 'RESOURCE_MISSING' WHEN size <> size_bytes OR mime <> held_mime THEN 'RESOURCE_METADATA_MISMATCH' END AS code FROM a),
+f AS (SELECT *, CASE WHEN folder THEN 'RESOURCE_LAYOUT_INVALID' WHEN NOT readable THEN 'RESOURCE_READ_FAILED'
+   WHEN mime = 'application/octet-stream' THEN 'RESOURCE_MIME_UNKNOWN' END AS code FROM h)
+SELECT 'availability' AS kind, ref_id, workspace_id, relative_path, availability AS value, NULL AS severity FROM c WHERE availability IS NOT NULL
+UNION ALL SELECT 'code', ref_id, workspace_id, relative_path, code,
+  CASE WHEN code IN ('RESOURCE_REFERENCE_INVALID', 'RESOURCE_METADATA_MISMATCH') THEN 'error' ELSE 'warning' END FROM c WHERE code IS NOT NULL
+UNION ALL SELECT 'code', NULL, workspace_id, relative_path, code, CASE WHEN code = 'RESOURCE_MIME_UNKNOWN' THEN 'warning' ELSE 'error' END FROM f WHERE code IS NOT NULL
+UNION ALL SELECT 'unreferenced', NULL, workspace_id, relative_path, 'RESOURCE_UNASSOCIATED', NULL FROM h WHERE NOT EXISTS (
   SELECT 1 FROM ({FILE_REFS}) r WHERE r.workspace_id = h.workspace_id AND r.relative_path = h.relative_path)""")
 def _(t):
     resolved, issues, rest = resolve_file_refs(t.sql(FILE_REFS), t.sql(HELD))
-    count = lambda df, kind, column: df.groupBy(F.lit(kind).alias("kind"), F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return count(resolved, "availability", "availability").unionByName(count(issues, "code", "code")).unionByName(
-        count(rest, "unreferenced", "code"))
+    shape = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), *[
+        (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ("ref_id", "workspace_id", "relative_path")],
+        F.col(column).alias("value"), (F.col("severity") if "severity" in df.columns else F.lit(None).cast("string")).alias("severity"))
+    return shape(resolved, "availability", "availability").unionByName(shape(issues, "code", "code")).unionByName(
+        shape(rest, "unreferenced", "code"))
 
 
 URL_PATHS = r"""SELECT DISTINCT concat('/', regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')) AS path FROM {pages}"""

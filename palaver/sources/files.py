@@ -20,17 +20,27 @@ def inventory(files: DataFrame) -> DataFrame:
         F.sha2("path", 256).alias("path_hash"))
 
 
-def read_file_inventory(spark: SparkSession, root: str, workspace_depth: int = 0) -> DataFrame:
-    """Every file below ``root``: size, SHA-256, type, strict UTF-8 flag, extension, depth, path hash.
+#: The most bytes a binary value of Spark can hold.
+MAX_VALUE_BYTES = 2**31 - 16
+
+
+def read_file_inventory(spark: SparkSession, root: str, workspace_depth: int = 0, max_bytes: int = MAX_VALUE_BYTES) -> DataFrame:
+    """Every file below ``root``: size, SHA-256, type, strict UTF-8 flag, extension, depth, path hash, readable.
 
     With ``workspace_depth`` 1 the first path component is the workspace id. Contents are hashed
-    on the executors and do not leave the scan.
+    on the executors and do not leave the scan. A file that cannot be read, or is longer than ``max_bytes``, stops
+    nothing: its row has no hash and no type and is not ``readable``.
     """
     base = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base))
-    shown = percent_decode(F.col("path"))
-    relative = F.regexp_replace(shown, F.lit(r"^.*?\Q" + base + r"\E/"), F.lit(""))
-    result = inventory(files.select(relative.alias("path"), F.col("length").alias("size_bytes"), "content"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    relative = F.regexp_replace(percent_decode(F.col("path")), F.lit(r"^.*?\Q" + base + r"\E/"), F.lit(""))
+    listed = reader.load(base).select("path", "length")  # contents are not opened
+    hashed = inventory(reader.load(base).filter(F.col("length") <= max_bytes).select("path", F.col("length").alias("size_bytes"), "content"))
+    read = hashed.select("path", "sha256", "mime", "valid_utf8", F.lit(True).alias("_read"))
+    result = listed.join(read, "path", "left").select(
+        relative.alias("path"), F.col("length").alias("size_bytes"), "sha256", "mime", "valid_utf8",
+        F.coalesce("_read", F.lit(False)).alias("readable"))
+    result = result.withColumns({"ext": basename_extension(F.col("path")), "depth": F.size(F.split("path", "/")), "path_hash": F.sha2("path", 256)})
     if workspace_depth:
         result = result.withColumn("workspace_id", F.split("path", "/")[0]).withColumn(
             "relative_path", F.regexp_replace("path", r"^[^/]+/", ""))

@@ -157,6 +157,9 @@ def test_files_and_bundle_reader(spark, tmp_path):
     rows = {r.relative_path: r for r in read_file_inventory(spark, str(root), workspace_depth=1).collect()}
     assert (rows["paste-files/a b.PNG"].mime, rows["paste-files/a b.PNG"].ext, rows["paste-files/a b.PNG"].depth) == ("image/png", ".png", 3)
     assert rows["note.txt"].mime == "text/plain" and rows["note.txt"].size_bytes == 6 and rows["bad.bin"].mime == "application/octet-stream"
+    short = {r.relative_path: r for r in read_file_inventory(spark, str(root), workspace_depth=1, max_bytes=8).collect()}
+    png = short["paste-files/a b.PNG"]  # too long here: a row, not a stop
+    assert len(short) == 3 and (png.readable, png.sha256, png.mime, png.size_bytes) == (False, None, None, 9) and short["note.txt"].readable
     session = {"sourceId": S, "recovery": "partial", "events": [{"type": "user", "sourceId": "u", "order": 0, "text": "hi", "sourceRefs": []}],
                "resources": [], "sourceRefs": []}
     good = {"schemaVersion": 1, "createdAt": "2026-01-01T00:00:00Z", "source": {}, "projects": [], "sessions": [session], "diagnostics": []}
@@ -171,6 +174,24 @@ def test_files_and_bundle_reader(spark, tmp_path):
             read_bundle(spark, str(path))
 
 
+def test_faults_of_stored_files_are_issues(spark):
+    from palaver.operators.resources import resolve_file_refs
+    inventory = spark.createDataFrame(
+        [("w", "paste-files/ok", 3, "text/plain", True), ("w", "paste-files/locked", 3, None, False), ("w", "paste-files/odd", 3, "application/octet-stream", True),
+         ("w", "paste-files/dir/a", 1, "text/plain", True), ("w", "paste-files/dir/b", 1, "text/plain", True)],
+        "workspace_id string, relative_path string, size_bytes bigint, mime string, readable boolean")
+    refs = spark.createDataFrame([(str(i), "w", p, p, False, "text/plain", 4) for i, p in enumerate(
+        ["paste-files/ok", "paste-files/locked", "paste-files/dir", "paste-files/gone"])],
+        "ref_id string, workspace_id string, relative_path string, path string, explicit boolean, mime string, size bigint")
+    resolved, issues, rest = resolve_file_refs(refs, inventory)
+    assert {r.ref_id: r.availability for r in resolved.collect()} == {"0": "available", "1": "deferred", "2": "deferred", "3": "missing"}
+    assert {(r.ref_id, r.relative_path[12:], r.code, r.severity) for r in issues.collect()} == {
+        ("0", "ok", "RESOURCE_METADATA_MISMATCH", "error"), ("1", "locked", "RESOURCE_DEFERRED", "warning"), ("2", "dir", "RESOURCE_DEFERRED", "warning"),
+        ("3", "gone", "RESOURCE_MISSING", "warning"), (None, "locked", "RESOURCE_READ_FAILED", "error"),
+        (None, "odd", "RESOURCE_MIME_UNKNOWN", "warning"), (None, "dir", "RESOURCE_LAYOUT_INVALID", "error")}
+    assert [r.relative_path for r in rest.collect()] == ["paste-files/odd"]
+
+
 def test_long_histories_are_segmented(bundle):
     from palaver.operators.mapping import map_sessions_v2
     mapped = map_sessions_v2(bundle, "ns", cap=200, recent=40)
