@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from bisect import bisect_right
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import map_texts
+from palaver.llm.planted import plant
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -31,9 +33,18 @@ _WIDE = {
         re.compile(r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])")],
     3: [re.compile(r"\+?[0-9]{1,3}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9])"), re.compile(r"\([0-9]{3}\)[ ]?[0-9]{3}[ -][0-9]{4}(?![0-9])")],
 }
+#: The parts after the host of a written-out address; every end is a candidate.
+_HOST = re.compile(r".*?(?:\(at\)|\[at\]|@)[ ]?[\w-]+")
+_DOT = re.compile(r"[ ]?(?:\.|\(dot\)|\[dot\])[ ]?[\w-]+")
+#: Words shortly before a candidate that speak for a kind, or for a number of another sort.
+_CUES = [re.compile(p) for p in (
+    r"\b(?:e-?mail|write|contact|correo|courriel)\b", r"\b(?:ip|host|server|from|address|login)\b",
+    r"\b(?:card|visa|master|amex|paid|karte|tarjeta|carte)\b", r"\b(?:tel|phone|call|mobile|cell|fax|reach|telefon|t[ée]l[ée]fono?|t[ée]l[ée]phone)\b",
+    r"\b(?:order|invoice|version|release|isbn|ref|ticket|serial|section|date|batch|tracking|id|no|nr)\b")]
+_YEAR = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = re.compile(r"[\x20().-]+")
-FEATURES = 20
+FEATURES = 31
 
 
 def luhn(digits: str) -> bool:
@@ -103,7 +114,13 @@ def candidates(text: str) -> list[Span]:
         if kind == 0 and "@" not in text and "at)" not in text and "at]" not in text:
             continue
         for pattern in patterns:
-            out.update((m.start(), kind, m.end()) for m in pattern.finditer(text))
+            for m in pattern.finditer(text):
+                out.add((m.start(), kind, m.end()))
+                if kind == 0:
+                    at = _HOST.match(m.group()).end()
+                    while part := _DOT.match(m.group(), at):
+                        at = part.end()
+                        out.add((m.start(), kind, m.start() + at))
     return sorted(out)
 
 
@@ -120,11 +137,14 @@ def describe(text: str, span: Span) -> list[float]:
     parts = re.split(r"[^0-9]+", own.strip("+( )"))
     octets = [int(p) for p in own.split(".") if 0 < len(p) <= 9 and p.isascii() and p.isdigit()]
     context = text[max(0, start - 24):start].lower()
+    near = context.rpartition("\n")[2]
     return [kind, len(own), len(digits), len(digits) / len(own), own.count("."), own.count("@"), own.count("-") + own.count(" "),
             float(len(digits) > 11 and luhn(digits)), float(own[:1] == "+"), float("(" in own), max(octets, default=0), len(octets),
             max(map(len, parts)), min(map(len, parts)), len(parts), _kind_of(before), _kind_of(after),
-            float("=" in context or '"' in context[-2:]), float(bool(re.search(r"(tel|phone|call|card|mail|ip)\W*$", context))),
-            len(own.rpartition(".")[2])]
+            float("=" in context or '"' in context[-2:]), len(own.rpartition(".")[2]),
+            *[float(cue.search(near) is not None) for cue in _CUES], float(_YEAR.search(own) is not None),
+            float("at)" in own or "at]" in own or "@" in own), float(own[:1] == "0"),
+            own.count("(") - own.count(")"), float(before in ("(", "+")), _kind_of(text[max(0, start - 2):start][:-1]), _kind_of(text[end + 1:end + 2])]
 
 
 @dataclass
@@ -222,36 +242,65 @@ def _accepts(kind: int, own: str) -> bool:
     return (0, kind, len(own)) in base_spans(own)
 
 
-def fit_privacy(documents: DataFrame, bound: int = 4000, max_chars: int = 65536, precision: float = 0.995) -> PrivacyModel:
-    """Learn from the candidates of at most ``bound`` documents (the least hashes of the id) of at most ``max_chars`` characters.
+def _stretch(text: str, size: int, seed: int) -> str:
+    """The text, or of a longer one ``size`` characters from a place that ``seed`` chooses."""
+    start = seed % (len(text) - size + 1) if len(text) > size else 0
+    return text[start:start + size]
 
-    The label of a candidate is whether the base rule takes its string on its own, whatever stands around it: so
-    the trees learn the format, and a span that the base loses to its neighbours is found again. A fourth of the
-    documents is kept for the thresholds: per kind, the least probability with the wanted ``precision`` there (a half at
-    least, 0.9 where there is nothing to measure).
+
+def training_rows(text: str, max_chars: int = 65536) -> list[tuple[list[float], bool, bool]]:
+    """(features, personal, beyond the base) of the candidates of a text into which personal data and look-alikes are planted.
+
+    Personal are the planted spans and what the base rule takes when it stands alone; all that only overlaps those, lies in a
+    look-alike or stands in the text unplanted and untaken is not. What is planted depends on the text alone.
+    """
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    full, marks = plant(_stretch(text, max_chars, seed), random.Random(seed))
+    exact = {(a, k, b) for a, k, b, personal in marks if personal}
+    base = set(base_spans(full))
+    starts, out = [m[0] for m in marks], []
+    for c in candidates(full):
+        a, kind, b = c
+        at = bisect_right(starts, b - 1) - 1  # the last plant that starts before the end; plants do not overlap
+        inside = at >= 0 and marks[at][2] > a
+        out.append((describe(full, c), c in exact if inside else _accepts(kind, full[a:b]), c not in base))
+    return out
+
+
+def fit_privacy(documents: DataFrame, bound: int = 4000, max_chars: int = 65536, precision: float = 0.98) -> PrivacyModel:
+    """Learn from the candidates of at most ``bound`` documents (the least hashes of the id; of longer ones a stretch of ``max_chars``
+    characters from a hashed place).
+
+    There are no labels for personal data, so ``plant`` writes some into the training texts, with look-alikes and words around
+    them (see ``training_rows``): the trees learn formats beyond the base and the context that tells a phone from
+    an order number. A fourth of the documents is kept for the thresholds: per kind, the least probability with the wanted
+    ``precision`` among the candidates that are no base spans (a half at least, 0.9 where there is nothing to measure).
     """
-    usable = documents.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars) & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    usable = documents.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", "text")
     ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     chosen = usable.join(F.broadcast(ids), "doc_id")  # at most `bound` numbers
 
     def make():
         def run(texts):
-            rows = [[(describe(t, c), _accepts(c[1], t[c[0]:c[2]])) for c in candidates(t)] for t in texts]
-            return {"x": [[v for x, _ in r for v in x] for r in rows], "y": [[float(y) for _, y in r] for r in rows]}
+            rows = [training_rows(t, max_chars) for t in texts]
+            return {"x": [[v for x, _, _ in r for v in x] for r in rows], "y": [[float(y) for _, y, _ in r] for r in rows],
+                    "beyond": [[z for _, _, z in r] for r in rows]}
         return run
 
-    rows = map_texts(chosen, "x array<double>, y array<double>", make, keep=["doc_id"]).where("size(y) > 0").orderBy("doc_id").collect()
+    rows = map_texts(chosen, "x array<double>, y array<double>, beyond array<boolean>", make, keep=["doc_id"]).where("size(y) > 0").orderBy("doc_id").collect()
     if not rows:
         return PrivacyModel(Boosted(-5.0), (0.9,) * len(KINDS))
     x = np.concatenate([np.reshape(r["x"], (-1, FEATURES)) for r in rows])
     y = np.concatenate([r["y"] for r in rows])
+    beyond = np.concatenate([np.array(r["beyond"], bool) for r in rows])
     later = np.concatenate([np.full(len(r["y"]), zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0) for r in rows])
-    trees = Boosted.fit(x[~later], y[~later]) if (~later).any() else Boosted(-5.0)
-    chance, limits = trees.probability(x[later]), []
+    trees = Boosted.fit(x[~later], y[~later], rounds=120) if (~later).any() else Boosted(-5.0)
+    held = later & beyond
+    chance, limits = trees.probability(x[held]), []
     for kind in range(len(KINDS)):
-        mine = x[later][:, 0] == kind
+        mine = x[held][:, 0] == kind
         order = np.argsort(-chance[mine], kind="stable")
-        p, good = chance[mine][order], np.cumsum(y[later][mine][order]) / np.arange(1, mine.sum() + 1)
+        p, good = chance[mine][order], np.cumsum(y[held][mine][order]) / np.arange(1, mine.sum() + 1)
         ok = np.flatnonzero(good >= precision)
         limits.append(max(0.5, float(p[ok[-1]])) if len(ok) else 0.9)
     return PrivacyModel(trees, tuple(limits))

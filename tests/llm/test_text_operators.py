@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import counts, language, mixing, near_text, near_vectors, pieces, privacy, quality, rules, toxicity
 from palaver.llm.components import connected_components
+from palaver.llm.planted import plant
 from palaver.llm.queries import tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string"
@@ -172,6 +173,41 @@ def test_privacy_proposes_phones_of_every_shape(spark):
         assert (5, 3, 5 + len(phone)) in model.spans(text)[1], text
 
 
+def _prose(rng, n=60):
+    return " ".join("".join(rng.choices("aeionrstlmdcu", k=rng.randint(2, 9))) + rng.choice(("", "", "", ".", ",")) for _ in range(n)) + f" {rng.randint(1, 40)}"
+
+
+def test_plants_stand_where_they_are_said_to():
+    rng = random.Random(5)
+    for i in range(200):
+        text = _prose(rng, rng.randint(0, 30)) if i else ""
+        full, marks = plant(text, random.Random(i))
+        cut = "".join(full[b:a] for (_, _, b, _), (a, _, _, _) in zip([(0, 0, 0, 0), *marks], [*marks, (len(full), 0, 0, 0)]))
+        assert len(full) >= len(text) and len(cut) < len(full) and all(x[2] <= y[0] for x, y in zip(marks, marks[1:]))
+        wanted = {(a, k, b) for a, k, b, personal in marks if personal}
+        assert wanted <= set(privacy.candidates(full)), full
+        rows = privacy.training_rows(text)
+        assert rows == privacy.training_rows(text) and all(len(x) == privacy.FEATURES for x, _, _ in rows)
+    assert len(privacy._stretch("abc" * 50, 40, 7**9)) == 40
+
+
+def test_personal_data_beyond_the_base_is_found_by_format_and_context(spark):
+    rng = random.Random(11)
+    model = privacy.fit_privacy(spark.createDataFrame([(i, _prose(rng)) for i in range(1500)], "doc_id bigint, text string"))
+    planted = found = wrong = 0
+    for i in range(300):
+        full, marks = plant(_prose(rng), random.Random(10**6 + i))
+        base, every = model.spans(full)
+        wanted, got = {(a, k, b) for a, k, b, personal in marks if personal} - set(base), set(every) - set(base)
+        planted, found, wrong = planted + len(wanted), found + len(wanted & got), wrong + len(got - wanted)
+    assert planted > 150 and found >= 0.9 * planted and wrong <= 0.03 * planted
+    # The same digits are a phone or an order number by the words before them.
+    def kinds(text):
+        return [(k, text[a:b]) for a, k, b in model.spans(text)[1]]
+    assert kinds("please call 415-555-2671 today") == [(3, "415-555-2671")] and kinds("see order 415-555-2671 today") == []
+    assert kinds("write to jo.lee (at) example (dot) org. We") == [(0, "jo.lee (at) example (dot) org")]
+
+
 def test_spans_are_chosen_as_by_comparing_all():
     rng = random.Random(9)
     for _ in range(300):
