@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.operators.ordered import top_per_key
+from palaver.operators.ordered import row_position, same_keys, top_per_key
 from palaver.operators.payload import payload_nodes
 from palaver.session import durable
 
 # Keywords without effect on data.
 ANNOTATIONS = ("title", "description", "default", "examples", "deprecated")
 
-# A schema has at most 100,000 nodes, and each gives few rows.
-MAX_BASELINE_ROWS = 400_000
+# Fixed value: positions in one bitmap of Spark's bitmap functions.
+BITMAP_BITS = 32_768
 
 
 def flatten_schemas(schemas: DataFrame, id_col: str = "schema_id", column: str = "schema") -> DataFrame:
@@ -40,31 +40,47 @@ def flatten_schemas(schemas: DataFrame, id_col: str = "schema_id", column: str =
     return scalars.unionByName(members).unionByName(properties)
 
 
+def missing_parts(baseline: DataFrame, observed: DataFrame) -> DataFrame:
+    """(schema_id, path, attr, value) for every baseline row that a schema of ``observed`` does not hold.
+
+    Baseline rows are numbered, and the numbers a schema holds become bitmaps of 4 KiB; full bitmaps are dropped, and only the
+    unset bits of the others become rows. The baseline is neither collected nor repeated for a schema, and has no size limit.
+    """
+    c, keys = F.col, ["path", "attr", "value"]
+    numbered = durable(row_position(baseline.select(*keys).distinct(), [], keys, "_n").withColumn("_n", c("_n") + 1))
+    parts = numbered.count()
+    if not parts:
+        return observed.select("schema_id", *keys).limit(0)
+    held = same_keys(observed.select("schema_id", *keys).distinct(), numbered, keys).groupBy(
+        "schema_id", F.bitmap_bucket_number("_n").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
+    wanted = observed.select("schema_id").distinct().select(
+        "schema_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(-(-parts // BITMAP_BITS)).cast("bigint"))).alias("_bucket")).withColumn(
+        "_size", F.least(F.lit(BITMAP_BITS), F.lit(parts) - (c("_bucket") - 1) * BITMAP_BITS).cast("int"))
+    lacking = wanted.join(held, ["schema_id", "_bucket"], "left").filter(F.coalesce(F.bitmap_count("_bits"), F.lit(0)) < c("_size"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((c("_size") - 1) / 8).cast("int")), lambda i: F.struct(
+        i.alias("at"), F.coalesce(F.hex(F.substring(c("_bits"), i + 1, F.lit(1))), F.lit("00")).alias("byte")))
+    pieces = lacking.select("schema_id", "_bucket", F.explode(F.filter(pieces, lambda p: p["byte"] != "FF")).alias("_p"))
+    bits = pieces.select("schema_id", "_bucket", "_p.at", F.conv("_p.byte", 16, 10).cast("int").alias("_byte"),
+                         F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit")).filter(F.expr("shiftright(_byte, _bit) & 1 = 0"))
+    numbers = bits.select("schema_id", ((c("_bucket") - 1) * BITMAP_BITS + c("at") * 8 + c("_bit") + 1).alias("_n"))
+    return numbers.join(numbered, "_n").select("schema_id", *keys)
+
+
 def schema_drift(baseline: DataFrame, observed: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """(verdicts, changes): exact, compatible or incompatible per observed schema.
 
     ``baseline``: path, attr, value; ``observed``: schema_id, path, attr, value. Only a new optional
     property of a closed object, a wider enum, more anyOf alternatives and annotations are
-    compatible. At most ``limit`` changed places are listed; the count is exact.
+    compatible. At most ``limit`` changed places are listed; the count is exact. Rows without a schema id are left out.
     """
     c = F.col
+    observed = observed.filter(c("schema_id").isNotNull())
     ids = observed.select("schema_id").distinct()
-    # The baseline is one reviewed document; only schemas that miss a part of it are spelled out.
-    base = baseline.distinct()
-    parts = base.count()
-    if parts > MAX_BASELINE_ROWS:
-        raise ValueError("SCHEMA_TOO_LARGE")
-    held = observed.distinct().join(base, ["path", "attr", "value"], "left_semi").groupBy("schema_id").agg(
-        F.count(F.lit(1)).alias("_held"))
-    lacking = ids.join(held, "schema_id", "left").filter(F.coalesce("_held", F.lit(0)) < parts).select("schema_id")
-    wanted = base.agg(F.collect_list(F.struct("path", "attr", "value")).alias("_rows")).withColumn("_one", F.lit(1))
-    expected = (lacking.withColumn("_one", F.lit(1)).join(F.broadcast(wanted), "_one")
-                .select("schema_id", F.explode("_rows").alias("r")).select("schema_id", "r.*")
-                .withColumn("_in_base", F.lit(True)))
-    seen = observed.distinct().withColumn("_in_new", F.lit(True))
-    extra = seen.join(base, ["path", "attr", "value"], "left_anti").withColumn("_in_base", F.lit(None).cast("boolean"))
-    missing = expected.join(seen, ["schema_id", "path", "attr", "value"], "left_anti").withColumn(
-        "_in_new", F.lit(None).cast("boolean"))
+    base = baseline.select("path", "attr", "value").distinct()
+    seen = observed.select("schema_id", "path", "attr", "value").distinct()
+    missing = missing_parts(base, seen).withColumns({"_in_base": F.lit(True), "_in_new": F.lit(None).cast("boolean")})
+    extra = same_keys(seen, base, ["path", "attr", "value"], "left_anti").withColumns(
+        {"_in_base": F.lit(None).cast("boolean"), "_in_new": F.lit(True)})
     pairs = missing.unionByName(extra)
     closed = baseline.filter("attr = 'additionalProperties' AND value = 'false'").select("path", F.lit(True).alias("_closed"))
     still_closed = observed.filter("attr = 'additionalProperties' AND value = 'false'").select(
@@ -75,12 +91,14 @@ def schema_drift(baseline: DataFrame, observed: DataFrame, limit: int = 100) ->
         "schema_id", F.concat("path", F.lit(".properties."), "value").alias("_inside")).join(
         baseline.filter("attr = 'property'").select(F.concat("path", F.lit(".properties."), "value").alias("_inside")),
         "_inside", "left_anti")
-    changed = pairs.join(F.broadcast(closed.distinct()), "path", "left").join(still_closed, ["schema_id", "path"], "left").join(
-        demanded, ["schema_id", "path", "value"], "left")
-    # Everything inside a new property belongs to that one change.
-    changed = changed.join(
-        new_property, (changed["schema_id"] == new_property["schema_id"]) & F.startswith(changed["path"], new_property["_inside"]),
-        "left_anti")
+    changed = pairs.join(closed.distinct(), "path", "left").join(still_closed.distinct(), ["schema_id", "path"], "left").join(
+        demanded.distinct(), ["schema_id", "path", "value"], "left")
+    # Everything inside a new property belongs to that one change: a path meets the properties above it by its own prefixes.
+    places = changed.select("schema_id", "path").distinct()
+    ends = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: (i == F.length("path")) | F.substring(c("path"), i + 1, F.lit(1)).isin(".", "["))
+    above = places.select("schema_id", "path", F.explode(F.transform(ends, lambda i: F.substring(c("path"), F.lit(1), i))).alias("_inside"))
+    inside = above.join(new_property.distinct(), ["schema_id", "_inside"], "left_semi").select("schema_id", "path").distinct()
+    changed = changed.join(inside, ["schema_id", "path"], "left_anti")
     added = c("_in_base").isNull()
     free = (c("attr").isin(*ANNOTATIONS) | (added & c("attr").isin("enum", "anyOf"))
             | (added & (c("attr") == "property") & F.coalesce("_closed", F.lit(False)) & F.coalesce("_still", F.lit(False))
@@ -100,5 +118,3 @@ def compare_to(schemas: DataFrame, baseline_id: str, limit: int = 100) -> tuple[
     rows = durable(flatten_schemas(schemas))
     base = rows.filter(F.col("schema_id") == baseline_id).drop("schema_id")
     return schema_drift(base, rows.filter(F.col("schema_id") != baseline_id), limit)
-
-
