@@ -41,7 +41,7 @@ def join_reads(metadata: DataFrame, reads: DataFrame, digest: str = "digest",
     """(sessions, contradictions): every id with its metadata and read state.
 
     ``metadata`` and ``reads`` both carry session_id and ``digest``; ``reads`` adds status and
-    expected. Equal repeats collapse, unequal ones are contradictions (the caller must stop).
+    expected. Equal repeats collapse, unequal ones are contradictions (the caller sets those sessions aside).
     """
     def one_row(df: DataFrame, kind: str) -> DataFrame:
         rest = [c for c in df.columns if c != "session_id"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +72,21 @@ def make_diagnostics(rows: DataFrame) -> DataFrame:
 
 
 def assemble(inputs: Inputs) -> dict[str, DataFrame]:
-    """The bundle tables: source, projects, sessions, events, blocks, resources, diagnostics."""
+    """The bundle tables: source, projects, sessions, events, blocks, resources, diagnostics.
+
+    A session with contradicting metadata or reads is left out whole and named by an error SESSION_CONTRADICTION; the others stay.
+    """
     c = F.col
     spark = inputs.records.sparkSession
     digest_of = lambda df: df.withColumn("digest", F.sha2(F.to_json(F.struct(*df.columns)), 256))
     joined, contradictions = join_reads(digest_of(inputs.records), digest_of(inputs.responses))
     if not contradictions.isEmpty():
-        raise ValueError("BUNDLE_INPUT_INVALID: contradicting session rows")
+        clashing = durable(contradictions.select("session_id").distinct())
+        without = lambda df: df.join(clashing, "session_id", "left_anti")
+        joined = without(joined)
+        issues = clashing.select(F.lit("SESSION_CONTRADICTION").alias("code"), F.lit("error").alias("severity"), "session_id")
+        inputs = replace(inputs, records=without(inputs.records), responses=without(inputs.responses), sources=without(inputs.sources),
+                         recs=None if inputs.recs is None else without(inputs.recs), issues=[*inputs.issues, issues])
     ids = durable(joined.select("session_id", "meta", "has_metadata", "read_status", "expected"))
     places = inputs.sources.filter("workspace_id IS NOT NULL").select("session_id", "workspace_id").distinct()
     # References name the least workspace; all of them stay in session_workspaces.

@@ -50,6 +50,19 @@ def test_assembled_rows(bundle):
     assert bundle["source"].first().fingerprint.startswith("sha256:")
 
 
+def test_a_contradicting_session_is_set_aside(spark):
+    kinds = "session_id string, title string, created_at bigint, updated_at bigint, parent_id string, status string"
+    records = spark.createDataFrame([(S, "T", 1, 2, None, "complete"), ("bad", "A", 1, 2, None, "complete"), ("bad", "B", 1, 2, None, "complete")], kinds)
+    answers = spark.createDataFrame([(x, "available", 2, json.dumps([dict(r, chat_session_id=x) for r in _response()])) for x in (S, "bad")],
+                                    "session_id string, status string, expected bigint, response string")
+    sources = spark.createDataFrame([(x, "w1", "runtime-metadata", "runtime:getSessions#session", "sha256:" + "a" * 64) for x in (S, "bad")],
+                                    "session_id string, workspace_id string, kind string, locator string, digest string")
+    projects = spark.createDataFrame([("w1", "/work/x", "folder-uri")], "workspace_id string, path string, source string")
+    got = assemble(Inputs(records, sources, answers, projects))
+    assert [r.session_id for r in got["sessions"].collect()] == [S] and got["events"].filter("session_id = 'bad'").isEmpty()
+    assert [(r.code, r.severity, r.subject_id) for r in got["diagnostics"].collect()] == [("SESSION_CONTRADICTION", "error", "bad")]
+
+
 @pytest.fixture(scope="module")
 def planned(spark, bundle):
     maps = spark.createDataFrame([("/work", "/new")], "from string, to string")
