@@ -2,7 +2,8 @@
 
 Every round replaces each pointer by the pointer of its target. The joins are many-to-one on a
 unique key, so a parent with very many children is split by the adaptive skew join; subtree values
-are folded with map-side aggregation. Every round is written to the checkpoint folder.
+are folded with map-side aggregation. Every round is written to the checkpoint folder. All joins are sort-merge joins by a hint:
+files of ids are many times smaller than their rows, and a broadcast chosen by their size would pass millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def parent_order(sessions: DataFrame) -> DataFrame:
     if not sessions.groupBy("session_id").count().filter("count > 1").isEmpty():
         raise ValueError("IDENTITY_INVALID: repeated session")
     ids = sessions.select(F.col("session_id").alias("parent_id"))
-    if not sessions.filter("parent_id IS NOT NULL").join(ids, "parent_id", "left_anti").isEmpty():
+    if not sessions.filter("parent_id IS NOT NULL").join(ids.hint("merge"), "parent_id", "left_anti").isEmpty():
         raise ValueError("IDENTITY_INVALID: missing parent")
     total = sessions.count()
     nodes = durable(_pointers(sessions).select(
@@ -56,10 +57,10 @@ def parent_order(sessions: DataFrame) -> DataFrame:
         below = moving.groupBy(F.col("jump").alias("id")).agg(F.min("low").alias("_low"))
         target = nodes.select(F.col("id").alias("jump"), F.col("jump").alias("_next"),
                               F.col("depth").alias("_more"))
-        moved = moving.join(target, "jump").select(
+        moved = moving.join(target.hint("merge"), "jump").select(
             "id", F.col("_next").alias("jump"), "low", (F.col("depth") + F.col("_more")).alias("depth"))
         rest = nodes.filter("jump IS NULL")
-        nodes = durable(moved.unionByName(rest).join(below, "id", "left").select(
+        nodes = durable(moved.unionByName(rest).join(below.hint("merge"), "id", "left").select(
             "id", "jump", F.least("low", F.coalesce("_low", "low")).alias("low"), "depth"))
         steps *= 2
     return nodes.select(F.col("id").alias("session_id"), F.col("low").alias("subtree_min"), "depth")
@@ -75,7 +76,7 @@ def propagate_block(plan: DataFrame, key: str = "target_id", parent: str = "pare
         if rounds > 64:
             raise ValueError("IDENTITY_INVALID: cycle")
         target = nodes.select(F.col("id").alias("jump"), F.col("jump").alias("_next"), F.col("ok").alias("_ok"))
-        moving = nodes.filter("ok AND jump IS NOT NULL").join(target, "jump", "left").select(
+        moving = nodes.filter("ok AND jump IS NOT NULL").join(target.hint("merge"), "jump", "left").select(
             "id", F.col("_next").alias("jump"), F.coalesce("_ok", F.lit(False)).alias("ok"))
         nodes = durable(moving.unionByName(nodes.filter("NOT (ok AND jump IS NOT NULL)")))
-    return plan.join(nodes.select(F.col("id").alias(key), F.col("ok").alias("effective")), key)
+    return plan.join(nodes.select(F.col("id").alias(key), F.col("ok").alias("effective")).hint("merge"), key)
