@@ -19,17 +19,27 @@ def _pointers(sessions: DataFrame) -> DataFrame:
 
 
 def parent_cycles(sessions: DataFrame) -> DataFrame:
-    """Ids that lie on a parent cycle (not those that only lead into one)."""
+    """Ids that lie on a parent cycle (not those that only lead into one).
+
+    A round keeps the paths that start where another one ends. When a round loses none and every id has one
+    parent, the pointers are a permutation and all that is left are cycles: about log2(depth) rounds.
+    """
     ids = sessions.select("session_id").distinct()
-    total = ids.count()
     # A parent that does not exist ends the path.
     known = ids.withColumnRenamed("session_id", "jump")
-    live = durable(_pointers(sessions).filter("jump IS NOT NULL").join(known, "jump", "left_semi")
+    live = durable(_pointers(sessions).filter("jump IS NOT NULL").distinct().join(known.hint("merge"), "jump", "left_semi")
                    .select("id", "jump"))
+    total, left = ids.count(), live.count()
+    unique = left == live.select("id").distinct().count()
     steps = 1
-    while steps < total and not live.isEmpty():
+    while steps < total and left:
         target = live.select(F.col("id").alias("jump"), F.col("jump").alias("_next"))
-        live = durable(live.join(target, "jump").select("id", F.col("_next").alias("jump")))
+        ends = live.select(F.col("jump").alias("id")).distinct()
+        rows = live.join(target.hint("merge"), "jump").join(ends.hint("merge"), "id", "left_semi").select("id", F.col("_next").alias("jump"))
+        live = durable(rows if unique else rows.distinct())
+        before, left = left, live.count()
+        if unique and left == before:
+            break
         steps *= 2
     return live.select(F.col("jump").alias("session_id")).distinct()
 
