@@ -7,10 +7,11 @@ and on DuckDB: ``{name}`` stands for a table.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -41,6 +42,17 @@ class Query:
     sql: str | None
 
 
+def feed(batches: Iterable[DataFrame], folder: str, start: Callable[[DataFrame], StreamingQuery]) -> DataFrame:
+    """Replay tables as micro-batches: each is written by all tasks, and ``start`` drains the stream over ``folder`` before the
+    next one arrives. A stream without a limit of files takes all that is new as one micro-batch. Returns the stream.
+    """
+    for batch in batches:
+        batch.write.mode("append").parquet(folder)
+        stream = batch.sparkSession.readStream.schema(batch.schema).parquet(folder)
+        start(stream).awaitTermination()
+    return stream
+
+
 CATALOG: dict[str, Query] = {}
 
 

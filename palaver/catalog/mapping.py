@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.catalog.base import CATALOG, EVENTS, SESSIONS, query
+from palaver.catalog.base import CATALOG, EVENTS, SESSIONS, feed, query
 from palaver.catalog.joins import LINKED, OBSERVED
 from palaver.functions.mime import is_plain_utf8, sniff_mime
 
@@ -333,15 +333,13 @@ def _replay(t, name: str, build):
     base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{name}-{uuid.uuid4().hex}"
     events = t.events
     part = F.pmod(F.xxhash64("event_id"), F.lit(4))
-    for i in range(4):  # one file is one micro-batch
-        events.filter(part == i).coalesce(1).write.parquet(f"{base}/in/{i}")
-    stream = build(t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-    (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").outputMode("update")
-     .trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+    stream = feed((events.filter(part == i) for i in range(4)), f"{base}/in", lambda s: (
+        build(s).writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").outputMode("update")
+        .trigger(availableNow=True).start()))
+    return t.spark.read.schema(build(stream).schema).parquet(f"{base}/out")
 
 
 @query("st01_stream_dedup", """

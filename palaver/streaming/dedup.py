@@ -7,47 +7,39 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-class _Quarantine(StatefulProcessor):
-    """Per key: its first hash and whether another one was seen. Three fields, however many rows."""
+def _quarantine(expire_ms: int | None):
+    """Per key: its first hash and whether another one was seen. Three fields, however many rows.
 
-    def __init__(self, expire_ms: int | None):
-        self.expire_ms = expire_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "digest string, conflict boolean, n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.seen.get() if self.seen.exists() else None
-        digest, conflict, n = state if state else (None, False, 0)
+    States travel to the workers and back in Arrow batches of many keys, not one call at a time.
+    """
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        digest, conflict, n = state.get if state.exists else (None, False, 0)
         before = (digest, conflict)
         latest = 0
         for part in rows:
             n += len(part)
-            latest = max(latest, int(part["event_ms"].max()))
-            hashes = part.sort_values(["event_ms", "digest"])["digest"]
+            hashes = part["digest"]
+            if expire_ms is not None:
+                latest = max(latest, int(part["event_ms"].max()))
             if digest is None:
+                hashes = part.sort_values(["event_ms", "digest"])["digest"]
                 digest = hashes.iloc[0]
             conflict = bool(conflict or (hashes != digest).any())
-        self.seen.update((digest, conflict, n))
-        if self.expire_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
+        state.update((digest, conflict, n))
+        if expire_ms is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + expire_ms)
         if (digest, conflict) != before:
             yield pd.DataFrame({"key": [key[0]], "digest": [digest], "conflict": [conflict], "n": [n]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    return run
 
 
+STATE = "digest string, conflict boolean, n bigint"
 OUTPUT = "key string, digest string, conflict boolean, n bigint"
 
 
@@ -63,8 +55,9 @@ def stream_dedup_quarantine(stream: DataFrame, key: str, digest: str, ts: str, d
     if expire_ms is not None:
         rows = rows.withWatermark(ts, delay)
     rows = rows.select(F.col(key).cast("string").alias("key"), F.col(digest).alias("digest"), F.col(ts), F.unix_millis(ts).alias("event_ms"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        _Quarantine(expire_ms), OUTPUT, "Update", "none" if expire_ms is None else "EventTime")
+    return rows.groupBy("key").applyInPandasWithState(
+        _quarantine(expire_ms), OUTPUT, STATE, "update",
+        GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def split_late(batch: DataFrame, ts: str, watermark_ms: int) -> tuple[DataFrame, DataFrame]:
