@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.catalog.base import SESSIONS, query
+from palaver.catalog.base import SESSIONS, feed, query
 from palaver.plans import lifecycle as life
 from palaver.plans import manifest as mf
 from palaver.plans.plan import decide_status
@@ -305,10 +305,7 @@ def _(t):
     base = f"{checkpoint_dir(t.spark).rstrip('/')}/palaver-stream-{uuid.uuid4().hex}"
     plan = plan_of(t)
     part = F.pmod(F.xxhash64("target_id"), F.lit(3))
-    for i, rows in enumerate((plan.filter(part == 2), plan.filter(part == 0), plan.filter(part == 2), plan.filter(part == 1))):
-        rows.coalesce(1).write.parquet(f"{base}/in/{i}")  # one file is one micro-batch
-    stream = t.spark.readStream.schema(plan.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    stream_apply(stream, f"{base}/out", RUN, f"{base}/checkpoint").awaitTermination()
+    feed((plan.filter(part == i) for i in (2, 0, 2, 1)), f"{base}/in", lambda stream: stream_apply(stream, f"{base}/out", RUN, f"{base}/checkpoint"))
     applied = read_applied(t.spark, f"{base}/out").groupBy("target_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return read_states(t.spark, f"{base}/out").join(applied, "target_id", "left").select(
         "target_id", "state", F.array_join("codes", ",").alias("codes"), F.coalesce("n", F.lit(0)).alias("times_imported"))
