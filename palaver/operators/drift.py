@@ -22,22 +22,22 @@ def flatten_schemas(schemas: DataFrame, id_col: str = "schema_id", column: str =
     Set-like keywords (required, enum, type lists) give one row per member, and alternatives
     (anyOf, oneOf, allOf) one row per alternative by its hash, so all comparisons are row joins.
     """
-    nodes = durable(payload_nodes(schemas, [id_col], column, reparse=False))
     c = F.col
     parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
     item_of = F.regexp_extract("path", r"^(.*)\.(required|enum|type|anyOf|oneOf|allOf)\[[0-9]+\]$", 1)
     item_attr = F.regexp_extract("path", r"^(.*)\.(required|enum|type|anyOf|oneOf|allOf)\[[0-9]+\]$", 2)
     outside = ~c("path").rlike(r"\.(?:anyOf|oneOf|allOf)\[[0-9]+\].")
-    scalars = nodes.filter(outside & c("kind").isin("string", "number", "boolean", "null") & c("key").isNotNull()
-                           & ~parent.rlike(r"\.properties$")).select(
-        id_col, parent.alias("path"), c("key").alias("attr"), F.coalesce("json", "text").alias("value"))
-    members = nodes.filter(outside & (item_attr != "")).select(
-        id_col, item_of.alias("path"), item_attr.alias("attr"),
-        F.when(item_attr.isin("anyOf", "oneOf", "allOf"), F.sha2("json", 256)).otherwise(c("json")).alias("value"))
-    properties = nodes.filter(outside & parent.rlike(r"\.properties$")).select(
-        id_col, F.regexp_replace(parent, r"\.properties$", "").alias("path"), F.lit("property").alias("attr"),
-        c("key").alias("value"))
-    return scalars.unionByName(members).unionByName(properties)
+    named = parent.rlike(r"\.properties$")
+
+    def part(condition, path, attr, value):
+        return F.when(outside & condition, F.struct(path.alias("path"), attr.alias("attr"), value.alias("value")))
+    # One pass: the nodes are read once, and a node may be a keyword, a member and a property at a time.
+    parts = F.array(
+        part(c("kind").isin("string", "number", "boolean", "null") & c("key").isNotNull() & ~named, parent, c("key"), F.coalesce("json", "text")),
+        part(item_attr != "", item_of, item_attr, F.when(item_attr.isin("anyOf", "oneOf", "allOf"), F.sha2("json", 256)).otherwise(c("json"))),
+        part(named, F.regexp_replace(parent, r"\.properties$", ""), F.lit("property"), c("key")))
+    nodes = payload_nodes(schemas, [id_col], column, reparse=False)
+    return nodes.select(id_col, F.inline(F.filter(parts, lambda p: p.isNotNull())))
 
 
 def missing_parts(baseline: DataFrame, observed: DataFrame) -> DataFrame:
