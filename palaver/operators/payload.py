@@ -13,7 +13,7 @@ from palaver.functions.credentials import (
     MARKER, credential_key, has_credentials, js_trim, populated_text, redact_hit, redact_text,
 )
 from palaver.functions.paths import percent_decode
-from palaver.session import durable
+from palaver.session import durable, spread
 
 # A text without any of these cannot hold a credential, not even an encoded one.
 _SUSPICIOUS = (
@@ -40,10 +40,11 @@ def _walk(df: DataFrame, column: str, reparse: bool = True, decode: bool = False
     """The nodes of the JSON text ``column`` of rows ``_k``, one stored table a level of nesting.
 
     Columns: _k, place (positions from the root, one of a kind), parent (its place), pos, path, key, kind, v, text, depth, and
-    whether a node is opened. With ``prune`` only nodes whose text could hold a credential are opened.
+    whether a node is opened. With ``prune`` only nodes whose text could hold a credential are opened. The rows are dealt over all
+    tasks first, and every level is written by the tasks that read the one above.
     """
     raw = F.col(column)
-    level = df.select("_k", F.lit("").alias("place"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"),
+    level = spread(df.select("_k", column)).select("_k", F.lit("").alias("place"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"),
                       F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"),
                       F.try_parse_json(raw).alias("v"), raw.alias("_raw"), F.lit(0).alias("depth"))
     # A plain text has no variant; it is kept as the text of a string node.
@@ -178,6 +179,7 @@ def redact_payloads(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
     one payload. The result is scanned again and masked as a whole when anything is left.
     """
     keys = list(keys)
+    df = durable(spread(df))
     checked = durable(has_credentials_nested(df, keys, column, "_hit").withColumn("_id", F.struct(*keys)))
     dirty = checked.filter("_hit").select("_id", F.col(column).alias("_json"))
     if dirty.isEmpty():

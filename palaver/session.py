@@ -65,6 +65,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as a shuffle has, one for each core at least.
+
+    Tables are read by their bytes, so costly work on a few well compressed ones runs in a task or two.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 _SHIPPED: set[str] = set()
 
 

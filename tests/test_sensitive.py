@@ -141,3 +141,9 @@ def test_resource_paths_have_no_depth_of_their_own(spark):
     deep = "[" * 70 + '{"filePath":"/x/long-text/1"}' + "]" * 70
     rows = payload.resource_paths(_texts(spark, [deep, '{"relatePath":"paste-files/a"}']), ["id"], "t").collect()
     assert sorted((r["id"], r["value"]) for r in rows) == [(0, "/x/long-text/1"), (1, "paste-files/a")]
+
+
+def test_levels_are_written_by_many_tasks(spark):
+    rows = spark.range(400, numPartitions=1).select(F.struct("id").alias("_k"), F.format_string('{"a":{"password":"value-%d"}}', "id").alias("t"))
+    levels = payload._walk(rows, "t", prune=True)
+    assert all(len(level.inputFiles()) >= 8 for level in levels[:3]) and [level.count() for level in levels[:3]] == [400, 400, 400]
