@@ -14,6 +14,10 @@ from palaver.session import durable
 
 _LETTERS = flags(b"abcdefghijklmnopqrstuvwxyz0123456789'") | (np.arange(256) >= 0x80)
 _BLOCK = 512
+#: Share of the examples from which on a term's weights are a row over all examples instead of postings.
+_OFTEN = 0.1
+#: Texts whose frequent terms are multiplied at once.
+_TOGETHER = 64
 #: Lengths in bytes of the prefixes that count as terms besides whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Length of the marked terms of a vector beside that of all its words, which is 1.
@@ -45,20 +49,30 @@ class BlockMaxIndex:
 
     def build(self, rows: list[np.ndarray], weights: list[np.ndarray]) -> None:
         n, size = len(rows), len(self.terms) + len(self.marked)
-        blocks = max(1, -(-n // _BLOCK))
-        example = np.repeat(np.arange(n), [len(r) for r in rows])
-        term = np.concatenate(rows) if n else np.zeros(0, np.int64)
+        blocks = self.blocks = max(1, -(-n // _BLOCK))
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+        term = np.concatenate(rows) if n else np.zeros(0, np.int32)
         weight = np.concatenate(weights) if n else np.zeros(0)
-        order = np.lexsort((example, term))
+        order = np.argsort(term, kind="stable")  # the examples of a term stay in their order
         self.example, term, self.weight = example[order], term[order], weight[order]
-        place = term * blocks + self.example // _BLOCK
+        del example, weight, order
+        place = term.astype(np.int64) * blocks + self.example // _BLOCK
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        top = np.zeros(size * blocks, np.float32)
+        self.top = np.zeros((size, blocks), np.float32)
         if len(first):
-            top[place[first]] = np.maximum.reduceat(self.weight, first) * (1 + 1e-6)  # never under the weight
-        self.top = top.reshape(size, blocks)
-        start = np.searchsorted(place, np.arange(size * blocks)).reshape(size, blocks)
-        self.cut = np.hstack([start, np.append(start[1:, 0], len(term))[:size, None]]).astype(np.int32)
+            self.top.reshape(-1)[place[first]] = np.maximum.reduceat(self.weight, first) * (1 + 1e-6)  # never under the weight
+        often = np.flatnonzero(np.bincount(term, minlength=size) >= max(_BLOCK, n * _OFTEN))
+        self.row = np.full(size, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        frequent = self.row[term] >= 0
+        self.dense[self.row[term[frequent]], self.example[frequent]] = self.weight[frequent]
+        self.example, self.weight, place = self.example[~frequent], self.weight[~frequent], place[~frequent]
+        del term, first, frequent
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        self.cut = np.zeros(size * blocks + 1, np.int32)
+        self.cut[place[first] + 1] = np.diff(first, append=len(place))
+        np.cumsum(self.cut, out=self.cut)
 
     def vector(self, term: np.ndarray, count: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
         """The words' TF-IDF at length 1 (``others`` counts words that no example has) and, if there are any, the marked
@@ -75,26 +89,47 @@ class BlockMaxIndex:
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best (cosine, example); ties go to the lower example."""
+        return self.search_all([(term, weight)], k)[0]
+
+    def search_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``search`` of many texts: one product of matrices gives what the frequent terms add to their cosines."""
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(texts), _TOGETHER):
+            some = texts[at:at + _TOGETHER]
+            rows = [self.row[term] for term, _ in some]
+            often = np.zeros((len(some), len(self.dense)))
+            for i, (row, (_, weight)) in enumerate(zip(rows, some)):
+                often[i, row[row >= 0]] = weight[row >= 0]
+            for row, (term, weight), total in zip(rows, some, often @ self.dense):
+                out.append(self._search(term, weight, row < 0, total, k) if len(term) else [])
+        return out
+
+    def _search(self, term: np.ndarray, weight: np.ndarray, rare: np.ndarray, total: np.ndarray, k: int) -> list[tuple[float, int]]:
         bound = weight @ self.top[term]
         first = int(bound.argmax())
-        best = self._best(term, weight, first, first + 1, k)
+        term, weight = term[rare] * self.blocks, weight[rare]
+        best = self._best(term, weight, total, first, first + 1, k)
         least = best[-1][0] if len(best) == k else 0.0
         still = np.flatnonzero((bound > 0) & (bound >= least - 1e-9))
         if not len(still) or still[0] == still[-1] == first:
             return best
-        return self._best(term, weight, still[0], still[-1] + 1, k)
-
-    def _best(self, term: np.ndarray, weight: np.ndarray, start: int, end: int, k: int) -> list[tuple[float, int]]:
-        """The k best among the examples of a span of blocks."""
-        a, b = self.cut[term, start], self.cut[term, end]
-        cuts = list(zip(a.tolist(), b.tolist()))
-        example = np.concatenate([self.example[i:j] for i, j in cuts])
-        total = np.bincount(example, np.repeat(weight, b - a) * np.concatenate([self.weight[i:j] for i, j in cuts]))
+        return self._best(term, weight, total, still[0], still[-1] + 1, k)
+
+    def _best(self, place: np.ndarray, weight: np.ndarray, total: np.ndarray, start: int, end: int, k: int) -> list[tuple[float, int]]:
+        """The k best among the examples of a span of blocks; ``total`` holds what the frequent terms add."""
+        low = start * _BLOCK
+        total = total[low:end * _BLOCK]
+        a, b = self.cut[place + start], self.cut[place + end]
+        length = b - a
+        at = np.repeat(a - (np.cumsum(length) - length), length)
+        if len(at):
+            at += np.arange(len(at))
+            total = total + np.bincount(self.example[at] - low, np.repeat(weight, length) * self.weight[at], len(total))
         least = np.partition(total, -k)[-k] if len(total) > k else 0.0
         found = np.flatnonzero((total > 0) & (total >= least - 1e-11))
         value = np.round(total[found], 12)
         best = np.lexsort((found, -value))[:k]
-        return list(zip(value[best].tolist(), found[best].tolist()))
+        return list(zip(value[best].tolist(), (found[best] + low).tolist()))
 
 
 def _terms_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -217,10 +252,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic",
     def make():
         def run(texts):
             found = term_counts(sent.value, texts)
-            return {"terms": [t for t, _, _ in found], "counts": [c for _, c, _ in found]}
+            return {"terms": [t.astype(np.int32) for t, _, _ in found], "counts": [c.astype(np.int32) for _, c, _ in found]}
         return run
 
-    rows = map_texts(sample, "terms array<bigint>, counts array<double>", make, keep=["doc_id", "label"]).toArrow().sort_by("doc_id")
+    rows = map_texts(sample, "terms array<int>, counts array<int>", make, keep=["doc_id", "label"]).toArrow().sort_by("doc_id")
+    sent.destroy()
     y = rows["label"].to_numpy().astype(np.float64)
     found, counts = (_arrays(rows[name]) for name in ("terms", "counts"))
     strong = np.bincount(np.concatenate(found) if found else np.zeros(0, np.int64), minlength=len(terms) + len(hashed))[len(terms):]
@@ -230,8 +266,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic",
     index.prior = float(y.mean()) if len(y) else 0.0
     index.prior_empty = float((y[~full].sum() + index.prior) / ((~full).sum() + 1)) if len(y) else 0.0
     index.labels, index.ids = y[full], rows["doc_id"].to_numpy()[full]
-    chosen = [(t, c) for t, c in zip(found, counts) if len(t)]
-    index.build([t for t, _ in chosen], [index.vector(t, c) for t, c in chosen])
+    counts = [index.vector(t, c) for t, c in zip(found, counts) if len(t)]
+    index.build([t for t in found if len(t)], counts)
+    del rows, found, counts
+    pa.default_memory_pool().release_unused()
     return index
 
 
@@ -254,10 +292,11 @@ def score_toxicity(documents: DataFrame, index: BlockMaxIndex, neighbours: int =
 
         def run(texts):
             score, evidence = np.full(len(texts), own.prior_empty), [""] * len(texts)
-            for i, (term, count, others) in enumerate(term_counts(own, texts)):
+            found = term_counts(own, texts)
+            nearest = own.search_all([(term, own.vector(term, count, others)) for term, count, others in found], neighbours)
+            for i, ((term, _, others), near) in enumerate(zip(found, nearest)):
                 if not len(term) and not len(others):
                     continue
-                near = own.search(term, own.vector(term, count, others), neighbours) if len(term) else []
                 cosine = np.array([c for c, _ in near])
                 weight = (cosine / (1.02 - cosine)) ** 2
                 votes = own.labels[[x for _, x in near]] if near else np.zeros(0)

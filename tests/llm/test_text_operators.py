@@ -388,3 +388,21 @@ def test_mixing_on_odd_rows(odd):
     assert len(rows) == len(ODD) and all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in rows)
     assert mixing.mix_sources(_empty(odd)).count() == 0
     assert sorted(map(str, mixing.mix_sources(odd).collect())) == sorted(map(str, rows))
+
+
+def test_texts_searched_together_equal_a_full_scan():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    index = toxicity.BlockMaxIndex(np.arange(300, dtype=np.uint64), [], rng.random(300) + 1, np.zeros(1300), np.arange(1300))
+    share = np.where(np.arange(300) < 8, 0.6, 0.01)  # a few terms are frequent
+    rows = [np.flatnonzero(rng.random(300) < share) for _ in range(1300)]
+    weights = [index.vector(r, rng.integers(1, 5, len(r))) for r in rows]
+    index.build(rows, weights)
+    assert len(index.dense) == 8 and index.example.dtype == index.cut.dtype == np.int32 and len(index.example) == sum((r >= 8).sum() for r in rows)
+    dense = np.zeros((1300, 300))
+    for i, (r, w) in enumerate(zip(rows, weights)):
+        dense[i, r] = w
+    texts = [(t, index.vector(t, np.ones(len(t)))) for t in [np.flatnonzero(rng.random(300) < 0.05) for _ in range(90)] + [np.zeros(0, np.int64)]]
+    for (term, weight), got in zip(texts, index.search_all(texts, 7)):
+        cosine = np.round(dense[:, term] @ weight, 12)
+        assert got == sorted(((c, i) for i, c in enumerate(cosine.tolist()) if c > 0), key=lambda x: (-x[0], x[1]))[:7] == index.search(term, weight, 7)
