@@ -426,14 +426,15 @@ def _(t):
     end = F.col("line") == F.col("last")
 
     def page(number, last, more):
-        return rows.select(
-            "session_id", number.alias("page_no"), F.lit(0).cast("bigint").alias("code"), item.alias("items"),
-            F.when(~last, F.concat(F.lit("t"), number.cast("string"))).alias("next_token"), more.alias("has_more"),
-            F.lit(None).cast("bigint").alias("total"), "line")
+        return F.struct(number.alias("page_no"), F.when(~last, F.concat(F.lit("t"), number.cast("string"))).alias("next_token"), more.alias("has_more"))
     # For some sessions the last page wrongly promises more.
-    pages = page(F.col("line") + 1, end, F.when(end, F.col("_p")).otherwise(F.lit(True)))
-    again = page(F.lit(0).cast("bigint"), F.lit(False), F.lit(True)).filter("line = 0")
-    kept, rejected = merge.merge_pages(pages.drop("line").unionByName(again.drop("line")))
+    once = page(F.col("line") + 1, end, F.when(end, F.col("_p")).otherwise(F.lit(True)))
+    again = page(F.lit(0).cast("bigint"), F.lit(False), F.lit(True))
+    reads = F.when(F.col("line") == 0, F.array(once, again)).otherwise(F.array(once))
+    pages = rows.select("session_id", item.alias("items"), F.explode(reads).alias("page")).select(
+        "session_id", "page.page_no", F.lit(0).cast("bigint").alias("code"), "items", "page.next_token", "page.has_more",
+        F.lit(None).cast("bigint").alias("total"))
+    kept, rejected = merge.merge_pages(pages)
     counts = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_items"))
     return counts.select("session_id", F.lit("kept").alias("outcome"), "n_items").unionByName(
         rejected.select("session_id", F.lit("rejected").alias("outcome"), F.lit(0).cast("bigint").alias("n_items")))

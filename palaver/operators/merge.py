@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.session import durable
+
 
 def merge_tool_observations(obs: DataFrame, key: Sequence[str] = ("session_id", "message_id", "call_id"),
                             ) -> tuple[DataFrame, DataFrame]:
@@ -180,9 +182,9 @@ def merge_pages(pages: DataFrame, id_col: str = "item_id", check_total: bool = F
         .select("session_id", "page_no", "item_no", "item.*")
     bad_item = ((F.col("owner_id") != F.col("session_id")) | F.coalesce(F.col(id_col) == "", F.lit(True)))
     rest = [c for c in items.columns if c not in ("session_id", id_col)]
-    unique = items.withColumn("_bad", F.coalesce(bad_item, F.lit(True))).groupBy("session_id", id_col).agg(
+    unique = durable(items.withColumn("_bad", F.coalesce(bad_item, F.lit(True))).groupBy("session_id", id_col).agg(
         F.min("digest").alias("_dl"), F.max("digest").alias("_dh"), F.bool_or("_bad").alias("_bad"),
-        F.min_by(F.struct(*rest), F.struct("page_no", "item_no")).alias("_row"))
+        F.min_by(F.struct(*rest), F.struct("page_no", "item_no")).alias("_row")))
     item_faults = unique.groupBy("session_id").agg(
         F.bool_or(F.col("_bad") | (F.col("_dl") != F.col("_dh"))).alias("_items"),
         F.count(F.lit(1)).alias("_n"))
@@ -193,7 +195,7 @@ def merge_pages(pages: DataFrame, id_col: str = "item_id", check_total: bool = F
         broken = broken | F.coalesce((F.col("_low") != F.col("_total"))
                                      | (F.col("_total") != F.coalesce("_n", F.lit(0))), F.lit(False))
     verdict = per_session.join(item_faults, "session_id", "left").withColumn("_broken", broken)
-    rejected = verdict.filter("_broken").select("session_id", F.lit("READ_REJECTED").alias("code"))
+    rejected = durable(verdict.filter("_broken").select("session_id", F.lit("READ_REJECTED").alias("code")))
     kept = (unique.select("session_id", id_col, *[F.col("_row")[c].alias(c) for c in rest])
             .join(rejected, "session_id", "left_anti"))
     return kept, rejected

@@ -79,3 +79,13 @@ def test_page_faults_reject_the_whole_session(spark):
     assert {r.session_id for r in rejected.collect()} == {"clash", "foreign", "reused", "empty", "contradiction", "failed", "unfinished"}
     assert sorted((r.session_id, r.item_id) for r in kept.collect()) == [("good", "m1"), ("good", "m2"), ("total", "m1")]
     assert "total" in {r.session_id for r in merge_pages(df, check_total=True)[1].collect()}
+
+
+def test_merged_pages_are_stored_once(spark):
+    pages = spark.sql("""SELECT session_id, page_no, 0L AS code, array(named_struct('item_id', concat('i', page_no), 'owner_id', session_id, 'digest', 'd')) AS items,
+        CASE WHEN page_no < 2 THEN concat('t', page_no) END AS next_token, page_no < 2 OR session_id = 's1' AS has_more, CAST(NULL AS BIGINT) AS total
+        FROM VALUES ('s0'), ('s1') AS s(session_id), (SELECT id AS page_no FROM range(3))""")
+    kept, rejected = merge_pages(pages)
+    assert kept.inputFiles() and rejected.inputFiles()
+    assert [(r.session_id, r.item_id) for r in kept.orderBy("item_id").collect()] == [("s0", f"i{n}") for n in range(3)]
+    assert [r.session_id for r in rejected.collect()] == ["s1"]
