@@ -48,20 +48,26 @@ class BlockMaxIndex:
     unseen: float = 1.0
 
     def build(self, rows: list[np.ndarray], weights: list[np.ndarray]) -> None:
-        n, size = len(rows), len(self.terms) + len(self.marked)
-        blocks = self.blocks = max(1, -(-n // _BLOCK))
-        example = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-        term = np.concatenate(rows) if n else np.zeros(0, np.int32)
-        weight = np.concatenate(weights) if n else np.zeros(0)
+        """Sort the postings by term; only they are sent to the tasks, ``unfold`` makes the rest of the index there."""
+        size = len(self.terms) + len(self.marked)
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        term = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        weight = np.concatenate(weights) if rows else np.zeros(0)
         order = np.argsort(term, kind="stable")  # the examples of a term stay in their order
-        self.example, term, self.weight = example[order], term[order], weight[order]
-        del example, weight, order
+        self.example, self.weight = example[order], weight[order]
+        self.count, self.cut = np.bincount(term, minlength=size).astype(np.int32), None
+
+    def unfold(self) -> None:
+        """Blocks with their greatest weights, and the rows of the frequent terms."""
+        n, size = len(self.labels), len(self.count)
+        blocks = self.blocks = max(1, -(-n // _BLOCK))
+        term = np.repeat(np.arange(size, dtype=np.int32), self.count)
         place = term.astype(np.int64) * blocks + self.example // _BLOCK
         first = np.flatnonzero(np.diff(place, prepend=-1))
         self.top = np.zeros((size, blocks), np.float32)
         if len(first):
             self.top.reshape(-1)[place[first]] = np.maximum.reduceat(self.weight, first) * (1 + 1e-6)  # never under the weight
-        often = np.flatnonzero(np.bincount(term, minlength=size) >= max(_BLOCK, n * _OFTEN))
+        often = np.flatnonzero(self.count >= max(_BLOCK, n * _OFTEN))
         self.row = np.full(size, -1, np.int32)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), n))
@@ -70,9 +76,9 @@ class BlockMaxIndex:
         self.example, self.weight, place = self.example[~frequent], self.weight[~frequent], place[~frequent]
         del term, first, frequent
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.cut = np.zeros(size * blocks + 1, np.int32)
-        self.cut[place[first] + 1] = np.diff(first, append=len(place))
-        np.cumsum(self.cut, out=self.cut)
+        cut = np.zeros(size * blocks + 1, np.int32)
+        cut[place[first] + 1] = np.diff(first, append=len(place))
+        self.cut = np.cumsum(cut, out=cut)
 
     def vector(self, term: np.ndarray, count: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
         """The words' TF-IDF at length 1 (``others`` counts words that no example has) and, if there are any, the marked
@@ -93,6 +99,8 @@ class BlockMaxIndex:
 
     def search_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """``search`` of many texts: one product of matrices gives what the frequent terms add to their cosines."""
+        if self.cut is None:
+            self.unfold()
         out: list[list[tuple[float, int]]] = []
         for at in range(0, len(texts), _TOGETHER):
             some = texts[at:at + _TOGETHER]

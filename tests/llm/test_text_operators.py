@@ -398,6 +398,8 @@ def test_texts_searched_together_equal_a_full_scan():
     rows = [np.flatnonzero(rng.random(300) < share) for _ in range(1300)]
     weights = [index.vector(r, rng.integers(1, 5, len(r))) for r in rows]
     index.build(rows, weights)
+    assert sum(v.nbytes for v in vars(index).values() if hasattr(v, "nbytes")) < 14 * sum(map(len, rows)) + 20_000
+    index.unfold()
     assert len(index.dense) == 8 and index.example.dtype == index.cut.dtype == np.int32 and len(index.example) == sum((r >= 8).sum() for r in rows)
     dense = np.zeros((1300, 300))
     for i, (r, w) in enumerate(zip(rows, weights)):
