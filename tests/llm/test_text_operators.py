@@ -383,6 +383,57 @@ def test_two_generations_keep_what_is_met_again(monkeypatch):
     assert "▁a" in memo.old and "▁b" not in memo.old and "▁b" not in memo.young
 
 
+def test_each_different_word_of_a_batch_is_looked_up_once(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    path, made = tokenizer_path("piece_bpe_32k.model"), {}
+    monkeypatch.setattr(pieces, "map_texts", lambda documents, added, make, keep: made.update(make=make))
+    pieces.encode_pieces(None, path, ids=True, decoded=True)
+    texts = ["so it is " * 500, "", "it is  so", "so it is " * 500]
+    run, memo = made["make"](), pieces.memo_of(path)
+    memo.young = Counted(memo.young)
+    got = run(texts)
+    assert 0 < Counted.asked <= 6
+    ids = [memo.model.library.encode(t) for t in texts]
+    assert got["n_tokens"].to_pylist() == list(map(len, ids)) and got["ids"].to_pylist() == ids and got["decoded"] == texts
+    assert got["ids_sha256"] == [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
+    assert got["decoded_sha256"] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    none = run(["", ""])
+    assert none["n_tokens"].to_pylist() == [0, 0] and none["ids"].to_pylist() == [[], []] and none["decoded"] == ["", ""]
+
+
+def test_words_of_many_texts_are_cut_before_runs_of_blanks():
+    rng = random.Random(6)
+    texts = ["", " ", "▁", "a", " a", "a  ", *("".join(rng.choices(["a", "é", "😀", " ", "▁", "\n", "\0", "日", "–"], k=rng.randint(0, 12))) for _ in range(400)), ""]
+    words, ends = pieces.PieceModel.words(texts)
+    every = words.to_pylist()
+    assert len(set(words.dictionary.to_pylist())) == len(words.dictionary) and ends[-1] == len(every)
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        assert every[a:b] == (re.findall("▁+[^▁]*", ("▁" + text).replace(" ", "▁")) if text else [])
+
+
+def test_pairs_are_found_by_their_hash():
+    import numpy as np
+    model = pieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    one = {i: p for p, (i, _) in model.ids.items()}
+    rng = np.random.default_rng(2)
+    kept = np.flatnonzero(model.keys >= 0)
+    assert kept.size < len(model.keys) / 2 and len(set(model.keys[kept].tolist())) == kept.size
+    left, right = model.keys[kept] >> 26, model.keys[kept] & (1 << 26) - 1
+    assert (model._look_up(left, right)[0] < pieces._NONE).all()
+    left, right = np.append(left[:20000], -1), np.append(rng.permutation(right[:20000]), 5)
+    places, joined = model._look_up(left.reshape(3, -1), right.reshape(3, -1))
+    for a, b, place, i in zip(left.tolist(), right.tolist(), places.ravel().tolist(), joined.ravel().tolist()):
+        a, b = (one.get(x, chr(x - pieces._LETTER) if x >= pieces._LETTER else None) for x in (a, b))
+        known = model.ids.get(a + b) if a and b else None
+        assert (place < pieces._NONE) == bool(known) and (not known or known[0] == i)
+
+
 def test_mixing_on_odd_rows(odd):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in rows)
