@@ -133,12 +133,13 @@ def has_credentials_nested(df: DataFrame, keys: Sequence[str], column: str, out:
     """``out``: any credential in the text or JSON of ``column``, however it is nested or encoded.
 
     ``keys`` identify the rows, NULL is a value of a key like others. A cheap filter on the raw text decides which
-    rows are opened at all, and inside which nodes are.
+    rows are opened at all, and inside which nodes are. The join is a sort-merge join by a hint: beside a VARIANT keys count as a
+    few thousandths of a file, and a broadcast chosen by that size would pass the keys of all hits through the driver.
     """
     keys = list(keys)
     nodes = payload_nodes(df.filter(suspicious(F.col(column))), keys, column, decode=True, prune=True)
     hits = nodes.filter(_sensitive(nodes)).select(F.struct(*keys).alias("_row")).distinct().withColumn(out, F.lit(True))
-    return df.withColumn("_row", F.struct(*keys)).join(hits, "_row", "left").drop("_row").withColumn(out, F.coalesce(out, F.lit(False)))
+    return df.withColumn("_row", F.struct(*keys)).join(hits.hint("merge"), "_row", "left").drop("_row").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def assert_no_credentials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -147,3 +147,15 @@ def test_levels_are_written_by_many_tasks(spark):
     rows = spark.range(400, numPartitions=1).select(F.struct("id").alias("_k"), F.format_string('{"a":{"password":"value-%d"}}', "id").alias("t"))
     levels = payload._walk(rows, "t", prune=True)
     assert all(len(level.inputFiles()) >= 8 for level in levels[:3]) and [level.count() for level in levels[:3]] == [400, 400, 400]
+
+
+def _join_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_not_broadcast(spark):
+    rows = _texts(spark, [json.dumps({"a": {"password": f"value-{i}"} if i % 3 else "plain"}) for i in range(300)])
+    found = payload.has_credentials_nested(rows, ["id"], "t")
+    plan = _join_plan(found)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and found.filter("hit").count() == 200
