@@ -177,7 +177,8 @@ def redact_payloads(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
     redacted inside when it holds JSON, however deep; a key that is a token gets a name that its hash gives. The nodes of a payload
     are found from the root down and its text is made anew from the deepest change up: only the
     containers above a change are rebuilt, each of them once, so the work does not grow with the number of changes in
-    one payload. The result is scanned again and masked as a whole when anything is left.
+    one payload. The result is scanned again and masked as a whole when anything is left. No join is a broadcast, whatever
+    the files of a level seem to weigh.
     """
     keys = list(keys)
     df = durable(spread(df))
@@ -193,10 +194,10 @@ def redact_payloads(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
         changes = durable(_changes(level, built, columns))
         built = _rebuilt(level, changes)
     edited = changes.select("_id", F.col("json").alias("_new"), F.greatest("n", F.lit(1)).alias("_n"))
-    edited = canonical.join(edited, "_id", "left").select("_id", F.coalesce("_new", "_json").alias("_json"), F.coalesce("_n", F.lit(1)).alias("_n"))
+    edited = canonical.join(edited.hint("merge"), "_id", "left").select("_id", F.coalesce("_new", "_json").alias("_json"), F.coalesce("_n", F.lit(1)).alias("_n"))
     rescanned = has_credentials_nested(durable(edited), ["_id"], "_json", "_left").select(
         "_id", F.when(F.col("_left"), F.lit(f'"{MARKER}"')).otherwise(F.col("_json")).alias("_json"), "_n")
-    return (checked.drop("_hit").join(rescanned, "_id", "left")
+    return (checked.drop("_hit").join(rescanned.hint("merge"), "_id", "left")
             .withColumn(column, F.coalesce("_json", column))
             .withColumn("redacted_count", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_json", "_n", "_id"))
 
@@ -221,19 +222,24 @@ def _change_columns() -> tuple[dict[str, Column], list[Column]]:
 
 def _changes(level: DataFrame, built: DataFrame | None, columns: tuple[dict[str, Column], list[Column]]) -> DataFrame:
     """The changed nodes of a level: _id, place, parent, json (their new text), name (their new key), n (credentials taken out)."""
+    # Only what was opened or could hold a credential itself meets the changes below; the tests come first, so no payload is shuffled.
+    could = F.col("_open") | F.col("_inner").isNotNull() | suspicious(F.concat_ws(" ", "key", "text"))
+    rows = level.filter(could).withColumns(columns[0])
     if built is None:
-        rows = level.withColumns({"body": F.lit(None).cast("string"), "inside": F.lit(0).cast("bigint")})
+        rows = rows.withColumns({"body": F.lit(None).cast("string"), "inside": F.lit(0).cast("bigint")})
     else:
-        rows = level.join(built, ["_id", "place"], "left")
-    return rows.withColumns(columns[0]).select(*columns[1]).filter("n > 0")
+        rows = rows.drop("v", "text", "_inner").join(built.hint("merge"), ["_id", "place"], "left")
+    return rows.select(*columns[1]).filter("n > 0")
 
 
 def _rebuilt(level: DataFrame, changes: DataFrame) -> DataFrame:
     """_id, place, body, inside of every parent of a change: the texts of all its children in their order, changed or as they were."""
     touched = changes.select("_id", "parent").distinct()
     new = changes.select("_id", "place", F.col("json").alias("_new"), "name", "n")
-    children = level.join(touched, ["_id", "parent"], "left_semi").join(new, ["_id", "place"], "left")
-    text = F.coalesce("_new", F.to_json("v"), _quoted(F.col("text")))
+    own = F.coalesce(F.to_json("v"), _quoted(F.col("text")))
+    children = level.select("_id", "place", "parent", "pos", "key", own.alias("_own")).join(
+        touched.hint("merge"), ["_id", "parent"], "left_semi").join(new.hint("merge"), ["_id", "place"], "left")
+    text = F.coalesce("_new", "_own")
     part = F.when(F.col("key").isNotNull(), F.concat(_quoted(F.coalesce("name", "key")), F.lit(":"), text)).otherwise(text)
     return children.groupBy("_id", F.col("parent").alias("place")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), ",").alias("body"),

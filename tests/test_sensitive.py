@@ -159,3 +159,15 @@ def test_hits_are_not_broadcast(spark):
     found = payload.has_credentials_nested(rows, ["id"], "t")
     plan = _join_plan(found)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and found.filter("hit").count() == 200
+
+
+def test_redaction_has_no_broadcast(spark, monkeypatch):
+    plans, stored = [], payload.durable
+    monkeypatch.setattr(payload, "durable", lambda df: plans.append(_join_plan(df)) or stored(df))
+    rows = _texts(spark, [json.dumps({"a": {"password": f"value-{i}"}, "b": ["plain", json.dumps({"token": f"t{i}"})]}) for i in range(300)])
+    clean = payload.redact_payloads(rows, ["id"], "t")
+    plans.append(_join_plan(clean))
+    joins = [plan for plan in plans if "Join" in plan]
+    assert len(joins) >= 6 and all("SortMergeJoin" in plan for plan in joins) and not any("Broadcast" in plan for plan in plans)
+    assert {(r["redacted_count"], r["t"]) for r in clean.collect()} == {(2, json.dumps(
+        {"a": {"password": C.MARKER}, "b": ["plain", json.dumps({"token": C.MARKER}, separators=(",", ":"))]}, separators=(",", ":")))}
